@@ -43,23 +43,26 @@ def coordinate_distance(lat: Column, lon: Column, longitude: Column, min_latitud
 
 
 def _nearest(points: Sequence[Point], longitude: Column, min_latitude: Column, tolerance: float) -> Column:
-    near = F.filter(
-        _points(points),
-        lambda p: (F.abs(p["lon"] - longitude) <= tolerance)
-        & F.coalesce(p["lat"] >= min_latitude - v.LAT_SLACK, F.lit(True)),
-    )
-    ranked = F.array_sort(
-        F.transform(
-            near,
-            lambda p: F.struct(
-                coordinate_distance(p["lat"], p["lon"], longitude, min_latitude).alias("distance"),
-                p["pos"].alias("pos"),
-                p["name"].alias("name"),
-            ),
+    def names(axis: Column) -> Column:
+        lon, lat = axis["lon"], axis["lat"]
+        near = F.filter(
+            _points(points),
+            lambda p: (F.abs(p["lon"] - lon) <= tolerance) & F.coalesce(p["lat"] >= lat - v.LAT_SLACK, F.lit(True)),
         )
-    )
-    names = F.transform(F.slice(ranked, 1, v.COORDINATE_TOP), lambda p: p["name"])
-    return F.when(longitude.isNotNull(), names).otherwise(F.array().cast("array<string>"))
+        ranked = F.array_sort(
+            F.transform(
+                near,
+                lambda p: F.struct(
+                    coordinate_distance(p["lat"], p["lon"], lon, lat).alias("distance"),
+                    p["pos"].alias("pos"),
+                    p["name"].alias("name"),
+                ),
+            )
+        )
+        top = F.transform(F.slice(ranked, 1, v.COORDINATE_TOP), lambda p: p["name"])
+        return F.when(lon.isNotNull(), top).otherwise(F.array().cast("array<string>"))
+
+    return rx.bind(F.struct(longitude.alias("lon"), min_latitude.alias("lat")), names)
 
 
 def imd_subdivisions(
@@ -141,20 +144,25 @@ def _either_contains(a: Column, b: Column) -> Column:
 
 def alias_exact(key: Column) -> Column:
     """Subdivisions of the alias equal to the key, else NULL."""
-    return F.get(F.filter(_aliases(), lambda a: a["key"] == key), F.lit(0))["names"]
+    return rx.bind(key, lambda k: F.get(F.filter(_aliases(), lambda a: a["key"] == k), F.lit(0))["names"])
 
 
 def alias_longest(key: Column) -> Column:
     """Subdivisions of the longest alias that holds, or is held by, the key, else NULL."""
-    return F.get(F.filter(_aliases(), lambda a: _either_contains(a["key"], key)), F.lit(0))["names"]
+    return rx.bind(
+        key, lambda k: F.get(F.filter(_aliases(), lambda a: _either_contains(a["key"], k)), F.lit(0))["names"]
+    )
 
 
 def official_fuzzy(key: Column, official: Sequence[str] = v.OFFICIAL_SUBDIVISIONS) -> Column:
     """All official names that hold, or are held by, the key, longest name first."""
     ranked = _officials(sorted(official, key=lambda n: -len(n)))
-    return F.transform(
-        F.filter(ranked, lambda o: (key != "") & _either_contains(o["key"], key)), lambda o: o["name"]
-    )
+
+    def names(k: Column) -> Column:
+        hits = F.filter(ranked, lambda o: (k != "") & _either_contains(o["key"], k))
+        return F.transform(hits, lambda o: o["name"])
+
+    return rx.bind(key, names)
 
 
 def token_containment(key: Column, official: Sequence[str] = v.OFFICIAL_SUBDIVISIONS) -> Column:
@@ -165,30 +173,32 @@ def token_containment(key: Column, official: Sequence[str] = v.OFFICIAL_SUBDIVIS
         core = [w for w in words if len(w) > 2 and w not in v.TOKEN_STOP_WORDS]
         if core and key_of(name) not in v.REGION_ALIASES:
             rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, core)).alias("core")))
-    words = F.split(key, " ")
-    fitting = F.filter(F.array(*rows), lambda o: F.size(F.array_except(o["core"], words)) == 0)
-    return F.transform(fitting, lambda o: o["name"])
+
+    def names(words: Column) -> Column:
+        fitting = F.filter(F.array(*rows), lambda o: F.size(F.array_except(o["core"], words)) == 0)
+        return F.transform(fitting, lambda o: o["name"])
+
+    return rx.bind(F.split(key, " "), names)
 
 
 def fragment_subdivisions(fragment: Column) -> Column:
     """First tier that answers: exact alias, longest alias, coordinates, names, words."""
-    key = text.subdivision_key(fragment)
-    names = official_fuzzy(key)
-    by_name = F.when(F.size(names) > 0, names).otherwise(token_containment(key))
-    return F.coalesce(
-        alias_exact(key),
-        alias_longest(key),
-        F.when(text.is_coordinate_region(fragment), form_subdivisions(fragment)),
-        by_name,
-    )
+
+    def tiers(k: Column) -> Column:
+        names = official_fuzzy(k)
+        by_name = rx.bind(names, lambda n: F.when(F.size(n) > 0, n).otherwise(token_containment(k)))
+        on_axis = F.when(text.is_coordinate_region(fragment), form_subdivisions(fragment))
+        return F.coalesce(alias_exact(k), alias_longest(k), on_axis, by_name)
+
+    return rx.bind(text.subdivision_key(fragment), tiers)
 
 
 def region_subdivisions(region_text: Column) -> Column:
     """Ordered distinct official subdivisions of a free region text."""
     source = F.coalesce(region_text, F.lit(""))
-    axes = F.flatten(F.transform(text.coordinate_phrases(source), form_subdivisions))
+    axes = F.flatten(F.transform(text.coordinate_phrases(source), lambda p: form_subdivisions(p)))
     fragments = text.split_fragments(text.without_coordinate_phrases(source))
-    named = F.flatten(F.transform(fragments, fragment_subdivisions))
+    named = F.flatten(F.transform(fragments, lambda f: fragment_subdivisions(f)))
     return F.array_distinct(F.concat(axes, named))
 
 

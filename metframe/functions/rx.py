@@ -37,6 +37,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rx(r"\A\s+|\s+\z"), "")
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once per row.
+
+    A lambda body sees outer expressions inlined and would evaluate them once per element;
+    passing the value through a one-element array makes it a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def first_label(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Label of the first rule whose pattern occurs in the text, else NULL."""
     return F.coalesce(*[F.when(matches(text, pattern), F.lit(label)) for pattern, label in rules])

@@ -173,7 +173,7 @@ def _templates() -> dict[tuple[str, int], str]:
         ("signup", 3): "It continued with a trough aloft at {h} km above msl.",
         ("error", 0): "Northern limit of monsoon passes through {r1}.",
         ("error", 1): "It is likely to affect {r1}.",
-        ("error", 2): "Fair weather prevailed.",
+        ("error", 2): "Rain remained over the same region at {h} km above msl.",
         ("error", 3): "Has become less marked.",
     }
 
