@@ -9,6 +9,7 @@ from metframe.catalog import places
 from metframe.catalog.base import Query, list_sql
 from metframe.operators import flat, merge, star
 from metframe.plans import models as m
+from metframe.session import spread
 from metframe.sinks import writers
 
 _POSITION = "row_pos"
@@ -23,7 +24,7 @@ dk AS (SELECT *, regexp_replace(lower(trim(region)), '\\s+', ' ', 'g') AS region
   WHERE NOT coalesce(contains(lower(status), '{v.LESS_MARKED_PHRASE}'), false)),
 dt AS (SELECT *, coalesce(min(row_pos) FILTER (WHERE hv > 0) OVER g, min(row_pos) OVER g) AS src, min(row_pos) FILTER (WHERE hv > 0) OVER g AS high_at
   FROM dk WINDOW g AS (PARTITION BY {_group})),
-merged AS (SELECT date, source_file, weather_system, min(row_pos) AS row_pos, arg_min(region, row_pos) AS region, arg_min(subdivisions, row_pos) AS subdivisions,
+merged AS (SELECT date, source_file, weather_system, min(row_pos) AS row_pos, arg_min(region, row_pos) AS region, arg_min(struct_pack(s := subdivisions), row_pos).s AS subdivisions,
   max(height_km) FILTER (WHERE row_pos = src) AS height_km,
   arg_min(pressure_level, row_pos) FILTER (WHERE pressure_level <> '' AND (high_at IS NULL OR row_pos >= high_at)) AS pressure_level,
   max_by(status, row_pos) FILTER (WHERE status <> '') AS status FROM dt GROUP BY {_group})"""
@@ -50,7 +51,7 @@ _out = f"""date, source_file, weather_system, region, coalesce(region_original,
 
 
 def _plain(spark, sf_dir):
-    return m.rows(spark, sf_dir).drop("subdivisions")
+    return spread(m.rows(spark, sf_dir).drop("subdivisions"))
 
 
 # --- star ------------------------------------------------------------------------------------

@@ -164,12 +164,12 @@ QUERIES = [
     Query("clause_split", lambda s, d: _exploded(s, d, text.split_sentences), _prose(_clauses_sql(_pieces_sql(_glued)))),
     Query(
         "conversation_sentences",
-        lambda s, d: bulletins.sentences(m.table(s, d, "conversations").select("conv_id", "turn", "text"), "text"),
+        lambda s, d: bulletins.sentences(m.text_table(s, d, "conversations").select("conv_id", "turn", "text"), "text"),
         sentence_rows_sql("conversations", "conv_id, turn", _clauses_sql(_pieces_sql(_glued))),
     ),
     Query(
         "page_sentences",
-        lambda s, d: bulletins.sentences(m.table(s, d, "pages").select("page_id", F.col("html").alias("text")), "text"),
+        lambda s, d: bulletins.sentences(m.text_table(s, d, "pages").select("page_id", F.col("html").alias("text")), "text"),
         sentence_rows_sql("(SELECT page_id, html AS text FROM pages)", "page_id", _clauses_sql(_pieces_sql(_glued))),
     ),
     Query(
@@ -179,7 +179,7 @@ QUERIES = [
     ),
     Query(
         "normalize_text",
-        lambda s, d: m.table(s, d, "documents").select(
+        lambda s, d: m.text_table(s, d, "documents").select(
             "doc_id", text.normalize_text(F.replace("text", F.lit(", "), F.lit(" – "))).alias("normalized")
         ),
         "SELECT doc_id, trim(regexp_replace(replace(replace(replace(text, ', ', ' – '), '–', '-'), '—', '-'), '\\s+', ' ', 'g')) AS normalized FROM documents",

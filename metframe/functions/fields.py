@@ -6,8 +6,6 @@ extraction is one projection without any Python worker.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +46,8 @@ def status(s: Column) -> Column:
 
 def pressure_text(s: Column) -> Column:
     """`surface` when named, else the first `nnn hPa`."""
-    number = rx.group(s, v.PRESSURE_TEXT)
-    return F.when(s.contains("surface"), F.lit("surface")).when(
-        number.isNotNull(), F.concat(number, F.lit(" hPa"))
-    )
+    number = rx.group(F.when(s.contains("hpa"), s), v.PRESSURE_TEXT)
+    return F.when(s.contains("surface"), F.lit("surface")).otherwise(F.concat(number, F.lit(" hPa")))
 
 
 # --- heights --------------------------------------------------------------------------
@@ -59,16 +55,25 @@ def pressure_text(s: Column) -> Column:
 
 def height_range(s: Column) -> Column:
     """STRUCT(low, high): `between a & b`, else one height and no upper end, else (0, NULL)."""
-    low, high = (rx.group(s, v.HEIGHT_BETWEEN, i).try_cast("double") for i in (1, 2))
-    single = F.coalesce(*[rx.group(s, p).try_cast("double") for p in v.HEIGHT_SINGLE], F.lit(0.0))
-    return F.struct(F.coalesce(low, single).alias("low"), high.alias("high"))
+    ends = rx.parts(F.when(s.contains("between"), s), v.HEIGHT_BETWEEN, (1, 2))
+    with_unit = F.when(s.contains("km"), s)
+    single = F.coalesce(*[rx.group(with_unit, p).try_cast("double") for p in v.HEIGHT_SINGLE], F.lit(0.0))
+    return rx.bind(
+        ends,
+        lambda e: F.struct(
+            F.coalesce(e[0].try_cast("double"), single).alias("low"), e[1].try_cast("double").alias("high")
+        ),
+    )
 
 
 def height(s: Column) -> Column:
     """The upper end when positive, else the single height."""
-    ends = height_range(s)
-    low, high = ends["low"], ends["high"]
-    return F.when(high > 0, high).when(high.isNotNull() | (low > 0), low).otherwise(F.lit(0.0))
+
+    def chosen(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        return F.when(high > 0, high).when(high.isNotNull() | (low > 0), low).otherwise(F.lit(0.0))
+
+    return rx.bind(height_range(s), chosen)
 
 
 # --- regions --------------------------------------------------------------------------
@@ -76,50 +81,41 @@ def height(s: Column) -> Column:
 
 def _coordinate_text(s: Column, start: str) -> Column:
     """Text from the first `start` up to a stop word; NULL when hardly anything is left."""
-    tail = F.regexp_extract(s, rf"(?s){start}.*", 0)
-    head = F.btrim(
-        F.get(F.split(tail, rx.rx(v.COORDINATE_STOP), 2), F.lit(0)), F.lit(v.REGION_EDGE_CHARS)
-    )
-    return F.when(
-        F.length(head) > v.COORDINATE_MIN_CHARS, F.substring(head, 1, v.REGION_TEXT_LIMIT)
-    )
+    tail = F.substr(s, F.instr(s, start))
+    head = F.btrim(F.get(F.split(tail, rx.rx(v.COORDINATE_STOP), 2), F.lit(0)), F.lit(v.REGION_EDGE_CHARS))
+    long_enough = rx.keep_if(head, lambda h: F.length(h) > v.COORDINATE_MIN_CHARS)
+    return F.when(s.contains(start), F.substring(long_enough, 1, v.REGION_TEXT_LIMIT))
 
 
 def coordinate_fallback(s: Column) -> Column:
-    has = s.contains("along") & (s.contains("long") | s.contains("lat"))
-    return F.when(has, _coordinate_text(s, "along"))
+    return F.when(s.contains("long") | s.contains("lat"), _coordinate_text(s, "along"))
 
 
 def wd_regions(s: Column) -> Column:
     """Every `over X` of a western disturbance, else its coordinate phrase."""
     chunk = F.regexp_extract(s, rx.rx(v.WD_START), 0)
-    named = F.array_distinct(rx.no_blanks(F.transform(rx.groups(chunk, v.WD_OVER), text.clean_region)))
-    axis = text.clean_region(
-        rx.replace(coordinate_fallback(s), v.OBSERVATION_HOUR, "", ignore_case=True)
-    )
-    by_axis = F.when(axis != "", F.array(axis)).otherwise(no_regions())
-    return F.when(~s.contains("western disturbance"), no_regions()).otherwise(
-        F.when(F.size(named) > 0, named).otherwise(by_axis)
-    )
+    named = F.array_distinct(rx.no_blanks(F.transform(rx.groups(chunk, v.WD_OVER), lambda r: text.clean_region(r))))
+    axis = text.clean_region(rx.replace(coordinate_fallback(s), v.OBSERVATION_HOUR, "", ignore_case=True))
+    by_axis = F.array_compact(F.array(rx.not_blank(axis)))
+    found = rx.bind(named, lambda n: F.when(F.size(n) > 0, n).otherwise(by_axis))
+    return F.when(s.contains("western disturbance"), found).otherwise(no_regions())
 
 
 def cycir_region(s: Column) -> Column:
     """Region of a circulation by the first of two shapes; NULL when none fits."""
-    return text.clean_region(F.coalesce(*[rx.group(s, p) for p in v.CYCIR_REGIONS]))
+    subject = F.when(s.contains("cyclonic circulation"), s)
+    return text.clean_region(F.coalesce(*[rx.group(subject, p) for p in v.CYCIR_REGIONS]))
 
 
 def path_regions(s: Column) -> Column:
     """Ends and waypoint of `from X to Y [across Z]`; empty when there is no path."""
-
-    def path(pattern: str) -> Column:
-        parts = F.array_compact(F.array(*[rx.group(s, pattern, i) for i in (1, 2, 3)]))
-        return F.when(F.size(parts) > 0, F.transform(parts, text.clean_region))
-
-    return F.coalesce(*[path(p) for p in v.PATH_REGIONS], no_regions())
+    subject = F.when(s.contains("from"), s)
+    found = F.coalesce(*[rx.parts(subject, p, (1, 2, 3)) for p in v.PATH_REGIONS], no_regions())
+    return F.transform(rx.no_blanks(found), lambda r: text.clean_region(r))
 
 
 def _by_keyword(s: Column, keyword: str) -> Column:
-    return rx.group(s, rf"\b{keyword}{v.KEYWORD_REGION}")
+    return rx.group(F.when(s.contains(keyword), s), rf"\b{keyword}{v.KEYWORD_REGION}")
 
 
 def _off_path_region(s: Column) -> Column:
@@ -127,33 +123,32 @@ def _off_path_region(s: Column) -> Column:
 
     def phrase(keyword: str) -> Column:
         region = text.clean_region(_by_keyword(s, keyword))
-        return F.when((region != "") & ~region.isin(v.BARE_COORDINATE_WORDS), region)
+        return rx.keep_if(region, lambda r: (r != "") & ~r.isin(v.BARE_COORDINATE_WORDS))
 
     return F.coalesce(text.clean_region(coordinate_fallback(s)), *[phrase(k) for k in v.REGION_KEYWORDS])
 
 
 def trough_region(s: Column) -> Column:
     """One text: path regions joined, else coordinates, else a preposition phrase."""
-    path = path_regions(s)
-    return F.when(F.size(path) > 0, text.format_regions(path)).otherwise(_off_path_region(s))
+    return rx.bind(
+        path_regions(s),
+        lambda path: F.when(F.size(path) > 0, text.format_regions(path)).otherwise(_off_path_region(s)),
+    )
 
 
 def trough_regions(s: Column) -> Column:
     """Regions of a trough mention: the path parts, else at most one region."""
-    path = path_regions(s)
-    single = F.nullif(_off_path_region(s), F.lit(""))
-    return F.when(F.size(path) > 0, path).otherwise(F.array_compact(F.array(single)))
+    single = F.array_compact(F.array(rx.not_blank(_off_path_region(s))))
+    return rx.bind(path_regions(s), lambda path: F.when(F.size(path) > 0, path).otherwise(single))
 
 
 def aloft_trough(s: Column) -> Column:
     """STRUCT(regions, height) of a trough named as `with a trough aloft`."""
-    there = text.has_additional_trough(s)
     level = F.coalesce(rx.group(s, v.ALOFT_HEIGHT).try_cast("double"), F.lit(0.0))
     axis = text.clean_region(F.when(s.contains("along long"), coordinate_fallback(s)))
-    return F.struct(
-        F.when(there & axis.isNotNull(), F.array(axis)).otherwise(no_regions()).alias("regions"),
-        F.when(there, level).otherwise(F.lit(0.0)).alias("height"),
-    )
+    there = F.struct(F.array_compact(F.array(axis)).alias("regions"), level.alias("height"))
+    none = F.struct(no_regions().alias("regions"), F.lit(0.0).alias("height"))
+    return F.when(s.contains("trough") & text.has_additional_trough(s), there).otherwise(none)
 
 
 def generic_region(s: Column) -> Column:
@@ -164,29 +159,40 @@ def generic_region(s: Column) -> Column:
     """
 
     def found(value: Column) -> Column:
-        return F.struct(value.alias("region"))
-
-    point = text.hemisphere_point(s)
-    lat, lon = F.lower(point["latitude"]), F.lower(point["longitude"])
-    on_longitude = F.coalesce(
-        _coordinate_text(s, "along long"),
-        F.concat(F.lit("along long. "), lon, F.lit(" to the north of lat. "), lat),
-        F.concat(F.lit("along long. "), lon),
-    )
-    on_latitude = F.coalesce(_coordinate_text(s, "along lat"), F.concat(F.lit("along lat. "), lat))
+        return rx.bind(value, lambda x: F.when(x.isNotNull(), F.struct(x.alias("region"))))
+
+    def on_longitude(point: Column) -> Column:
+        lat, lon = F.lower(point["latitude"]), F.lower(point["longitude"])
+        return F.coalesce(
+            F.concat(F.lit("along long. "), lon, F.lit(" to the north of lat. "), lat),
+            F.concat(F.lit("along long. "), lon),
+        )
+
+    def on_latitude(point: Column) -> Column:
+        return F.concat(F.lit("along lat. "), F.lower(point["latitude"]))
+
+    def axis(start: str, by_point) -> Column:
+        by_text = _coordinate_text(s, start)
+        return F.when(s.contains(start), found(F.coalesce(by_text, rx.bind(text.hemisphere_point(s), by_point))))
 
     def phrase(keyword: str) -> Column:
         region = F.substring(rx.strip(_by_keyword(s, keyword)), 1, v.REGION_TEXT_LIMIT)
-        settled = F.when(~rx.matches(region, v.SAME_REGION), region)
-        return F.when(region.isNotNull() & ~region.isin(v.BARE_COORDINATE_WORDS), found(settled))
 
-    ends = F.transform(F.array_compact(F.array(*[rx.group(s, v.GENERIC_PATH, i) for i in (1, 2, 3)])), rx.strip)
-    path = F.substring(F.array_join(rx.no_blanks(ends), v.EXTRACT_DELIMITER), 1, v.REGION_TEXT_LIMIT)
+        def settled(r: Column) -> Column:
+            answer = F.struct(F.when(~rx.matches(r, v.SAME_REGION), r).alias("region"))
+            return F.when(r.isNotNull() & ~r.isin(v.BARE_COORDINATE_WORDS), answer)
+
+        return rx.bind(region, settled)
+
+    def path(ends: Column) -> Column:
+        joined = F.array_join(rx.no_blanks(F.transform(ends, lambda e: rx.strip(e))), v.EXTRACT_DELIMITER)
+        return F.substring(joined, 1, v.REGION_TEXT_LIMIT)
+
     candidates = [
-        F.when(s.contains("along long") & on_longitude.isNotNull(), found(on_longitude)),
-        F.when(s.contains("along lat") & on_latitude.isNotNull(), found(on_latitude)),
+        axis("along long", on_longitude),
+        axis("along lat", on_latitude),
         *[phrase(k) for k in v.REGION_KEYWORDS],
-        F.when(F.size(ends) > 0, found(path)),
+        found(path(rx.parts(F.when(s.contains("from"), s), v.GENERIC_PATH, (1, 2, 3)))),
     ]
     return F.coalesce(*candidates)["region"]
 
@@ -202,6 +208,3 @@ def parse_sentence(sentence: Column) -> list[Column]:
         status(s).alias("status"),
     ]
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from metframe import vocab as v
 from metframe.functions import rx, text
+from metframe.functions.literals import struct_array
 
 Point = tuple[str, float, float]
 
@@ -25,14 +26,8 @@ def key_of(name: str) -> str:
 
 
 def _points(points: Sequence[Point]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(pos).alias("pos"), F.lit(name).alias("name"),
-                F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon"),
-            )
-            for pos, (name, lat, lon) in enumerate(points)
-        ]
+    return struct_array(
+        [{"pos": i, "name": name, "lat": float(lat), "lon": float(lon)} for i, (name, lat, lon) in enumerate(points)]
     )
 
 
@@ -114,7 +109,7 @@ def resolve_region(region_text: Column) -> Column:
     )
     return F.struct(
         text.format_regions(F.array_distinct(rx.no_blanks(resolved))).alias("region"),
-        F.nullif(text.format_regions(originals), F.lit("")).alias("region_original"),
+        rx.not_blank(text.format_regions(originals)).alias("region_original"),
     )
 
 
@@ -124,18 +119,11 @@ def resolve_region(region_text: Column) -> Column:
 def _aliases() -> Column:
     """Aliases, longest first and by list order within one length."""
     ranked = sorted(v.REGION_ALIASES.items(), key=lambda item: -len(item[0]))
-    return F.array(
-        *[
-            F.struct(F.lit(key).alias("key"), F.array(*map(F.lit, names)).alias("names"))
-            for key, names in ranked
-        ]
-    )
+    return struct_array([{"key": key, "names": names} for key, names in ranked])
 
 
 def _officials(names: Sequence[str]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(key_of(n)).alias("key"), F.lit(n).alias("name")) for n in names]
-    )
+    return struct_array([{"key": key_of(n), "name": n} for n in names])
 
 
 def _either_contains(a: Column, b: Column) -> Column:
@@ -172,10 +160,10 @@ def token_containment(key: Column, official: Sequence[str] = v.OFFICIAL_SUBDIVIS
         words = key_of(name).split()
         core = [w for w in words if len(w) > 2 and w not in v.TOKEN_STOP_WORDS]
         if core and key_of(name) not in v.REGION_ALIASES:
-            rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, core)).alias("core")))
+            rows.append({"name": name, "core": core})
 
     def names(words: Column) -> Column:
-        fitting = F.filter(F.array(*rows), lambda o: F.size(F.array_except(o["core"], words)) == 0)
+        fitting = F.filter(struct_array(rows), lambda o: F.size(F.array_except(o["core"], words)) == 0)
         return F.transform(fitting, lambda o: o["name"])
 
     return rx.bind(F.split(key, " "), names)
@@ -204,9 +192,7 @@ def region_subdivisions(region_text: Column) -> Column:
 
 def entity_subdivisions(region: Column, original: Column) -> Column:
     """Subdivisions of a row: of its region and, where kept, its original coordinates."""
-    parts = F.array(blank_part(region), blank_part(original))
+    parts = F.array(text.blank_to_null(region), text.blank_to_null(original))
     return region_subdivisions(F.array_join(F.array_compact(parts), v.EXTRACT_DELIMITER))
 
 
-def blank_part(value: Column) -> Column:
-    return F.nullif(rx.strip(value), F.lit(""))

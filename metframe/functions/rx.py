@@ -1,26 +1,68 @@
 """Regex helpers: one place that fixes the flavour of every pattern.
 
 `U` makes classes and word boundaries Unicode aware, `d` lets only a newline end a line,
-`i` ignores case. All helpers stay JVM-side.
+`i` ignores case. All helpers stay JVM-side and evaluate their argument once.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Every character that counts as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WHITE_RUN = r"[\s\x1c-\x1f]+"
+_MARK = "\x01"
+
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once per row.
+
+    A lambda body, or several uses in one expression, would evaluate an inlined value again
+    and again; passing it through a one-element array makes it a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def keep_if(value: Column, condition: Callable[[Column], Column]) -> Column:
+    """The value where the condition on it holds, else NULL; evaluated once."""
+    return F.get(F.filter(F.array(value), lambda x: condition(x)), F.lit(0))
+
+
+def not_blank(value: Column) -> Column:
+    return keep_if(value, lambda x: x != "")
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Does the pattern occur? A pattern of plain words is a substring test."""
+    if not ignore_case and re.fullmatch(r"[A-Za-z0-9 -]+", pattern):
+        return text.contains(pattern)
     return text.rlike(rx(pattern, ignore_case))
 
 
 def group(text: Column, pattern: str, index: int = 1, ignore_case: bool = False) -> Column:
     """One group of the first match; NULL when there is no match or the group is empty."""
-    return F.nullif(F.regexp_extract(text, rx(pattern, ignore_case), index), F.lit(""))
+    return not_blank(F.regexp_extract(text, rx(pattern, ignore_case), index))
+
+
+def parts(text: Column, pattern: str, indexes: Sequence[int], ignore_case: bool = False) -> Column:
+    """ARRAY of several groups of the first match, NULL when there is none.
+
+    The match is cut out once and rewritten as its groups with marks between them.
+    """
+    found = F.regexp_extract(text, rx(pattern, ignore_case), 0)
+    marked = F.regexp_replace(found, rx(pattern, ignore_case), _MARK.join(f"${i}" for i in indexes))
+    return F.split(not_blank(marked), _MARK)
 
 
 def groups(text: Column, pattern: str, index: int = 1, ignore_case: bool = False) -> Column:
@@ -34,19 +76,10 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = False) -> C
 
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, rx(r"\A\s+|\s+\z"), "")
-
-
-def bind(value: Column, use) -> Column:
-    """`use(value)` with the value worked out once per row.
-
-    A lambda body sees outer expressions inlined and would evaluate them once per element;
-    passing the value through a one-element array makes it a lambda variable.
-    """
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def first_label(text: Column, rules: list[tuple[str, str]]) -> Column:
+def first_label(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Label of the first rule whose pattern occurs in the text, else NULL."""
     return F.coalesce(*[F.when(matches(text, pattern), F.lit(label)) for pattern, label in rules])
 

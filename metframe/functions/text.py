@@ -7,48 +7,54 @@ from pyspark.sql import functions as F
 
 from metframe import vocab as v
 from metframe.functions import rx
+from metframe.functions.literals import text_array
 
 
 # --- dates ----------------------------------------------------------------------------
 
 
-def _calendar_date(year: Column, month: Column, day: Column) -> Column:
-    """DATE from text parts, NULL when any part is missing or the day does not exist."""
-    iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    complete = year.isNotNull() & (year != "0000") & month.isNotNull() & day.isNotNull()
-    return F.when(complete, iso.try_cast("date"))
+def _real_date(iso: Column) -> Column:
+    """DATE of a Y-M-D text, NULL when the text is NULL or the day does not exist."""
+    return rx.keep_if(iso, lambda t: ~t.startswith("0000")).try_cast("date")
 
 
 def heading_date(paragraph: Column) -> Column:
     """Date of a heading such as `Sunday, 08th June 2025`."""
-    day, name, year = (rx.group(paragraph, v.HEADING_DATE, i, ignore_case=True) for i in (1, 2, 3))
-    number = F.array_position(F.array(*map(F.lit, v.MONTH_NAMES)), F.lower(name))
-    return _calendar_date(year, F.when(number > 0, number.cast("string")), day)
+
+    def date(parts: Column) -> Column:
+        month = F.array_position(text_array(v.MONTH_NAMES), parts[1])
+        return F.when(month > 0, F.concat_ws("-", parts[2], month.cast("string"), parts[0]))
+
+    def heading(lowered: Column) -> Column:
+        found = rx.parts(F.when(lowered.contains("day"), lowered), v.HEADING_DATE, (1, 2, 3))
+        return rx.bind(found, date)
+
+    return _real_date(rx.bind(F.lower(paragraph), heading))
 
 
 def file_name_date(name: Column) -> Column:
     """Date from the first 20YYMMDD in the stem of a file name."""
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*\z", "")
-    year, month, day = (rx.group(stem, v.FILE_NAME_DATE, i) for i in (1, 2, 3))
-    return _calendar_date(year, month, day)
+    return _real_date(F.array_join(rx.parts(stem, v.FILE_NAME_DATE, (1, 2, 3)), "-"))
 
 
 def strict_date(text: Column) -> Column:
     """Y-M-D, D-M-Y, D/M/Y or Y/M/D; anything else ends the job with an error."""
-    parsed = parse_date(text)
     message = F.concat(F.lit("Unrecognized date format: "), F.coalesce(text, F.lit("")))
-    return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("date"))
+    return F.coalesce(parse_date(text), F.raise_error(message).cast("date"))
 
 
 def parse_date(text: Column) -> Column:
     """The four accepted shapes, NULL for anything else."""
-    t = rx.strip(text)
-    year_first = r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})\z"
+    year_first = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}\z"
     year_last = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})\z"
-    return F.coalesce(
-        _calendar_date(rx.group(t, year_first, 1), rx.group(t, year_first, 3), rx.group(t, year_first, 4)),
-        _calendar_date(rx.group(t, year_last, 4), rx.group(t, year_last, 3), rx.group(t, year_last, 1)),
-    )
+
+    def iso(t: Column) -> Column:
+        return F.when(t.rlike(year_first), F.translate(t, "/", "-")).when(
+            t.rlike(year_last), F.regexp_replace(t, year_last, "$4-$3-$1")
+        )
+
+    return _real_date(rx.bind(rx.strip(text), iso))
 
 
 def lenient_date_text(text: Column) -> Column:
@@ -65,15 +71,19 @@ def lenient_date_text(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Long dashes to hyphens, white space collapsed and trimmed; case is kept."""
-    return F.trim(rx.replace(F.translate(text, "–—", "--"), r"\s+", " "))
+    return F.trim(rx.replace(F.translate(text, "–—", "--"), rx.WHITE_RUN, " "))
 
 
 def _protected(text: Column) -> Column:
     """Newlines to blanks, domain abbreviations hidden from the sentence splitter."""
-    out = F.translate(text, "\n", " ")
-    for pattern, by in v.ABBREVIATIONS:
-        out = rx.replace(out, pattern, by, ignore_case=True)
-    return out
+
+    def hidden(t: Column) -> Column:
+        out = t
+        for pattern, by in v.ABBREVIATIONS:
+            out = rx.replace(out, pattern, by, ignore_case=True)
+        return F.when(rx.matches(t, v.ANY_ABBREVIATION), out).otherwise(t)
+
+    return rx.bind(F.translate(text, "\n", " "), hidden)
 
 
 def _cleaned(parts: Column) -> Column:
@@ -98,7 +108,9 @@ def split_glued_sentences(text: Column) -> Column:
 def split_clauses(sentences: Column) -> Column:
     """Clauses that share a sentence, with the summary heading taken off."""
     boundary = rx.rx(rf"(?<=\.)\s+(?={v.CLAUSE_STARTS})", ignore_case=True)
-    parts = F.flatten(F.transform(sentences, lambda s: F.split(s, boundary)))
+    parts = F.flatten(
+        F.transform(sentences, lambda s: F.when(rx.matches(s, r"\.\s"), F.split(s, boundary)).otherwise(F.array(s)))
+    )
     return rx.no_blanks(
         F.transform(parts, lambda p: rx.strip(rx.replace(p, v.SUMMARY_PREFIX, "", ignore_case=True)))
     )
@@ -137,14 +149,22 @@ def has_additional_trough(lowered: Column) -> Column:
 
 
 def clean_region(text: Column) -> Column:
-    out = F.btrim(text, F.lit(v.REGION_EDGE_CHARS))
-    for noise in v.REGION_NOISE:
-        out = rx.replace(out, noise, "", ignore_case=True)
-    return rx.strip(out)
+    """Region text without edge characters and trailing remarks.
+
+    One test finds the few texts that carry a remark; only those go through the removals.
+    """
+
+    def cleaned(t: Column) -> Column:
+        out = t
+        for noise in v.REGION_NOISE:
+            out = rx.replace(out, noise, "", ignore_case=True)
+        return F.when(rx.matches(t, v.ANY_REGION_NOISE, ignore_case=True), out).otherwise(t)
+
+    return rx.strip(rx.bind(F.btrim(text, F.lit(v.REGION_EDGE_CHARS)), cleaned))
 
 
 def region_key(text: Column) -> Column:
-    return rx.replace(F.lower(clean_region(text)), r"\s+", " ")
+    return rx.replace(F.lower(clean_region(text)), rx.WHITE_RUN, " ")
 
 
 def subdivision_key(text: Column) -> Column:
@@ -185,8 +205,7 @@ def hemisphere_point(text: Column) -> Column:
     """STRUCT(latitude, longitude) as `22°N`, `89°E`; a missing part is NULL."""
 
     def part(pattern: str) -> Column:
-        number, side = (rx.group(text, pattern, i, ignore_case=True) for i in (1, 2))
-        return F.when(number.isNotNull(), F.concat(number, F.lit("°"), F.upper(side)))
+        return F.upper(F.array_join(rx.parts(text, pattern, (1, 2), ignore_case=True), "°"))
 
     return F.struct(
         part(v.LATITUDE_HEMISPHERE).alias("latitude"), part(v.LONGITUDE_HEMISPHERE).alias("longitude")
@@ -212,7 +231,7 @@ def split_form_list(text: Column, delimiter: str = ",") -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(rx.strip(text), F.lit(""))
+    return rx.not_blank(rx.strip(text))
 
 
 def level_hpa(label: Column) -> Column:

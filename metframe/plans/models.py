@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe import vocab as v
+from metframe.functions.literals import text_array
+from metframe.session import spread
 
 N = len(v.OFFICIAL_SUBDIVISIONS)
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to go through text work, dealt out over the cores when it is one piece."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -37,7 +44,7 @@ NAMES_SQL = sql_list(v.OFFICIAL_SUBDIVISIONS)
 
 
 def _names() -> Column:
-    return F.array(*map(F.lit, v.OFFICIAL_SUBDIVISIONS))
+    return text_array(v.OFFICIAL_SUBDIVISIONS)
 
 
 def _name_at(index: Column) -> Column:
@@ -188,8 +195,8 @@ def _facts(events: DataFrame) -> DataFrame:
         _name_at(user * 5 + event % 4).alias("r1"), _name_at(user * 5 + event % 3 + 7).alias("r2"),
         _name_at(user * 5 + 11).alias("r3"),
         F.concat((F.floor(c / 100) % 9).cast("string"), F.lit("."), (c % 10).cast("string")).alias("h"),
-        F.get(F.array(*map(F.lit, RANGE_LOWS)), (event % 3).cast("int")).alias("lo"),
-        F.get(F.array(*map(F.lit, RANGE_HIGHS)), (event % 3).cast("int")).alias("hi"),
+        F.get(text_array(RANGE_LOWS), (event % 3).cast("int")).alias("lo"),
+        F.get(text_array(RANGE_HIGHS), (event % 3).cast("int")).alias("hi"),
         (F.lit(50) + event % 3 * 15).cast("string").alias("lon"), (F.lit(20) + user % 2 * 11).cast("string").alias("lat"),
     )
 
@@ -218,7 +225,7 @@ def _fill_sql(template: str) -> str:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, bulletin_date, sent_idx, sentence), one sentence per event."""
-    f = _facts(table(spark, sf_dir, "events"))
+    f = _facts(text_table(spark, sf_dir, "events"))
     sentence = F.coalesce(
         *[F.when((F.col("event_type") == e) & (F.col("variant") == i), _fill(t)) for (e, i), t in _templates().items()]
     )
@@ -246,7 +253,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The heading carries a real date, an impossible one or none; the summary paragraph is
     missing from urgent orders, whose first paragraph then stands in.
     """
-    o = table(spark, sf_dir, "orders")
+    o = text_table(spark, sf_dir, "orders")
     key, user = F.col("o_orderkey"), F.col("o_custkey")
     r1, r2 = _name_at(key), _name_at(user)
     height = F.concat((key % 9).cast("string"), F.lit("."), (user % 10).cast("string"))
@@ -310,7 +317,7 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for old, new in PROSE_SWAPS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
 def prose_sql() -> str:
@@ -325,7 +332,7 @@ def prose_sql() -> str:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, region): free region texts with directions, pairs, noise and coordinates."""
-    e = table(spark, sf_dir, "events").withColumn("c", cents())
+    e = text_table(spark, sf_dir, "events").withColumn("c", cents())
     user, event, c = F.col("user_id"), F.col("event_id"), F.col("c")
     first, second = F.lower(_name_at(user)), F.lower(_name_at(event))
     axis = F.concat(
@@ -365,7 +372,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     kinds = F.array(F.lit("CYCIR"), F.lit("Trough"), F.lit("WD"), F.lit(""))
-    level_names = F.array(*map(F.lit, v.PRESSURE_LEVELS))
+    level_names = text_array(v.PRESSURE_LEVELS)
 
     def part(i: Column) -> Column:
         x = key + i
@@ -403,7 +410,7 @@ def legacy(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "levels": li.filter(F.col("l_linestatus") == "F").select(
             system_id.alias("system_id"),
-            F.get(F.array(*map(F.lit, v.PRESSURE_LEVELS)), (F.col("l_partkey") % 10).cast("int")).alias("level_name"),
+            F.get(text_array(v.PRESSURE_LEVELS), (F.col("l_partkey") % 10).cast("int")).alias("level_name"),
         ),
         "subdivisions": li.filter(F.col("l_returnflag") == "A").select(
             system_id.alias("system_id"), _name_at(F.col("l_suppkey")).alias("subdivision_name")

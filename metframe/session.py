@@ -38,6 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when their source has fewer pieces than there are cores.
+
+    Meant for CPU-bound text work on small or unsplittable inputs. A source with enough
+    splits, as any large table has, is returned as it is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 

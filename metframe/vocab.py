@@ -398,6 +398,7 @@ ABBREVIATIONS = [
     (r"\bm\.\s*s\.\s*l\.", "msl<prd>"),
     (r"\bm\.\s*s\.\s*l\b", "msl"),
 ]
+ANY_ABBREVIATION = r"[Ll][Oo][Nn][Gg]\.|[Ll][Aa][Tt]\.|[Mm]\.\s*[Ss]\."
 FRAGMENT_STARTS = r"(?:with a trough|roughly along|in middle|in upper)\b"
 CLAUSE_STARTS = (
     r"The\s+(?:induced\s+)?(?:upper air\s+)?cyclonic circulation|The\s+(?:north[- ]south\s+)?trough|"
@@ -414,6 +415,9 @@ REGION_NOISE = [
     r"\s+(?:has\s+)?become(?:n)?\s+less\s+marked.*$",
     r"\s+became\s+less\s+marked.*$",
 ]
+ANY_REGION_NOISE = (
+    r"\s(?:of today morning\.?$|also\.?$|then persisted|(?:has\s+)?become(?:n)?\s+less\s+marked|became\s+less\s+marked)"
+)
 FRAGMENT_STOP_PHRASES = ["the", "cyclonic circulation", "upper air cyclonic circulation"]
 TOKEN_STOP_WORDS = ["and", "the", "sea", "bay", "north", "south", "east", "west"]
 
