@@ -16,11 +16,23 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1 << 16
 
 
-def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk number of a row from its whole-number order column."""
+def chunk_of(order: Column, rows: int | None = CHUNK_ROWS) -> Column:
+    """Chunk number of a row from its whole-number order column; 0 when nothing is cut."""
+    if rows is None:
+        return F.lit(0).cast("bigint")
     return F.floor(order / F.lit(rows)).cast("bigint")
 
 
+def chunk_rows_for(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int | None:
+    """None when every group fits one chunk, checked by the largest order value of `df`.
+
+    For a table or a materialised stage this reads one column; scans over it can then leave
+    out the step between chunks.
+    """
+    largest = df.agg(F.max(order)).first()[0]
+    return None if largest is None or largest < rows else rows
+
+
 def number_rows(
     df: DataFrame,
     name: str,
@@ -56,16 +68,19 @@ def carry_last(
     order: str,
     values: Mapping[str, Column],
     with_current: bool,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Add columns holding the last non-NULL of each expression among earlier rows.
 
     With `with_current` the row itself counts as well. Two passes over `df`, which should
-    therefore be a table or a materialised stage.
+    therefore be a table or a materialised stage; one pass when no group needs cutting.
     """
     keys = [*groups, "_chunk"]
-    cut = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
     end = Window.currentRow if with_current else -1
+    if chunk_rows is None:
+        whole = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return df.select("*", *[F.last(e, ignorenulls=True).over(whole).alias(n) for n, e in values.items()])
+    cut = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
     local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     rows = cut.select(
         *cut.columns, *[F.last(e, ignorenulls=True).over(local).alias(f"_local_{n}") for n, e in values.items()]
@@ -89,11 +104,14 @@ def next_row(
     groups: Sequence[str],
     order: str,
     values: Mapping[str, Column],
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Add columns holding each expression of the following row, NULL for the last one."""
     keys = [*groups, "_chunk"]
     packed = F.struct(*[e.alias(n) for n, e in values.items()])
+    if chunk_rows is None:
+        ahead = F.lead(packed).over(Window.partitionBy(*groups).orderBy(order))
+        return df.withColumn("_next", ahead).select(*df.columns, *[F.col("_next")[n].alias(n) for n in values])
     cut = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
     local = Window.partitionBy(*keys).orderBy(order)
     rows = cut.withColumn("_next", F.lead(packed).over(local))
