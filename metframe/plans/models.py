@@ -213,31 +213,27 @@ _FACTS_SQL = f"""facts AS (
   FROM (SELECT *, {CENTS_SQL} AS c FROM events))"""
 
 
-def _fill(template: str) -> Column:
-    pieces = template.replace("{", "\0{").replace("}", "}\0").split("\0")
-    return F.concat(*[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in pieces if p])
-
-
 def _fill_sql(template: str) -> str:
     pieces = template.replace("{", "\0{").replace("}", "}\0").split("\0")
     return " || ".join(p[1:-1] if p.startswith("{") else sql_text(p) for p in pieces if p)
 
 
+def _sentence_sql() -> str:
+    whens = (
+        f"WHEN event_type = {sql_text(e)} AND variant = {i} THEN {_fill_sql(t)}" for (e, i), t in _templates().items()
+    )
+    return f"CASE {' '.join(whens)} END"
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, bulletin_date, sent_idx, sentence), one sentence per event."""
     f = _facts(text_table(spark, sf_dir, "events"))
-    sentence = F.coalesce(
-        *[F.when((F.col("event_type") == e) & (F.col("variant") == i), _fill(t)) for (e, i), t in _templates().items()]
-    )
-    return f.select("source_file", "bulletin_date", "sent_idx", sentence.alias("sentence"))
+    return f.select("source_file", "bulletin_date", "sent_idx", F.expr(_sentence_sql()).alias("sentence"))
 
 
 def sentences_sql() -> str:
-    whens = " ".join(
-        f"WHEN event_type = {sql_text(e)} AND variant = {i} THEN {_fill_sql(t)}" for (e, i), t in _templates().items()
-    )
     return _FACTS_SQL + f""",
-sentences AS (SELECT *, CASE {whens} END AS sentence FROM facts)"""
+sentences AS (SELECT *, {_sentence_sql()} AS sentence FROM facts)"""
 
 
 # --- bulletin paragraphs --------------------------------------------------------------------------
