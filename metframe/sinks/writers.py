@@ -12,8 +12,8 @@ from metframe.functions import levels, places, text
 from metframe.operators import flat
 from metframe.operators.star import Star
 from metframe.session import materialize
+from metframe.sources.tables import MONTH
 
-MONTH = "entry_month"
 
 
 # --- extraction rows ----------------------------------------------------------------------

@@ -13,6 +13,7 @@ from metframe.functions.places import Point
 
 ENTRY_COLUMNS = ["id", "entry_date", "weather_system", "pressure_level", "subdivisions"]
 LOOKUP_LIMIT = 2_000
+MONTH = "entry_month"
 
 
 def read_csv_rows(spark: SparkSession, path: str, wanted: Sequence[str] = v.ENRICHED_COLUMNS) -> DataFrame:
@@ -31,7 +32,11 @@ def read_csv_rows(spark: SparkSession, path: str, wanted: Sequence[str] = v.ENRI
     )
     columns = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
     where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    return _in_file_order(rows.select(*columns, "bad_row", *where))
+    # Naming every column keeps the reader from pruning any: a row is only known to be of a
+    # wrong length when it is read whole.
+    whole = F.length(F.concat_ws("", *[F.col(f"`{name}`") for name in names])) >= 0
+    bad_row = F.when(whole, F.col("bad_row")).alias("bad_row")
+    return _in_file_order(rows.select(*columns, bad_row, *where))
 
 
 def _in_file_order(rows: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def _in_file_order(rows: DataFrame) -> DataFrame:
 
 def bad_rows(rows: DataFrame) -> DataFrame:
     """Rows of a wrong length, whole, with their position."""
-    return rows.filter(F.col("bad_row").isNotNull()).select("row_pos", "bad_row", "date")
+    return rows.filter(F.col("bad_row").isNotNull()).select("row_pos", "bad_row")
 
 
 def good_rows(rows: DataFrame) -> DataFrame:
@@ -82,9 +87,19 @@ def official_names(primary: Sequence[str] = v.OFFICIAL_SUBDIVISIONS, points: Seq
     return list(primary) or [name for name, _, _ in points]
 
 
-def read_entries(spark: SparkSession, path: str, columns: Sequence[str] = ENTRY_COLUMNS) -> DataFrame:
-    """Flat entries with only the wanted columns; filters reach the Parquet scan."""
-    return spark.read.parquet(path).select(*columns)
+def read_entries(
+    spark: SparkSession, path: str, columns: Sequence[str] = ENTRY_COLUMNS, date: str = ""
+) -> DataFrame:
+    """Flat entries with only the wanted columns; filters reach the Parquet scan.
+
+    For one date only the folder of its month is read.
+    """
+    stored = spark.read.parquet(path)
+    if date:
+        day = F.lit(date).cast("date")
+        month = F.lit(date[:7]).cast(stored.schema[MONTH].dataType)
+        stored = stored.filter((F.col(MONTH) == month) & (F.col("entry_date") == day))
+    return stored.select(*columns)
 
 
 def read_entries_jdbc(
