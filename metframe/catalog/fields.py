@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metframe import vocab as v
 from metframe.catalog.base import Query, clean_sql
 from metframe.functions import fields, text
-from metframe.operators import entities
+from metframe.operators import entities, scans
 from metframe.plans import models as m
 from metframe.session import materialize
 
@@ -117,7 +117,7 @@ def _parsed(spark, sf_dir):
 
 def _carried(spark, sf_dir):
     parsed = materialize(_parsed(spark, sf_dir), "parsed")
-    return entities.resolve_context(parsed).drop("bulletin_date", "sentence")
+    return entities.resolve_context(parsed, scans.chunk_rows_for(parsed, "sent_idx")).drop("bulletin_date", "sentence")
 
 
 _w = "OVER (PARTITION BY source_file ORDER BY sent_idx"

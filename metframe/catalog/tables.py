@@ -58,7 +58,7 @@ def _plain(spark, sf_dir):
 
 
 def _star(pick):
-    return lambda spark, sf_dir: pick(star.build_star(m.rows(spark, sf_dir), _POSITION))
+    return lambda spark, sf_dir: pick(star.build_star(m.rows(spark, sf_dir), _POSITION, staged=False))
 
 
 STAR_SQL = f"""WITH {m.rows_sql()},

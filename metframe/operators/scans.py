@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metframe.session import materialize
+
 CHUNK_ROWS = 1 << 16
 
 
@@ -62,6 +64,35 @@ def number_rows(
     )
 
 
+def in_file_order(rows: DataFrame, name: str, file: Column, block: Column) -> DataFrame:
+    """Add `name` = 0, 1, ... through each file and on from file to file, by file name.
+
+    `rows` come straight from a file scan; `file` and `block` are its metadata columns.
+    Inside one block `monotonically_increasing_id` rises with the rows, so only one summary
+    row per block is ever sorted.
+    """
+    where = ["_file", "_block"]
+    raw = rows.select("*", file.alias("_file"), block.alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    sizes = raw.groupBy(*where).agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*where, "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    position = (F.col("_start") + F.col("_id") - F.col("_low")).alias(name)
+    return raw.join(starts, where).select(*rows.columns, position)
+
+
+def number_sorted(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Add `name` = 1, 2, ... in any order, for any number of rows.
+
+    The sorted rows are written once; the order of the written files is the order of the
+    rows, so numbers follow from file and block sizes without a single-task window.
+    """
+    stored = materialize(df.orderBy(*order), "sorted")
+    path = F.col("_metadata.file_path")
+    # Longer names carry larger part numbers.
+    placed = in_file_order(stored, name, F.struct(F.length(path), path), F.col("_metadata.file_block_start"))
+    return placed.withColumn(name, F.col(name) + 1)
+
+
 def carry_last(
     df: DataFrame,
     groups: Sequence[str],

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from metframe import vocab as v
 from metframe.functions import rx, text
 from metframe.operators import scans
+from metframe.session import materialize
+
+VOCABULARY_LIMIT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -36,23 +39,31 @@ def _dense_ids(values: DataFrame, *order: Column) -> DataFrame:
     return values.select(F.row_number().over(Window.orderBy(*order)).alias("id"), "*")
 
 
+def _checked_ids(values: DataFrame, *order: Column) -> DataFrame:
+    """Dense ids over staged values; a list too long for one task is numbered by a sorted write."""
+    staged = materialize(values, "dimension")
+    if staged.count() <= VOCABULARY_LIMIT:
+        return _dense_ids(staged, *order)
+    return scans.number_sorted(staged, "id", *order).select("id", *values.columns)
+
+
 def _items(rows: DataFrame, column: str, delimiter: str, name: str) -> DataFrame:
     return rows.select(F.explode(text.split_list(F.col(column), delimiter)).alias(name))
 
 
-def dim_date(rows: DataFrame) -> DataFrame:
-    return _dense_ids(rows.select(F.col("date").alias("entry_date")).distinct(), F.col("entry_date"))
+def dim_date(rows: DataFrame, ids=_dense_ids) -> DataFrame:
+    return ids(rows.select(F.col("date").alias("entry_date")).distinct(), F.col("entry_date"))
 
 
-def dim_subdivision(rows: DataFrame, delimiter: str = ";") -> DataFrame:
-    return _dense_ids(_items(rows, "subdivisions", delimiter, "name").distinct(), F.col("name"))
+def dim_subdivision(rows: DataFrame, delimiter: str = ";", ids=_dense_ids) -> DataFrame:
+    return ids(_items(rows, "subdivisions", delimiter, "name").distinct(), F.col("name"))
 
 
-def dim_level(rows: DataFrame, delimiter: str = ";") -> DataFrame:
+def dim_level(rows: DataFrame, delimiter: str = ";", ids=_dense_ids) -> DataFrame:
     """Levels by rising hPa; `Surface` has none and comes last."""
     labels = _items(rows, "pressure_level", delimiter, "label").distinct()
     known = labels.withColumn("hpa", text.level_hpa(F.col("label")))
-    return _dense_ids(known, F.col("hpa").asc_nulls_last(), F.col("label"))
+    return ids(known, F.col("hpa").asc_nulls_last(), F.col("label"))
 
 
 def fact_system(numbered: DataFrame, dates: DataFrame) -> DataFrame:
@@ -68,17 +79,32 @@ def _junction(numbered: DataFrame, column: str, delimiter: str, dim: DataFrame,
     return listed.join(dim.select(F.col("id").alias(out), name), name).select("system_id", out)
 
 
-def build_star(rows: DataFrame, position: str, delimiter: str = ";", chunk_rows: int = scans.CHUNK_ROWS) -> Star:
-    """All six tables from rows (date, weather_system, pressure_level, subdivisions, position)."""
-    kept = supported(rows)
-    dates, subs, levels = dim_date(kept), dim_subdivision(kept, delimiter), dim_level(kept, delimiter)
+def numbered_rows(rows: DataFrame, position: str, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+    """Supported rows with system id 1..n in file order and sequence 1..n within their date."""
+    kept = supported(rows).select(position, "date", "weather_system", "subdivisions", "pressure_level")
     by_file = scans.number_rows(kept, "system_id", position, chunk_rows=chunk_rows)
-    numbered = scans.number_rows(by_file, "system_seq", position, groups=["date"], chunk_rows=chunk_rows)
+    return scans.number_rows(by_file, "system_seq", position, groups=["date"], chunk_rows=chunk_rows)
+
+
+def build_star(
+    rows: DataFrame, position: str, delimiter: str = ";", chunk_rows: int = scans.CHUNK_ROWS, staged: bool = True
+) -> Star:
+    """All six tables from rows (date, weather_system, pressure_level, subdivisions, position).
+
+    Staged, the numbered rows and the dimensions are written once and shared by all tables;
+    otherwise every table is one lazy plan of its own.
+    """
+    numbered = numbered_rows(rows, position, chunk_rows)
+    ids = _checked_ids if staged else _dense_ids
+    if staged:
+        numbered = materialize(numbered, "systems")
+    source = numbered if staged else supported(rows)
+    dates, subs, levels = dim_date(source, ids), dim_subdivision(source, delimiter, ids), dim_level(source, delimiter, ids)
     return Star(
         dim_date=dates,
         dim_subdivision=subs,
         dim_level=levels,
         fact_system=fact_system(numbered, dates),
-        system_subdivision=_junction(by_file, "subdivisions", delimiter, subs, "name", "subdivision_id"),
-        system_level=_junction(by_file, "pressure_level", delimiter, levels, "label", "pressure_level_id"),
+        system_subdivision=_junction(numbered, "subdivisions", delimiter, subs, "name", "subdivision_id"),
+        system_level=_junction(numbered, "pressure_level", delimiter, levels, "label", "pressure_level_id"),
     )

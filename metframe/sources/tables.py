@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metframe import schemas
 from metframe import vocab as v
 from metframe.functions.places import Point
+from metframe.operators import scans
 
 ENTRY_COLUMNS = ["id", "entry_date", "weather_system", "pressure_level", "subdivisions"]
 LOOKUP_LIMIT = 2_000
@@ -31,29 +32,14 @@ def read_csv_rows(spark: SparkSession, path: str, wanted: Sequence[str] = v.ENRI
         .option("columnNameOfCorruptRecord", "bad_row").schema(schema).csv(path)
     )
     columns = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
     # Naming every column keeps the reader from pruning any: a row is only known to be of a
     # wrong length when it is read whole.
     whole = F.length(F.concat_ws("", *[F.col(f"`{name}`") for name in names])) >= 0
     bad_row = F.when(whole, F.col("bad_row")).alias("bad_row")
-    return _in_file_order(rows.select(*columns, bad_row, *where))
-
-
-def _in_file_order(rows: DataFrame) -> DataFrame:
-    """Add `row_pos` = 0, 1, ... through each file and on from file to file, by file name.
-
-    Inside one block of a file `monotonically_increasing_id` rises with the rows, so only
-    one summary row per block is ever sorted.
-    """
-    block = ["_file", "_block"]
-    raw = rows.withColumn("_id", F.monotonically_increasing_id())
-    sizes = raw.groupBy(*block).agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*block, "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    placed = raw.join(starts, block)
-    return placed.withColumn("row_pos", F.col("_start") + F.col("_id") - F.col("_low")).drop(
-        *block, "_id", "_low", "_start"
-    )
+    return scans.in_file_order(
+        rows.select(*columns, bad_row, "_metadata"), "row_pos",
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+    ).drop("_metadata")
 
 
 def bad_rows(rows: DataFrame) -> DataFrame:

@@ -57,3 +57,9 @@ def test_next_row(rows, chunk):
 def test_chunk_check(rows):
     assert scans.chunk_rows_for(rows, "pos", 5000) is None
     assert scans.chunk_rows_for(rows, "pos", 100) == 100
+
+
+def test_number_sorted(rows):
+    order = [F.col("m").desc_nulls_last(), F.col("pos")]
+    ours = scans.number_sorted(rows, "n", *order)
+    same(ours, rows.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("bigint")))

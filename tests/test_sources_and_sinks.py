@@ -135,7 +135,9 @@ def test_strict_reload_refuses_an_unknown_date(spark):
         flat.reload_strict(rows, "row_pos").collect()
 
 
-def test_star_tables_are_written(spark, tmp_path):
+@pytest.mark.parametrize("limit", [star.VOCABULARY_LIMIT, 0])
+def test_star_tables_are_written(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(star, "VOCABULARY_LIMIT", limit)
     rows = spark.createDataFrame(
         [
             (0, "2025-06-02", "CYCIR", "850 hPa ; Surface", "Bihar ; Bihar"), (1, "2025-06-01", "WD", "700 hPa", ""),
