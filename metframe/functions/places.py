@@ -87,30 +87,28 @@ def resolve_region(region_text: Column) -> Column:
 
     The original is NULL unless some coordinate part was replaced.
     """
-    parts = rx.no_blanks(F.transform(F.split(F.coalesce(region_text, F.lit("")), ";"), rx.strip))
-    hits = F.transform(
-        parts,
-        lambda p: F.struct(
-            p.alias("part"),
-            text.is_coordinate_region(p).alias("axis"),
-            F.when(text.is_coordinate_region(p), imd_subdivisions(p)).alias("names"),
-        ),
-    )
-    resolved = F.flatten(
-        F.transform(
-            hits,
-            lambda h: F.when(~h["axis"], F.array(text.clean_region(h["part"])))
+    parts = rx.no_blanks(F.transform(F.split(F.coalesce(region_text, F.lit("")), ";"), lambda p: rx.strip(p)))
+
+    def hit(part: Column) -> Column:
+        names = F.when(text.is_coordinate_region(part), imd_subdivisions(part))
+        return F.struct(part.alias("part"), names.alias("names"))
+
+    def named(h: Column) -> Column:
+        return (
+            F.when(h["names"].isNull(), F.array(text.clean_region(h["part"])))
             .when(F.size(h["names"]) > 0, h["names"])
-            .otherwise(F.array(h["part"])),
+            .otherwise(F.array(h["part"]))
         )
-    )
-    originals = F.transform(
-        F.filter(hits, lambda h: h["axis"] & (F.size(h["names"]) > 0)), lambda h: h["part"]
-    )
-    return F.struct(
-        text.format_regions(F.array_distinct(rx.no_blanks(resolved))).alias("region"),
-        rx.not_blank(text.format_regions(originals)).alias("region_original"),
-    )
+
+    def resolved(hits: Column) -> Column:
+        names = F.array_distinct(rx.no_blanks(F.flatten(F.transform(hits, named))))
+        replaced = F.transform(F.filter(hits, lambda h: F.size(h["names"]) > 0), lambda h: h["part"])
+        return F.struct(
+            text.format_regions(names).alias("region"),
+            rx.not_blank(text.format_regions(replaced)).alias("region_original"),
+        )
+
+    return rx.bind(F.transform(parts, hit), resolved)
 
 
 # --- fragment lookups -----------------------------------------------------------------

@@ -71,7 +71,9 @@ def lenient_date_text(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Long dashes to hyphens, white space collapsed and trimmed; case is kept."""
-    return F.trim(rx.replace(F.translate(text, "–—", "--"), rx.WHITE_RUN, " "))
+    uneven = text.rlike(rx.rx(r"[\s&&[^ ]]|[\x1c-\x1f–—]|  |\A | \z"))
+    even = F.trim(rx.replace(F.translate(text, "–—", "--"), rx.WHITE_RUN, " "))
+    return F.when(uneven, even).otherwise(text)
 
 
 def _protected(text: Column) -> Column:
