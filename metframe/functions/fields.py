@@ -82,7 +82,7 @@ def height(s: Column) -> Column:
 def _coordinate_text(s: Column, start: str) -> Column:
     """Text from the first `start` up to a stop word; NULL when hardly anything is left."""
     tail = F.substr(s, F.instr(s, start))
-    head = F.btrim(F.get(F.split(tail, rx.rx(v.COORDINATE_STOP), 2), F.lit(0)), F.lit(v.REGION_EDGE_CHARS))
+    head = F.btrim(rx.replace(tail, rf"{v.COORDINATE_STOP}[\s\S]*", ""), F.lit(v.REGION_EDGE_CHARS))
     long_enough = rx.keep_if(head, lambda h: F.length(h) > v.COORDINATE_MIN_CHARS)
     return F.when(s.contains(start), F.substring(long_enough, 1, v.REGION_TEXT_LIMIT))
 

@@ -18,7 +18,8 @@ WHITE_SPACE = (
     "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WHITE_RUN = r"[\s\x1c-\x1f]+"
-_MARK = "\x01"
+# Fixed value: a noncharacter, reserved for marks inside a program and never part of text.
+_MARK = "\ufdd0"
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
@@ -74,6 +75,22 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = False) -> C
     return F.regexp_replace(text, rx(pattern, ignore_case), by)
 
 
+def split(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Parts between the matches of a pattern.
+
+    Matches become one mark and the text is cut at the marks: replacing keeps the compiled
+    pattern from row to row, while splitting by a pattern compiles it for every row.
+    """
+    return F.split(F.regexp_replace(text, rx(pattern, ignore_case), _MARK), _MARK)
+
+
+def split_at(text: Column, delimiter: str) -> Column:
+    """Parts between plain delimiters; one character needs no pattern at all."""
+    if len(delimiter) == 1:
+        return F.split(text, "\\" + delimiter if delimiter in ".$|()[{^?*+\\" else delimiter)
+    return F.split(F.replace(text, F.lit(delimiter), F.lit(_MARK)), _MARK)
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.btrim(text, F.lit(WHITE_SPACE))

@@ -94,7 +94,7 @@ def _cleaned(parts: Column) -> Column:
 
 def split_plain_sentences(text: Column) -> Column:
     """Sentences by punctuation only, before fragments are glued."""
-    return _cleaned(F.split(_protected(text), rx.rx(r"(?<=[.!?])\s+")))
+    return _cleaned(rx.split(_protected(text), r"(?<=[.!?])\s+"))
 
 
 def split_glued_sentences(text: Column) -> Column:
@@ -104,15 +104,17 @@ def split_glued_sentences(text: Column) -> Column:
     blank, and the possessive split passes over it. No grouping is needed for the merge.
     """
     glued = rx.replace(_protected(text), rf"(?<=[.!?])\s+(?={v.FRAGMENT_STARTS})", " ", ignore_case=True)
-    return _cleaned(F.split(glued, rx.rx(rf"(?<=[.!?])\s++(?!{v.FRAGMENT_STARTS})", ignore_case=True)))
+    return _cleaned(rx.split(glued, rf"(?<=[.!?])\s++(?!{v.FRAGMENT_STARTS})", ignore_case=True))
 
 
 def split_clauses(sentences: Column) -> Column:
     """Clauses that share a sentence, with the summary heading taken off."""
-    boundary = rx.rx(rf"(?<=\.)\s+(?={v.CLAUSE_STARTS})", ignore_case=True)
-    parts = F.flatten(
-        F.transform(sentences, lambda s: F.when(rx.matches(s, r"\.\s"), F.split(s, boundary)).otherwise(F.array(s)))
-    )
+    boundary = rf"(?<=\.)\s+(?={v.CLAUSE_STARTS})"
+
+    def clauses(s: Column) -> Column:
+        return F.when(rx.matches(s, r"\.\s"), rx.split(s, boundary, ignore_case=True)).otherwise(F.array(s))
+
+    parts = F.flatten(F.transform(sentences, clauses))
     return rx.no_blanks(
         F.transform(parts, lambda p: rx.strip(rx.replace(p, v.SUMMARY_PREFIX, "", ignore_case=True)))
     )
@@ -179,7 +181,7 @@ def format_regions(regions: Column) -> Column:
 
 def split_fragments(region_text: Column) -> Column:
     """`;` separated fragments, cleaned, without blanks and bare system names."""
-    parts = rx.no_blanks(F.transform(F.split(region_text, rx.rx(r"\s*;\s*")), clean_region))
+    parts = rx.no_blanks(F.transform(rx.split(region_text, r"\s*;\s*"), lambda p: clean_region(p)))
     return F.filter(parts, lambda p: ~F.lower(p).isin(v.FRAGMENT_STOP_PHRASES))
 
 
@@ -223,12 +225,12 @@ def php_trim(text: Column) -> Column:
 
 def split_list(text: Column, delimiter: str = ";") -> Column:
     """Trimmed, non-blank parts; a NULL text gives an empty list."""
-    return rx.no_blanks(F.transform(F.split(F.coalesce(text, F.lit("")), f"\\Q{delimiter}\\E"), rx.strip))
+    return rx.no_blanks(F.transform(rx.split_at(F.coalesce(text, F.lit("")), delimiter), lambda p: rx.strip(p)))
 
 
 def split_form_list(text: Column, delimiter: str = ",") -> Column:
     """As the viewer reads a list: blanks and a bare `0` are dropped."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), f"\\Q{delimiter}\\E"), php_trim)
+    parts = F.transform(rx.split_at(F.coalesce(text, F.lit("")), delimiter), lambda p: php_trim(p))
     return F.filter(parts, lambda p: ~p.isin("", "0"))
 
 
@@ -238,4 +240,4 @@ def blank_to_null(text: Column) -> Column:
 
 def level_hpa(label: Column) -> Column:
     """`700 hPa` -> 700; NULL for `Surface`, which therefore sorts last."""
-    return F.get(F.split(F.trim(label), r"\s+"), F.lit(0)).try_cast("int")
+    return rx.group(label, r"^\s*(\S+)").try_cast("int")
