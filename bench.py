@@ -13,7 +13,7 @@ import sys
 import time
 
 from metframe.catalog import all_queries
-from metframe.session import build_session
+from metframe.session import build_session, drop_stages
 
 HEADLINE = [
     "pair_filter_all", "pair_filter_pressure_gt", "pair_filter_mixed", "grouped_view", "export_grouped",
@@ -48,6 +48,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(line))
+    drop_stages(spark)
     spark.stop()
 
 

@@ -93,64 +93,67 @@ def number_sorted(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return placed.withColumn(name, F.col(name) + 1)
 
 
-def carry_last(
+def look_around(
     df: DataFrame,
     groups: Sequence[str],
     order: str,
-    values: Mapping[str, Column],
+    last: Mapping[str, Column],
+    ahead: Mapping[str, Column],
     with_current: bool,
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add columns holding the last non-NULL of each expression among earlier rows.
+    """Add what earlier rows left behind and what the next row holds.
 
-    With `with_current` the row itself counts as well. Two passes over `df`, which should
-    therefore be a table or a materialised stage; one pass when no group needs cutting.
+    `last` columns take the last non-NULL of an expression among earlier rows (and the row
+    itself, with `with_current`), `ahead` columns an expression of the following row. Rows
+    shuffle once; one summary row per chunk carries values across. `df` is read twice and
+    should be a table or a materialised stage; once when no group needs cutting.
     """
     keys = [*groups, "_chunk"]
     end = Window.currentRow if with_current else -1
-    if chunk_rows is None:
-        whole = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-        return df.select("*", *[F.last(e, ignorenulls=True).over(whole).alias(n) for n, e in values.items()])
+    packed = F.struct(*[e.alias(n) for n, e in ahead.items()]) if ahead else F.lit(None).cast("string")
     cut = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
-    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    sorted_rows = Window.partitionBy(*keys).orderBy(order)
+    passed = sorted_rows.rowsBetween(Window.unboundedPreceding, end)
     rows = cut.select(
-        *cut.columns, *[F.last(e, ignorenulls=True).over(local).alias(f"_local_{n}") for n, e in values.items()]
-    )
-    ends = cut.groupBy(*keys).agg(
-        *[F.max_by(e, F.when(e.isNotNull(), F.col(order))).alias(n) for n, e in values.items()]
+        "*", *[F.last(e, ignorenulls=True).over(passed).alias(f"_last_{n}") for n, e in last.items()],
+        F.lead(packed).over(sorted_rows).alias("_next"),
     )
-    earlier = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, *[F.last(n, ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in values]
-    )
-    useful = reduce(lambda a, b: a | b, [F.col(f"_carry_{n}").isNotNull() for n in values])
-    return rows.join(carried.filter(useful), keys, "left").select(
-        *df.columns,
-        *[F.coalesce(F.col(f"_local_{n}"), F.col(f"_carry_{n}")).alias(n) for n in values],
+    found = {n: F.col(f"_last_{n}") for n in last}
+    if chunk_rows is None:
+        following = F.col("_next")
+    else:
+        ends = cut.groupBy(*keys).agg(
+            *[F.max_by(e, F.when(e.isNotNull(), F.col(order))).alias(n) for n, e in last.items()],
+            F.min_by(packed, F.col(order)).alias("_head"),
+        )
+        by_chunk = Window.partitionBy(*groups).orderBy("_chunk")
+        earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+        handed = ends.select(
+            *keys, *[F.last(n, ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in last],
+            F.lead("_head").over(by_chunk).alias("_after"),
+        )
+        carries = [f"_carry_{n}" for n in last] + ["_after"]
+        useful = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in carries])
+        rows = rows.join(handed.filter(useful), keys, "left")
+        found = {n: F.coalesce(column, F.col(f"_carry_{n}")) for n, column in found.items()}
+        following = F.coalesce("_next", "_after")
+    return rows.select(
+        *df.columns, *[column.alias(n) for n, column in found.items()], *[following[n].alias(n) for n in ahead]
     )
 
 
+def carry_last(
+    df: DataFrame, groups: Sequence[str], order: str, values: Mapping[str, Column], with_current: bool,
+    chunk_rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """Add columns holding the last non-NULL of each expression among earlier rows."""
+    return look_around(df, groups, order, values, {}, with_current, chunk_rows)
+
+
 def next_row(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: str,
-    values: Mapping[str, Column],
+    df: DataFrame, groups: Sequence[str], order: str, values: Mapping[str, Column],
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Add columns holding each expression of the following row, NULL for the last one."""
-    keys = [*groups, "_chunk"]
-    packed = F.struct(*[e.alias(n) for n, e in values.items()])
-    if chunk_rows is None:
-        ahead = F.lead(packed).over(Window.partitionBy(*groups).orderBy(order))
-        return df.withColumn("_next", ahead).select(*df.columns, *[F.col("_next")[n].alias(n) for n in values])
-    cut = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
-    local = Window.partitionBy(*keys).orderBy(order)
-    rows = cut.withColumn("_next", F.lead(packed).over(local))
-    heads = cut.groupBy(*keys).agg(F.min_by(packed, F.col(order)).alias("_head"))
-    following = heads.select(
-        *keys, F.lead("_head").over(Window.partitionBy(*groups).orderBy("_chunk")).alias("_after")
-    ).filter(F.col("_after").isNotNull())
-    joined = rows.join(following, keys, "left")
-    return joined.select(
-        *df.columns, *[F.coalesce(F.col("_next"), F.col("_after"))[n].alias(n) for n in values]
-    )
+    return look_around(df, groups, order, {}, values, False, chunk_rows)

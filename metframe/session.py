@@ -28,14 +28,26 @@ def build_session(app: str = "metframe", master: str | None = None, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a scratch folder only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="metframe-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="metframe-shared-"))
+    return context.getCheckpointDir()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """Where the stages of this application are written."""
+    return f"{shared_folder(spark)}/metframe-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stages of this application, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,6 +67,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     only the columns it needs, and a lost executor costs a re-read, not a re-extraction.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/metframe/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
-from metframe.session import build_session  # noqa: E402
+from metframe.session import build_session, drop_stages  # noqa: E402
 
 
 def session():
@@ -23,4 +23,6 @@ def session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return session()
+    spark = session()
+    yield spark
+    drop_stages(spark)

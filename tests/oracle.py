@@ -74,6 +74,7 @@ def main() -> None:
     from tests.conftest import session
 
     from metframe.catalog import all_queries
+    from metframe.session import drop_stages
 
     spark = session()
     wanted = sys.argv[1:]
@@ -90,6 +91,7 @@ def main() -> None:
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'BAD '} {name} {time.time() - began:.1f}s {problem or ''}", flush=True)
     print(f"{failed} not matched")
+    drop_stages(spark)
 
 
 if __name__ == "__main__":
