@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from metframe import vocab as v
 from metframe.catalog.base import Query, clean_sql, form_list_sql, joined, key_sql, list_sql
-from metframe.functions import levels, places, text
+from metframe.functions import levels, text
 from metframe.operators import bulletins
 from metframe.plans import models as m
 
