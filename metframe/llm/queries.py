@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe.catalog.base import Query
-from metframe.llm import chat, urls, warc
+from metframe.llm import chat, decontaminate, packing, toxicity, urls, warc
 from metframe.session import materialize
 
 
@@ -35,6 +35,30 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def _held_out(column: str, parts: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % parts == 2
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out("doc_id", 4))
+    scored = toxicity.score(documents, toxicity.fit(documents, labels))
+    return scored.select(
+        "doc_id", _held_out("doc_id", 4).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -80,6 +104,9 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.text}' THEN '
 
 QUERIES = [
     Query("op1_warc", op1_warc, _OP1_SQL),
+    Query("op3_decontaminate", op3_decontaminate),
+    Query("op6_packing", op6_packing),
+    Query("op8_toxicity", op8_toxicity),
     Query("op9_chat", op9_chat),
     Query("op10_urls", op10_urls, _OP10_SQL),
 ]
