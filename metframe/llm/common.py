@@ -9,6 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metframe.session import materialize
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: A-Z to a-z, all else kept; on UTF-8 bytes, so that other letters stay as they are.
@@ -86,3 +89,19 @@ def column_names(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are not among {df.columns}")
+
+
+def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
+    """Rows with a key of their own, and of those that repeat a key the smallest one; rows without a key all stay.
+
+    Only keys are shuffled to find repeats; without any, the frame is returned as it is. Columns have to be orderable.
+    """
+    column = F.col(f"`{key}`")
+    keys = df.where(column.isNotNull()).groupBy(column.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
+    repeated = materialize(keys.select("__key"), "repeated-keys")
+    if repeated.isEmpty():
+        return df
+    same = column == F.col("__key")
+    alone = df.join(repeated, same, "left_anti")
+    folded = df.join(repeated, same, "left_semi").groupBy(column).agg(F.min(F.struct(*[f"`{c}`" for c in df.columns])).alias("__row"))
+    return alone.unionByName(folded.select("__row.*"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe.catalog.base import Query
-from metframe.llm import chat, decontaminate, minmax, packing, toxicity, urls, warc
+from metframe.llm import ann, chat, decontaminate, minmax, packing, toxicity, urls, warc
 from metframe.session import materialize
 
 
@@ -40,6 +40,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -109,6 +113,7 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.text}' THEN '
 QUERIES = [
     Query("op1_warc", op1_warc, _OP1_SQL),
     Query("op3_decontaminate", op3_decontaminate),
+    Query("op4_ann", op4_ann),
     Query("op5_minmax", op5_minmax),
     Query("op6_packing", op6_packing),
     Query("op8_toxicity", op8_toxicity),
