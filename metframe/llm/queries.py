@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe.catalog.base import Query
-from metframe.llm import ann, chat, decontaminate, minmax, packing, toxicity, urls, warc
+from metframe.llm import ann, chat, decontaminate, lm, minmax, packing, toxicity, urls, warc
 from metframe.session import materialize
 
 
@@ -57,6 +57,17 @@ def _held_out(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % parts == 2
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_held_out("doc_id", 7), F.lit(False))
+    model = lm.fit(documents.where(~held_out))
+    scored = lm.score(documents, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~_held_out("doc_id", 4))
@@ -116,6 +127,7 @@ QUERIES = [
     Query("op4_ann", op4_ann),
     Query("op5_minmax", op5_minmax),
     Query("op6_packing", op6_packing),
+    Query("op7_lm", op7_lm),
     Query("op8_toxicity", op8_toxicity),
     Query("op9_chat", op9_chat),
     Query("op10_urls", op10_urls, _OP10_SQL),
