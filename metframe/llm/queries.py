@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe.catalog.base import Query
-from metframe.llm import ann, chat, decontaminate, lm, minmax, packing, toxicity, urls, warc
+from metframe.llm import ann, chat, decontaminate, licenses, lm, minmax, packing, toxicity, urls, warc
 from metframe.session import materialize
 
 
@@ -35,6 +35,40 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 """
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), F.round("score", 6).alias("score"),
+    )
+
+
+_POSTINGS = licenses.postings([*licenses.BASE, *licenses.LIBRARY], len(licenses.BASE))
+_OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS words FROM documents),
+p(template, label, base, word, place, mandatory) AS (VALUES {', '.join(f"({x.template}, '{x.label}', {x.base}, '{x.word}', {x.place}, {x.mandatory})" for x in _POSTINGS)}),
+w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM d),
+f AS (SELECT word, count(DISTINCT rid) AS df FROM w WHERE word IN (SELECT word FROM p) GROUP BY 1),
+t AS (SELECT p.*, coalesce(df, 0) AS df, ln((SELECT count(*) + 1 FROM documents) / (coalesce(df, 0) + 1)) + 1 AS weight,
+  count(*) OVER (PARTITION BY template) AS length FROM p LEFT JOIN f USING (word)),
+r AS (SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY df, word) AS rare, count(*) OVER (PARTITION BY template) AS n
+  FROM (SELECT DISTINCT template, word, df FROM t)),
+k AS (SELECT t.*, r.rare <= ceil(r.n / 3) AS anchor FROM t JOIN r USING (template, word)),
+x AS (SELECT *, sum(weight) OVER (PARTITION BY template) AS total, sum(CAST(mandatory AS INTEGER)) OVER (PARTITION BY template) AS needed
+  FROM k WHERE mandatory OR anchor),
+m AS (SELECT rid, template, w.place - x.place AS start, any_value(label) AS label, any_value(base) AS base, any_value(length) AS length,
+  sum(weight) / any_value(total) AS coverage
+  FROM w JOIN x USING (word) GROUP BY 1, 2, 3
+  HAVING sum(CAST(mandatory AS INTEGER)) = any_value(needed) AND bool_or(anchor) AND sum(weight) / any_value(total) >= {licenses.MIN_COVERAGE}),
+a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(coverage * length / (length + {licenses.SCORE_WORDS})) AS score FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score FROM d LEFT JOIN a USING (rid)
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
@@ -123,6 +157,7 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.text}' THEN '
 
 QUERIES = [
     Query("op1_warc", op1_warc, _OP1_SQL),
+    Query("op2_licenses", op2_licenses, _OP2_SQL),
     Query("op3_decontaminate", op3_decontaminate),
     Query("op4_ann", op4_ann),
     Query("op5_minmax", op5_minmax),
