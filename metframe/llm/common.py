@@ -94,7 +94,8 @@ def column_names(df: DataFrame, *names: str) -> None:
 def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
     """Rows with a key of their own, and of those that repeat a key the smallest one; rows without a key all stay.
 
-    Only keys are shuffled to find repeats; without any, the frame is returned as it is. Columns have to be orderable.
+    Only keys are shuffled to find repeats; without any, the frame is returned as it is. Maps and variants have no order and
+    don't count for what is smallest.
     """
     column = F.col(f"`{key}`")
     keys = df.where(column.isNotNull()).groupBy(column.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
@@ -103,5 +104,7 @@ def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
         return df
     same = column == F.col("__key")
     alone = df.join(repeated, same, "left_anti")
-    folded = df.join(repeated, same, "left_semi").groupBy(column).agg(F.min(F.struct(*[f"`{c}`" for c in df.columns])).alias("__row"))
+    ordered = [f"`{name}`" for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    smallest = F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), F.struct(*ordered)).alias("__row")
+    folded = df.join(repeated, same, "left_semi").groupBy(column).agg(smallest)
     return alone.unionByName(folded.select("__row.*"))
