@@ -1,18 +1,19 @@
 """Near duplicates by min-max hashing: banded signatures find pairs, full shingle sets confirm them.
 
 Every permutation gives two signature values, the minimum and the maximum over a document's shingles, so `BANDS` x `ROWS` values
-cost half as many hash evaluations. Bands of `ROWS` values are the buckets. At a similarity of 0.8 a pair shares no bucket with a probability of
-about 1e-7; every link that is reported is confirmed on the full sets.
+cost half as many hash evaluations. Bands of `ROWS` values are the buckets. At a similarity of 0.8 a pair shares no bucket with a
+probability of 5e-7; every link that is reported is confirmed on the full sets.
 
 1. Documents with equal sets are one node, named by the smallest id; only nodes go on.
-2. Star rounds: in every bucket the nodes that aren't connected with its head yet are paired with it. Confirmed pairs are links;
-   connected nodes are not compared again, so a bucket of copies costs one pair per copy, not one per pair of copies.
-3. What is left are nodes in buckets of more than one component. They are compared with every node of another component in their bucket, by
-   a join on the bucket whose rows first pass a test on sizes and on a sketch; so no link is lost.
+2. Star rounds: in every bucket all nodes are compared with its head, the node that meets most others, so a bucket of copies costs one
+   comparison per copy, not one per pair of copies. Heads are then done with; buckets whose other nodes are one component are too.
+3. What is left are nodes of different components in one bucket. They are joined on the bucket under conditions that a pair of the
+   threshold meets: on sizes, on a sketch, and on what both share with the first head, h, of the bucket: |x & y| is at most
+   min(|x & h|, |y & h|) and what x - h and y - h share, which bitmaps of them bound. Pairs that pass are confirmed on the full sets.
 4. Components by repeated minima of labels with pointer jumping, on tables in the shared folder.
 
-All shuffles are of small rows (bucket, node, sizes) or of the sets of nodes that share a bucket with another. Joins are plain
-equi-joins whose skewed partitions Spark splits; buckets are streamed, never collected.
+All shuffles are of small rows (bucket, node, sizes) or of the sets of nodes that are compared. Joins are plain equi-joins whose
+skewed partitions Spark splits; buckets are streamed, never collected.
 
 Defined cases: a document without words has an empty set, is linked with nothing and is its own component. One with fewer words than a shingle has
 the whole sequence as its only shingle. Rows that repeat an id are one node with all their sets. A null id is no node: its component
@@ -22,22 +23,24 @@ is null and it is kept. An empty table gives no rows. Only the named columns are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metframe.llm.common import WordHashes, chain, column_names, mix, slices, spaced_words
 from metframe.session import materialize
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS // 2
-#: Bits of the sketch, and how many may differ before a pair is taken for one under the threshold: at a similarity of 0.8 a
-#: bit differs with a probability of 0.1, and 70 of 200 would be over ten standard deviations from the 20 expected.
-SKETCH_BITS, SKETCH_LIMIT = BANDS * ROWS, 70
-STAR_ROUNDS = 3
+#: Bits of the sketch, and how many may differ: at a similarity of 0.8 a bit differs with a probability of 0.1, so 62 of 288 are
+#: six and a half standard deviations above the 29 expected.
+SKETCH_BITS, SKETCH_LIMIT = BANDS * ROWS, 62
+#: Bits of the bitmap of what a node has and its head has not.
+MAP_BITS = 512
+STAR_ROUNDS = 2
 #: Ids sent to all tasks to pick the texts whose sets are needed; beyond, they are joined.
 SENT_IDS = 1_000_000
 _RNG = np.random.default_rng(20240229)
@@ -110,26 +113,37 @@ def sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+_FACTS = "a long, b long, near boolean, shared long, more long, hidden long, bitmap array<long>"
+
+
+def _compared(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """For pairs (a, b): whether their full sets meet the threshold, how many shingles they share, how many more b has, a bitmap
+    of those and how many of them it hides, as they fell on a bit that was set."""
     left = found.withColumnsRenamed({"doc": "a", "shingles": "set_a"})
     right = found.withColumnsRenamed({"doc": "b", "shingles": "set_b"})
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(("a", "b", "near", "shared", "more", "hidden", "bitmap"), types)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            near = []
+        for batch in slices(batches, 256):
+            out = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                near.append(100 * shared >= percent * (len(one) + len(two) - shared))
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+                new = two[~np.isin(two, one, assume_unique=True)]
+                shared = len(two) - len(new)
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(new >> np.uint64(20)).astype(np.int64) % MAP_BITS] = 1
+                near = 100 * shared >= percent * (len(one) + len(two) - shared)
+                out.append((near, shared, len(new), len(new) - int(bits.sum()), np.packbits(bits).view(np.int64)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, _FACTS)
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b, sizes) for every row (bucket, comp, doc, n) of a bucket whose component isn't that of the bucket's head.
+    """(bucket, a, b, n_a, n_b) for every row (bucket, comp, doc, n) but the head a of its bucket; `same` if they are connected.
 
     The head is the node that meets most others over all buckets, as what many copies were made from does. Rows come sorted by
     bucket, head first; a task keeps the head of the last bucket and nothing else.
@@ -138,33 +152,32 @@ def _stars(rows: DataFrame) -> DataFrame:
     met = rows.join(sizes, "bucket").groupBy("doc").agg((-F.sum("size")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((4, 1), np.int64), False  # bucket, comp, doc, n of the last head
+        last, known = np.zeros((4, 1), np.int64), False  # bucket, comp, doc, n of the last head
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = np.array([batch.column(i).to_numpy() for i in range(4)])
-            heads, known = last
             bucket = columns[0]
-            new = np.r_[not known or heads[0, 0] != bucket[0], bucket[1:] != bucket[:-1]]
+            new = np.r_[not known or last[0, 0] != bucket[0], bucket[1:] != bucket[:-1]]
             at = np.cumsum(new)
-            heads = np.concatenate([heads, columns[:, new]], axis=1)
+            heads = np.concatenate([last, columns[:, new]], axis=1)
             _, comp, doc, n = heads[:, at]
-            last = heads[:, at[-1:]], True
-            pick = columns[1] != comp
-            out = (doc, columns[2], n, columns[3])
-            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in out], names=["a", "b", "n_a", "n_b"])
+            last, known = heads[:, at[-1:]], True
+            rest = columns[2] != doc
+            out = (bucket, doc, columns[2], n, columns[3], columns[1] == comp)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rest]) for x in out], names=["bucket", "a", "b", "n_a", "n_b", "same"])
 
     dealt = rows.join(met, "doc").select("bucket", "comp", "doc", "n", "rank")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "rank", "doc")
-    return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return dealt.mapInArrow(run, "bucket long, a long, b long, n_a long, n_b long, same boolean")
 
 
-def _sizes_allow(a: str, b: str, percent: int):
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
     """Sets of these sizes can meet the threshold."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """doc and component (its smallest reachable doc) for every linked node; others are left out.
 
     Every round takes the smallest label of the neighbours, then the label of that label.
@@ -208,21 +221,32 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
     found = materialize(sets(texts, words), "sets")
 
-    links = None
-    labelled = collisions
+    sketches = nodes.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("doc", "sketch")
+    sketches = materialize(sketches, "sketches")
+    heads = materialize(_stars(collisions), "stars")
+    stars, first, links, comps = heads, None, None, None
     for _ in range(STAR_ROUNDS):
-        stars = _stars(labelled).where(_sizes_allow("n_a", "n_b", percent))
-        fresh = materialize(_confirmed(stars.select("a", "b").distinct(), found, percent), "star-links")
+        if stars.isEmpty():
+            break
+        pairs = stars.where(~F.col("same") & _sizes_allow("n_a", "n_b", percent)).select("a", "b").distinct()
+        facts = materialize(_compared(_sketched(pairs, sketches), found, percent), "compared")
+        first = facts if first is None else first
+        fresh = facts.where("near").select("a", "b")
         if fresh.isEmpty():
             break
         links = fresh if links is None else links.unionByName(fresh)
-        comps = components(nodes, links)
-        labelled = materialize(_open_buckets(_relabelled(collisions, comps)), "open")
-    sketches = nodes.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("doc", "sketch")
-    rest = materialize(_confirmed(_cross_pairs(labelled, sketches, percent), found, percent), "cross-links")
-    if not rest.isEmpty():
-        links = rest if links is None else links.unionByName(rest)
-        comps = components(nodes, links)
+        comps = components(links)
+        # heads have been compared with all others of their bucket
+        stars = materialize(_stars(materialize(_others(stars, comps), "open")), "stars")
+    rest = materialize(_others(stars, comps), "others")
+    if first is not None and not rest.isEmpty():
+        bounds = heads.select("bucket", "a", F.col("b").alias("doc")).join(first.withColumnRenamed("b", "doc"), ["a", "doc"])
+        rest = rest.join(bounds.select("bucket", "doc", "shared", "more", "hidden", "bitmap"), ["bucket", "doc"], "left").join(sketches, "doc")
+        facts = _compared(_cross_pairs(materialize(rest, "rest"), percent), found, percent)
+        fresh = materialize(facts.where("near").select("a", "b"), "cross-links")
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            comps = components(links)
     out = member.select("doc", "n", "node")
     if links is None:
         out = out.withColumn("component", F.col("node"))
@@ -256,23 +280,48 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _relabelled(collisions: DataFrame, comps: DataFrame) -> DataFrame:
-    out = collisions.drop("comp").join(comps, "doc", "left")
-    return out.select("bucket", F.coalesce("component", "doc").alias("comp"), "doc", "n")
-
-
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
+def _others(stars: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows (bucket, comp, doc, n) of all nodes but the heads, of buckets in which these are of more than one component."""
+    rows = stars.select("bucket", F.col("b").alias("doc"), F.col("n_b").alias("n"))
+    if comps is None:
+        rows = rows.withColumn("comp", F.col("doc"))
+    else:
+        rows = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     return rows.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in a bucket whose sizes and sketches allow the threshold."""
-    rows = materialize(rows.join(sketches, "doc"), "open-sketches")
-    one = rows.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc", "comp", "n", "sketch")))
-    two = rows.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "comp", "n", "sketch")))
-    differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range((SKETCH_BITS + 63) // 64))
-    near = (F.col("comp_a") != F.col("comp_b")) & (F.col("doc_a") < F.col("doc_b")) & _sizes_allow("n_a", "n_b", percent) & (differ <= SKETCH_LIMIT)
-    pairs = one.join(two, "bucket").where(near)
-    return pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+def _bits(one: Column, two: Column, count: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Bits that are set in what `join` makes of two arrays of 64-bit numbers."""
+    return sum((F.bit_count(join(one[i], two[i])) for i in range(1, -(-count // 64))), F.bit_count(join(one[0], two[0])))
+
+
+def _alike(one: Column, two: Column) -> Column:
+    """Sketches differ as little as those of a pair that meets the threshold."""
+    return _bits(one, two, SKETCH_BITS, lambda x, y: x.bitwiseXOR(y)) <= SKETCH_LIMIT
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    left = sketches.withColumnsRenamed({"doc": "a", "sketch": "sketch_a"})
+    right = sketches.withColumnsRenamed({"doc": "b", "sketch": "sketch_b"})
+    return pairs.join(left, "a").join(right, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b").distinct()
+
+
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in a bucket that can meet the threshold.
+
+    `shared` and `more` count what a node has in common with the bucket's head and beyond it, `bitmap` marks what is beyond. What two nodes
+    share beyond the head is at most the bits both have, and those of one that fell on a bit twice.
+    """
+    names = ("doc", "comp", "n", "sketch", "shared", "more", "hidden", "bitmap")
+    one, two = (rows.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+
+    def reaches(beyond: Column) -> Column:
+        most = F.least(F.least("shared_a", "shared_b") + beyond, F.least("n_a", "n_b"))
+        return F.coalesce((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
+
+    common = _bits(F.col("bitmap_a"), F.col("bitmap_b"), MAP_BITS, lambda x, y: x.bitwiseAND(y))
+    near = (F.col("comp_a") != F.col("comp_b")) & (F.col("doc_a") < F.col("doc_b")) & _sizes_allow("n_a", "n_b", percent)
+    near &= reaches(F.least("more_a", "more_b")) & reaches(common + F.least("hidden_a", "hidden_b"))
+    near &= _alike(F.col("sketch_a"), F.col("sketch_b"))
+    return one.join(two, "bucket").where(near).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
