@@ -3,7 +3,7 @@
 A window is a word (at most `WINDOW_BYTES` of it) before a fixed carrier that both dictionaries hold, so that even a
 short window is compressed rather than stored. Its gain is the length under the ordinary dictionary less that under the toxic one. A
 text's score is a logistic function of how many of its windows gain at least 2 and 3 bytes and of the largest gain; its
-weights, and so the thresholds in bytes, are calibrated on labelled texts that no dictionary has seen.
+weights, and so the thresholds in bytes, are calibrated on labelled texts under dictionaries that haven't seen them (`FOLDS` folds).
 
 Dictionaries are trained in rounds: raw text of each class first; then the toxic one from windows that gain under the last pair
 and recur in toxic texts far more than in ordinary ones, the ordinary one from the most common ordinary windows and
@@ -38,7 +38,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 WINDOW_BYTES = 32
 #: What follows each window and ends both dictionaries.
 CARRIER = bytes(range(48, 58)) + bytes(range(65, 91))
-RAW_BYTES, ORDINARY_WINDOWS, ROUNDS = 400_000, 10_000, 3
+RAW_BYTES, ORDINARY_WINDOWS, ROUNDS, FOLDS = 400_000, 10_000, 3, 4
 #: A window trains the toxic dictionary if it gains so many bytes, in so many toxic texts, at so many times the ordinary rate.
 MIN_GAIN, MIN_TEXTS, MIN_RATIO = 2, 3, 8
 _CACHED_WINDOWS = 400_000
@@ -116,30 +116,39 @@ class Model:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from four fifths of the texts, weights from the rest."""
-    if len(toxic) < 5 or len(ordinary) < 5:
+    """Dictionaries from all texts, weights from texts under dictionaries of the other folds."""
+    if len(toxic) < FOLDS or len(ordinary) < FOLDS:
         return Model(None, np.zeros(5), len(toxic) / max(len(toxic) + len(ordinary), 1))
-    parts = [([t for i, t in enumerate(texts) if i % 5], texts[::5]) for texts in (toxic, ordinary)]
-    (toxic_texts, toxic_rest), (ordinary_texts, ordinary_rest) = parts
-    in_toxic, in_ordinary = (Counter(w for t in texts for w in set(windows(t))) for texts in (toxic_texts, ordinary_texts))
+    x, y = [], []
+    for fold in range(FOLDS):
+        (some_toxic, toxic_rest), (some_ordinary, ordinary_rest) = (
+            ([t for i, t in enumerate(texts) if i % FOLDS != fold], texts[fold::FOLDS]) for texts in (toxic, ordinary)
+        )
+        distance = dictionaries(some_toxic, some_ordinary)
+        x += [distance.features(t) for t in (*toxic_rest, *ordinary_rest)]
+        y += [1.0] * len(toxic_rest) + [0.0] * len(ordinary_rest)
+    return Model(dictionaries(toxic, ordinary), _logistic(np.array(x), np.array(y)))
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Distance:
+    """A pair of dictionaries, trained in rounds."""
+    in_toxic, in_ordinary = (Counter(w for t in texts for w in set(windows(t))) for texts in (toxic, ordinary))
     common = sorted(in_ordinary, key=lambda w: (-in_ordinary[w], w))[:ORDINARY_WINDOWS]
     known = sorted(w for w, n in in_toxic.items() if n >= MIN_TEXTS)
-    distance = Distance(_raw(toxic_texts, RAW_BYTES), _raw(ordinary_texts, 4 * RAW_BYTES))
     recurring = sorted(w for w, n in in_ordinary.items() if n > 1)
+    distance = Distance(_raw(toxic, RAW_BYTES), _raw(ordinary, 4 * RAW_BYTES))
     mistaken: list[bytes] = []
     for _ in range(ROUNDS):
+        rate = len(toxic) / len(ordinary)
         gains = distance.gains(known)
-        rate = len(toxic_texts) / len(ordinary_texts)
         chosen = [w for w, g in zip(known, gains) if g >= MIN_GAIN and in_toxic[w] >= MIN_RATIO * rate * (in_ordinary[w] + 0.5)]
         if not chosen:
             break
         chosen.sort(key=lambda w: (in_toxic[w], w))
         distance = Distance(b"".join(chosen), b"".join([*reversed(common), *mistaken]))
-        toxic = set(chosen)
-        mistaken += [w for w, g in zip(recurring, distance.gains(recurring)) if g > MIN_GAIN and w not in toxic]
-    x = np.array([distance.features(t) for t in (*toxic_rest, *ordinary_rest)])
-    y = np.r_[np.ones(len(toxic_rest)), np.zeros(len(ordinary_rest))]
-    return Model(distance, _logistic(x, y))
+        of_toxic = set(chosen)
+        mistaken += [w for w, g in zip(recurring, distance.gains(recurring)) if g > MIN_GAIN and w not in of_toxic]
+    return distance
 
 
 def _raw(texts: list[str], size: int) -> bytes:
