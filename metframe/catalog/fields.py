@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metframe import vocab as v
 from metframe.catalog.base import Query, clean_sql
 from metframe.functions import fields, text
-from metframe.operators import entities, scans
+from metframe.operators import entities
 from metframe.plans import models as m
 from metframe.session import materialize
 
@@ -45,7 +45,7 @@ HEIGHT_SQL = f"CASE WHEN {HIGH_SQL} > 0 THEN {HIGH_SQL} ELSE greatest({LOW_SQL},
 
 def _axis_text(start: str) -> str:
     head = f"trim(regexp_extract(substr(s, instr(s, '{start}')), '^(.*?)(?:{v.COORDINATE_STOP}|$)', 1), ' ,.;')"
-    return f"CASE WHEN length({head}) > {v.COORDINATE_MIN_CHARS} THEN substr({head}, 1, {v.REGION_TEXT_LIMIT}) END"
+    return f"CASE WHEN length({head}) > {v.COORDINATE_MIN_CHARS} THEN {head} END"
 
 
 FALLBACK_SQL = f"CASE WHEN contains(s, 'along') AND (contains(s, 'long') OR contains(s, 'lat')) THEN {_axis_text('along')} END"
@@ -98,11 +98,11 @@ def _generic() -> str:
         region = f"trim({_phrase(keyword)})"
         whens.append(
             f"WHEN {region} IS NOT NULL AND NOT {_bare(region)} THEN "
-            f"CASE WHEN regexp_matches({region}, '{v.SAME_REGION}') THEN NULL ELSE substr({region}, 1, {v.REGION_TEXT_LIMIT}) END"
+            f"CASE WHEN regexp_matches({region}, '{v.SAME_REGION}') THEN NULL ELSE {region} END"
         )
     found = f"regexp_extract(s, '{v.GENERIC_PATH}', ['a', 'b', 'c'])"
     ends = f"list_filter([trim({found}.a), trim({found}.b), trim({found}.c)], lambda x: x <> '')"
-    whens.append(f"WHEN regexp_matches(s, '{v.GENERIC_PATH}') THEN substr(array_to_string({ends}, ' ; '), 1, {v.REGION_TEXT_LIMIT})")
+    whens.append(f"WHEN regexp_matches(s, '{v.GENERIC_PATH}') THEN array_to_string({ends}, ' ; ')")
     return "CASE " + " ".join(whens) + " END"
 
 
@@ -117,7 +117,7 @@ def _parsed(spark, sf_dir):
 
 def _carried(spark, sf_dir):
     parsed = materialize(_parsed(spark, sf_dir), "parsed")
-    return entities.resolve_context(parsed, scans.chunk_rows_for(parsed, "sent_idx")).drop("bulletin_date", "sentence")
+    return entities.resolve_context(parsed).drop("bulletin_date", "sentence")
 
 
 _w = "OVER (PARTITION BY source_file ORDER BY sent_idx"

@@ -192,8 +192,12 @@ QUERIES = [
         _two + f"SELECT DISTINCT weather_system AS system, unnest({form_list_sql('subdivisions')}) AS subdivision FROM matched",
     ),
     Query(
-        "facet_json", _facet(lambda rows: views.as_json(views.facet_systems(rows))),
-        _two + "SELECT DISTINCT CAST(json_object('system', weather_system) AS VARCHAR) AS json FROM matched",
+        "facet_json", _facet(views.facet_documents),
+        _two + f"""SELECT 'systems' AS facet, CAST(to_json(list(system ORDER BY system)) AS VARCHAR) AS json FROM (SELECT DISTINCT weather_system AS system FROM matched)
+        UNION ALL SELECT 'subdivisions', CAST(to_json(list(name ORDER BY name)) AS VARCHAR) FROM (SELECT DISTINCT unnest({form_list_sql('subdivisions')}) AS name FROM matched)
+        UNION ALL SELECT 'system_subdivisions', '{{' || string_agg(CAST(to_json(system) AS VARCHAR) || ':' || names, ',' ORDER BY system) || '}}' FROM (
+          SELECT system, CAST(to_json(list(name ORDER BY name)) AS VARCHAR) AS names
+          FROM (SELECT DISTINCT weather_system AS system, unnest({form_list_sql('subdivisions')}) AS name FROM matched) GROUP BY 1)""",
     ),
     Query(
         "system_level_subdivisions",

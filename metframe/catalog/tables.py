@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metframe import vocab as v
 from metframe.catalog import places
 from metframe.catalog.base import Query, list_sql
-from metframe.operators import flat, merge, star
+from metframe.operators import flat, merge, star, views
 from metframe.plans import models as m
 from metframe.session import spread
 from metframe.sinks import writers
@@ -37,9 +37,20 @@ def _merged(spark, sf_dir):
     )
 
 
+def _form_rows(spark, sf_dir):
+    """Unpacked submissions as extraction rows, in another order of columns."""
+    parts = views.unpack_submissions(m.submissions(spark, sf_dir))
+    given = {"date": F.col("entry_date").cast("string"), "row_pos": F.col("submission_id"), "source_file": F.lit("form")}
+    kept = {c: F.col(c) for c in ("weather_system", "subdivisions", "pressure_level")}
+    blank = F.lit(None).cast("string")
+    return parts.select(*[(given | kept).get(c, blank).alias(c) for c in _UNION])
+
+
+_UNION = ["status", "date", "row_pos", "source_file", "weather_system", "subdivisions", "region", "region_original", "height_km", "pressure_level"]
+
+
 def _union(spark, sf_dir):
-    rows = m.rows(spark, sf_dir)
-    return merge.union_rows(rows, rows.select(*reversed(rows.columns))).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    return merge.union_rows(m.rows(spark, sf_dir).drop("c"), _form_rows(spark, sf_dir))
 
 
 # --- output rows -----------------------------------------------------------------------------
@@ -58,17 +69,17 @@ def _plain(spark, sf_dir):
 
 
 def _star(pick):
-    return lambda spark, sf_dir: pick(star.build_star(m.rows(spark, sf_dir), _POSITION, staged=False))
+    return lambda spark, sf_dir: pick(star.build_star(m.rows(spark, sf_dir), _POSITION))
 
 
 STAR_SQL = f"""WITH {m.rows_sql()},
 sy AS (SELECT *, row_number() OVER (ORDER BY row_pos) AS system_id, row_number() OVER (PARTITION BY date ORDER BY row_pos) AS system_seq
   FROM rows_ WHERE trim(weather_system) IN ('WD', 'CYCIR', 'Trough')),
-dd AS (SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS id, date AS entry_date FROM (SELECT DISTINCT date FROM sy)),
+dd AS (SELECT row_number() OVER (ORDER BY date) AS id, date AS entry_date FROM (SELECT DISTINCT date FROM sy)),
 ss AS (SELECT system_id, unnest({list_sql('subdivisions')}) AS name FROM sy),
-ds AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS id, name FROM (SELECT DISTINCT name FROM ss)),
+ds AS (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT name FROM ss)),
 ll AS (SELECT system_id, unnest({list_sql('pressure_level')}) AS label FROM sy),
-dl AS (SELECT CAST(row_number() OVER (ORDER BY hpa NULLS LAST, label) AS INTEGER) AS id, label, hpa FROM
+dl AS (SELECT row_number() OVER (ORDER BY hpa NULLS LAST, label) AS id, label, hpa FROM
   (SELECT DISTINCT label, TRY_CAST(string_split(label, ' ')[1] AS INTEGER) AS hpa FROM ll))
 """
 
@@ -76,11 +87,11 @@ dl AS (SELECT CAST(row_number() OVER (ORDER BY hpa NULLS LAST, label) AS INTEGER
 
 
 def _strict(spark, sf_dir):
-    return flat.reload_strict(m.dated_texts(spark, sf_dir, False), _POSITION)
+    return flat.reload_strict(m.dated_texts(spark, sf_dir, False), _POSITION).select(*_ENTRY)
 
 
 def _lenient(spark, sf_dir):
-    return flat.reload_lenient(m.dated_texts(spark, sf_dir, True), _POSITION)
+    return flat.reload_lenient(m.dated_texts(spark, sf_dir, True), _POSITION).select(*_ENTRY)
 
 
 def _counts(spark, sf_dir):
@@ -93,6 +104,18 @@ LENIENT_SQL = f"""WITH {m.dated_texts_sql(True)},
 sh AS (SELECT *, {_SHAPE} AS shape FROM dated),
 oc AS (SELECT *, TRY_CAST(shape AS DATE) AS entry_date, CASE WHEN shape IS NULL THEN 'skipped' WHEN TRY_CAST(shape AS DATE) IS NULL THEN 'failed' ELSE 'inserted' END AS outcome FROM sh)
 """
+_FORM_LISTS = """CASE WHEN len(subs) > 0 THEN array_to_string(subs, ', ') END AS subdivisions,
+  CASE WHEN len(levels) > 0 THEN array_to_string(levels, ', ') END AS pressure_level"""
+_FILLED = "(system <> '' OR len(subs) > 0 OR len(levels) > 0)"
+
+
+def _append(spark, sf_dir):
+    """All unpacked submissions after the entries; a submission's systems are in the order of the form."""
+    parts = views.unpack_submissions(m.submissions(spark, sf_dir), "part")
+    placed = parts.withColumn("place", F.col("submission_id") * 16 + F.col("part"))
+    return flat.append_rows(_entries(spark, sf_dir), placed, "place").select(*_ENTRY)
+
+
 _ENTRY = ["id", "entry_date", "weather_system", "subdivisions", "pressure_level"]
 _entry_sql = ", ".join(_ENTRY)
 
@@ -117,7 +140,12 @@ def _entries(spark, sf_dir):
 
 QUERIES = [
     Query("dedup_merge", _merged, f"WITH {DEDUP_SQL} SELECT * FROM merged"),
-    Query("union_rows", _union, f"WITH {m.rows_sql()} SELECT date, count(*) * 2 AS rows FROM rows_ GROUP BY 1"),
+    Query(
+        "union_rows", _union,
+        f"""WITH {m.rows_sql()}, {m.submissions_sql()} SELECT {', '.join(sorted(_UNION))} FROM rows_ UNION ALL BY NAME
+        SELECT CAST(entry_date AS VARCHAR) AS date, submission_id AS row_pos, 'form' AS source_file, system AS weather_system, {_FORM_LISTS}
+        FROM parts WHERE {_FILLED}""",
+    ),
     Query(
         "extraction_rows", lambda s, d: writers.extraction_rows(_plain(s, d)),
         f"WITH {m.rows_sql()} SELECT {_out} FROM rows_ WHERE {_unmarked}",
@@ -159,8 +187,10 @@ QUERIES = [
         LENIENT_SQL + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("inserted", "failed", "skipped")).join(["SELECT ", " FROM oc"]),
     ),
     Query(
-        "append_rows", lambda s, d: flat.append_rows(_entries(s, d), _changes(s, d)),
-        f"WITH {m.entries_sql()}, {_CHANGES_SQL} SELECT {_entry_sql} FROM entries UNION ALL SELECT {_entry_sql} FROM ch",
+        "append_rows", _append,
+        f"""WITH {m.entries_sql()}, {m.submissions_sql()} SELECT {_entry_sql} FROM entries UNION ALL BY NAME
+        SELECT (SELECT max(id) FROM entries) + row_number() OVER (ORDER BY submission_id, i) AS id, entry_date, system AS weather_system, {_FORM_LISTS}
+        FROM parts WHERE {_FILLED}""",
     ),
     Query(
         "update_by_id", lambda s, d: flat.update_by_id(_entries(s, d), _changes(s, d)),

@@ -79,16 +79,22 @@ def height(s: Column) -> Column:
 # --- regions --------------------------------------------------------------------------
 
 
-def _coordinate_text(s: Column, start: str) -> Column:
+def _cut(text_column: Column, width: int | None) -> Column:
+    """At most `width` characters of a region text; all of it without a width."""
+    return text_column if width is None else F.substring(text_column, 1, width)
+
+
+def _coordinate_text(s: Column, start: str, width: int | None = None) -> Column:
     """Text from the first `start` up to a stop word; NULL when hardly anything is left."""
     tail = F.substr(s, F.instr(s, start))
     head = F.btrim(rx.replace(tail, rf"{v.COORDINATE_STOP}[\s\S]*", ""), F.lit(v.REGION_EDGE_CHARS))
     long_enough = rx.keep_if(head, lambda h: F.length(h) > v.COORDINATE_MIN_CHARS)
-    return F.when(s.contains(start), F.substring(long_enough, 1, v.REGION_TEXT_LIMIT))
+    return F.when(s.contains(start), _cut(long_enough, width))
 
 
-def coordinate_fallback(s: Column) -> Column:
-    return F.when(s.contains("long") | s.contains("lat"), _coordinate_text(s, "along"))
+def coordinate_fallback(s: Column, width: int | None = None) -> Column:
+    """The coordinate phrase of a sentence, of at most `width` characters if one is given."""
+    return F.when(s.contains("long") | s.contains("lat"), _coordinate_text(s, "along", width))
 
 
 def wd_regions(s: Column) -> Column:
@@ -151,7 +157,7 @@ def aloft_trough(s: Column) -> Column:
     return F.when(s.contains("trough") & text.has_additional_trough(s), there).otherwise(none)
 
 
-def generic_region(s: Column) -> Column:
+def generic_region(s: Column, width: int | None = None) -> Column:
     """Region of any sentence: coordinates, then prepositions in order, then a path.
 
     A preposition phrase that points back (`over the same region`) settles the answer as
@@ -172,11 +178,11 @@ def generic_region(s: Column) -> Column:
         return F.concat(F.lit("along lat. "), F.lower(point["latitude"]))
 
     def axis(start: str, by_point) -> Column:
-        by_text = _coordinate_text(s, start)
+        by_text = _coordinate_text(s, start, width)
         return F.when(s.contains(start), found(F.coalesce(by_text, rx.bind(text.hemisphere_point(s), by_point))))
 
     def phrase(keyword: str) -> Column:
-        region = F.substring(rx.strip(_by_keyword(s, keyword)), 1, v.REGION_TEXT_LIMIT)
+        region = _cut(rx.strip(_by_keyword(s, keyword)), width)
 
         def settled(r: Column) -> Column:
             answer = F.struct(F.when(~rx.matches(r, v.SAME_REGION), r).alias("region"))
@@ -186,7 +192,7 @@ def generic_region(s: Column) -> Column:
 
     def path(ends: Column) -> Column:
         joined = F.array_join(rx.no_blanks(F.transform(ends, lambda e: rx.strip(e))), v.EXTRACT_DELIMITER)
-        return F.substring(joined, 1, v.REGION_TEXT_LIMIT)
+        return _cut(joined, width)
 
     candidates = [
         axis("along long", on_longitude),

@@ -18,7 +18,7 @@ WHITE_SPACE = (
     "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WHITE_RUN = r"[\s\x1c-\x1f]+"
-# Fixed value: a noncharacter, reserved for marks inside a program and never part of text.
+# Fixed value: a noncharacter for marks inside a program; texts that hold it all the same take the slower way.
 _MARK = "\ufdd0"
 
 
@@ -59,11 +59,17 @@ def group(text: Column, pattern: str, index: int = 1, ignore_case: bool = False)
 def parts(text: Column, pattern: str, indexes: Sequence[int], ignore_case: bool = False) -> Column:
     """ARRAY of several groups of the first match, NULL when there is none.
 
-    The match is cut out once and rewritten as its groups with marks between them.
+    The match is cut out once and rewritten as its groups with marks between them; a match that holds the mark itself is taken
+    apart group by group.
     """
     found = F.regexp_extract(text, rx(pattern, ignore_case), 0)
-    marked = F.regexp_replace(found, rx(pattern, ignore_case), _MARK.join(f"${i}" for i in indexes))
-    return F.split(not_blank(marked), _MARK)
+
+    def taken(match: Column) -> Column:
+        marked = F.regexp_replace(match, rx(pattern, ignore_case), _MARK.join(f"${i}" for i in indexes))
+        singly = F.array(*[F.regexp_extract(match, rx(pattern, ignore_case), i) for i in indexes])
+        return F.when(match.contains(_MARK), singly).otherwise(F.split(not_blank(marked), _MARK))
+
+    return bind(found, taken)
 
 
 def groups(text: Column, pattern: str, index: int = 1, ignore_case: bool = False) -> Column:
@@ -79,16 +85,19 @@ def split(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Parts between the matches of a pattern.
 
     Matches become one mark and the text is cut at the marks: replacing keeps the compiled
-    pattern from row to row, while splitting by a pattern compiles it for every row.
+    pattern from row to row, while splitting by a pattern compiles it for every row. That is
+    left to texts which hold the mark themselves.
     """
-    return F.split(F.regexp_replace(text, rx(pattern, ignore_case), _MARK), _MARK)
+    marked = F.split(F.regexp_replace(text, rx(pattern, ignore_case), _MARK), _MARK)
+    return F.when(text.contains(_MARK), F.split(text, rx(pattern, ignore_case))).otherwise(marked)
 
 
 def split_at(text: Column, delimiter: str) -> Column:
     """Parts between plain delimiters; one character needs no pattern at all."""
     if len(delimiter) == 1:
         return F.split(text, "\\" + delimiter if delimiter in ".$|()[{^?*+\\" else delimiter)
-    return F.split(F.replace(text, F.lit(delimiter), F.lit(_MARK)), _MARK)
+    marked = F.split(F.replace(text, F.lit(delimiter), F.lit(_MARK)), _MARK)
+    return F.when(text.contains(_MARK), F.split(text, re.escape(delimiter))).otherwise(marked)
 
 
 def strip(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metframe.functions import levels, rx, text
@@ -11,18 +11,26 @@ from metframe.operators import scans
 EDITABLE = ["entry_date", "weather_system", "subdivisions", "pressure_level"]
 
 
-def reload_strict(rows: DataFrame, position: str, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+ENTRY = ["id", "entry_date", "weather_system", "subdivisions", "pressure_level", "created_at", "updated_at"]
+
+
+def _inserted(rows: DataFrame, position: str, above: Column, at: Column | None) -> DataFrame:
+    """Rows as the table takes them in: ids that go on from `above` in order of position, and both times."""
+    made = F.current_timestamp() if at is None else at
+    numbered = scans.number_rows(rows, "id", position)
+    return numbered.withColumns({"id": F.col("id") + above, "created_at": made, "updated_at": made}).select(*ENTRY)
+
+
+def reload_strict(rows: DataFrame, position: str, at: Column | None = None) -> DataFrame:
     """Rows of the reloaded table: unknown dates end the job, blank systems are left out,
-    blank texts become NULL, ids run from 1 in file order."""
+    blank texts become NULL, ids run from 1 in file order, `at` (now) is when they were made."""
     dated = rows.withColumn("entry_date", text.strict_date(F.col("date")))
     kept = dated.select(
         position, "entry_date", rx.strip(F.coalesce("weather_system", F.lit(""))).alias("weather_system"),
         text.blank_to_null(F.col("pressure_level")).alias("pressure_level"),
         text.blank_to_null(F.col("subdivisions")).alias("subdivisions"),
     ).filter(F.col("weather_system") != "")
-    return scans.number_rows(kept, "id", position, chunk_rows=chunk_rows).select(
-        "id", "entry_date", "weather_system", "pressure_level", "subdivisions"
-    )
+    return _inserted(kept, position, F.lit(0), at)
 
 
 def read_lenient(rows: DataFrame, position: str) -> DataFrame:
@@ -46,12 +54,10 @@ def read_lenient(rows: DataFrame, position: str) -> DataFrame:
     )
 
 
-def reload_lenient(rows: DataFrame, position: str, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+def reload_lenient(rows: DataFrame, position: str, at: Column | None = None) -> DataFrame:
     """Rows of the reloaded table; rows without a readable date are left out."""
     kept = read_lenient(rows, position).filter(F.col("outcome") == "inserted")
-    return scans.number_rows(kept, "id", position, chunk_rows=chunk_rows).select(
-        "id", "entry_date", "weather_system", "subdivisions", "pressure_level"
-    )
+    return _inserted(kept, position, F.lit(0), at)
 
 
 def import_counts(rows: DataFrame, position: str) -> DataFrame:
@@ -66,16 +72,19 @@ def by_id(entries: DataFrame, row_id: int) -> DataFrame:
     return entries.filter(F.col("id") == row_id)
 
 
-def update_by_id(entries: DataFrame, changes: DataFrame) -> DataFrame:
+def update_by_id(entries: DataFrame, changes: DataFrame, order: str | None = None, at: Column | None = None) -> DataFrame:
     """Entries with the editable columns replaced where `changes` holds their id.
 
-    One change per id; a value in `changes` replaces the old one even when it is NULL.
-    An `updated_at` column takes the time of the update.
+    Of several changes of one id the last counts, by column `order` or else as they are read. A value in `changes` replaces the
+    old one even when it is NULL. An `updated_at` column takes the time of the update.
     """
-    new = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in EDITABLE])
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    last = changes.select("id", place.alias("_at"), F.struct(*EDITABLE).alias("_new"))
+    new = last.groupBy("id").agg(F.max_by("_new", "_at").alias("_new"))
     joined = entries.join(new, "id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    new_values = {c: F.col(f"_new_{c}") for c in EDITABLE} | {"updated_at": F.current_timestamp()}
+    hit = F.col("_new").isNotNull()
+    new_values = {c: F.col(f"_new.{c}") for c in EDITABLE}
+    new_values["updated_at"] = F.current_timestamp() if at is None else at
     return joined.select(
         *[
             F.when(hit, new_values[c]).otherwise(F.col(c)).alias(c) if c in new_values else F.col(c)
@@ -88,5 +97,12 @@ def delete_by_id(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id"), "id", "left_anti").select(*entries.columns)
 
 
-def append_rows(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    return entries.unionByName(rows, allowMissingColumns=True)
+def append_rows(entries: DataFrame, rows: DataFrame, position: str, at: Column | None = None) -> DataFrame:
+    """The entries and the rows with ids after the largest one, in order of their unique position."""
+    return entries.unionByName(new_rows(entries, rows, position, at), allowMissingColumns=True)
+
+
+def new_rows(entries: DataFrame, rows: DataFrame, position: str, at: Column | None = None) -> DataFrame:
+    """Rows as they are appended; the largest id is one number from an aggregate."""
+    largest = entries.agg(F.max("id")).first()[0] or 0
+    return _inserted(rows, position, F.lit(largest), at)

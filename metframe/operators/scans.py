@@ -1,8 +1,8 @@
-"""Ordered scans within groups that survive a group of any size.
+"""Ordered scans within groups of any size.
 
-A plain window over a group puts the whole group into one task. Here every group is cut into
-chunks by its order column; rows are only ever ordered within (group, chunk), and what one
-chunk owes the next is worked out on chunk summaries, which are smaller by the chunk size.
+A plain window over a group puts the whole group into one task. Carries cut every group into chunks of its order column; rows
+are only ever ordered within (group, chunk), and what one chunk owes the next is worked out on one summary row per chunk. Numbers
+come from a sorted write: a summary has a row for each block of it and each group.
 """
 
 from __future__ import annotations
@@ -25,45 +25,6 @@ def chunk_of(order: Column, rows: int | None = CHUNK_ROWS) -> Column:
     return F.floor(order / F.lit(rows)).cast("bigint")
 
 
-def chunk_rows_for(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int | None:
-    """None when every group fits one chunk, checked by the largest order value of `df`.
-
-    For a table or a materialised stage this reads one column; scans over it can then leave
-    out the step between chunks.
-    """
-    largest = df.agg(F.max(order)).first()[0]
-    return None if largest is None or largest < rows else rows
-
-
-def number_rows(
-    df: DataFrame,
-    name: str,
-    position: str,
-    groups: Sequence[str] = (),
-    major: Sequence[Column] = (),
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Add `name` = 1, 2, ... within `groups`, ordered by `major` and then by `position`.
-
-    `position` is a unique whole number (an id or a row position). `major` are low-count
-    columns sorted before it, given as sort expressions. Counts per (group, major, chunk)
-    are combined map-side; rows shuffle once, in bounded pieces.
-    """
-    majors = [f"_major{i}" for i in range(len(major))]
-    keys = [*groups, *majors, "_chunk"]
-    cut = df.select("*", *[m.alias(a) for m, a in zip(major, majors)], chunk_of(F.col(position), chunk_rows).alias("_chunk"))
-    order = [F.col(a).asc_nulls_first() for a in majors] + [F.col("_chunk")]
-    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*keys).orderBy(position)
-    numbered = cut.withColumn("_row", F.row_number().over(within)).alias("r")
-    matching = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    return numbered.join(starts.alias("s"), matching).select(
-        *[F.col(f"r.{c}") for c in df.columns], (F.col("s._start") + F.col("r._row")).cast("bigint").alias(name)
-    )
-
-
 def in_file_order(rows: DataFrame, name: str, file: Column, block: Column) -> DataFrame:
     """Add `name` = 0, 1, ... through each file and on from file to file, by file name.
 
@@ -80,17 +41,51 @@ def in_file_order(rows: DataFrame, name: str, file: Column, block: Column) -> Da
     return raw.join(starts, where).select(*rows.columns, position)
 
 
-def number_sorted(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Add `name` = 1, 2, ... in any order, for any number of rows.
+def number_rows(
+    df: DataFrame, name: str, position: str, groups: Sequence[str] = (), major: Sequence[Column] = ()
+) -> DataFrame:
+    """Add `name` = 1, 2, ... within `groups`, ordered by `major` and then by the unique `position`.
+
+    `major` are sort expressions. Rows are range-partitioned by (groups, major, position) and written once in that order, so a group of
+    any size spreads; numbers follow from the counts of a group in each file block.
+    """
+    majors = [f"_major{i}" for i in range(len(major))]
+    cut = df.select("*", *[m.alias(a) for m, a in zip(major, majors)])
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in (*groups, *majors, position)]
+    return number_sorted(cut, name, *order, groups=groups).select(*df.columns, name)
+
+
+def number_sorted(df: DataFrame, name: str, *order: Column, groups: Sequence[str] = ()) -> DataFrame:
+    """Add `name` = 1, 2, ... in any order, from 1 again in each of the `groups`, which the order begins with.
 
     The sorted rows are written once; the order of the written files is the order of the
-    rows, so numbers follow from file and block sizes without a single-task window.
+    rows, so numbers follow from counts per block without a window over the rows.
     """
-    stored = materialize(df.orderBy(*order), "sorted")
+    placed = _placed(materialize(df.orderBy(*order), "sorted"))
+    keys = [*groups, "_file", "_block"]
+    starts = block_starts(placed, groups)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    number = F.col("s._start") + F.col("r._id") - F.col("s._low") + 1
+    return placed.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.`{c}`") for c in df.columns], number.cast("bigint").alias(name)
+    )
+
+
+def _placed(stored: DataFrame) -> DataFrame:
+    """Rows of a stored stage with their file (longer names carry larger part numbers), block and place within it."""
     path = F.col("_metadata.file_path")
-    # Longer names carry larger part numbers.
-    placed = in_file_order(stored, name, F.struct(F.length(path), path), F.col("_metadata.file_block_start"))
-    return placed.withColumn(name, F.col(name) + 1)
+    return stored.select(
+        "*", F.struct(F.length(path), path).alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+
+
+def block_starts(placed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """How many rows of a group come before each block, and where the group begins in it: at most blocks + groups rows."""
+    where = [*groups, "_file", "_block"]
+    sizes = placed.groupBy(*where).agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*groups).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*where, "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
 
 
 def look_around(
@@ -149,11 +144,3 @@ def carry_last(
 ) -> DataFrame:
     """Add columns holding the last non-NULL of each expression among earlier rows."""
     return look_around(df, groups, order, values, {}, with_current, chunk_rows)
-
-
-def next_row(
-    df: DataFrame, groups: Sequence[str], order: str, values: Mapping[str, Column],
-    chunk_rows: int | None = CHUNK_ROWS,
-) -> DataFrame:
-    """Add columns holding each expression of the following row, NULL for the last one."""
-    return look_around(df, groups, order, {}, values, False, chunk_rows)

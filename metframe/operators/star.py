@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metframe import vocab as v
@@ -12,58 +12,32 @@ from metframe.functions import rx, text
 from metframe.operators import scans
 from metframe.session import materialize
 
-VOCABULARY_LIMIT = 1_000_000
-
-
-@dataclass(frozen=True)
-class Star:
-    """The six tables of the analytic model."""
-
-    dim_date: DataFrame
-    dim_subdivision: DataFrame
-    dim_level: DataFrame
-    fact_system: DataFrame
-    system_subdivision: DataFrame
-    system_level: DataFrame
-
-    def tables(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
-
-
 def supported(rows: DataFrame) -> DataFrame:
     return rows.filter(rx.strip(F.col("weather_system")).isin(v.SUPPORTED_SYSTEMS))
 
 
-def _dense_ids(values: DataFrame, *order: Column) -> DataFrame:
-    """Ids 1..n over distinct dimension values: a vocabulary, not data."""
-    return values.select(F.row_number().over(Window.orderBy(*order)).alias("id"), "*")
-
-
-def _checked_ids(values: DataFrame, *order: Column) -> DataFrame:
-    """Dense ids over staged values; a list too long for one task is numbered by a sorted write."""
-    staged = materialize(values, "dimension")
-    if staged.count() <= VOCABULARY_LIMIT:
-        return _dense_ids(staged, *order)
-    return scans.number_sorted(staged, "id", *order).select("id", *values.columns)
+def _ids(values: DataFrame, *order: Column) -> DataFrame:
+    """Ids 1..n over distinct dimension values, whatever their number."""
+    return scans.number_sorted(values, "id", *order).select("id", *values.columns)
 
 
 def _items(rows: DataFrame, column: str, delimiter: str, name: str) -> DataFrame:
     return rows.select(F.explode(text.split_list(F.col(column), delimiter)).alias(name))
 
 
-def dim_date(rows: DataFrame, ids=_dense_ids) -> DataFrame:
-    return ids(rows.select(F.col("date").alias("entry_date")).distinct(), F.col("entry_date"))
+def dim_date(rows: DataFrame) -> DataFrame:
+    return _ids(rows.select(F.col("date").alias("entry_date")).distinct(), F.col("entry_date"))
 
 
-def dim_subdivision(rows: DataFrame, delimiter: str = ";", ids=_dense_ids) -> DataFrame:
-    return ids(_items(rows, "subdivisions", delimiter, "name").distinct(), F.col("name"))
+def dim_subdivision(rows: DataFrame, delimiter: str = ";") -> DataFrame:
+    return _ids(_items(rows, "subdivisions", delimiter, "name").distinct(), F.col("name"))
 
 
-def dim_level(rows: DataFrame, delimiter: str = ";", ids=_dense_ids) -> DataFrame:
+def dim_level(rows: DataFrame, delimiter: str = ";") -> DataFrame:
     """Levels by rising hPa; `Surface` has none and comes last."""
     labels = _items(rows, "pressure_level", delimiter, "label").distinct()
     known = labels.withColumn("hpa", text.level_hpa(F.col("label")))
-    return ids(known, F.col("hpa").asc_nulls_last(), F.col("label"))
+    return _ids(known, F.col("hpa").asc_nulls_last(), F.col("label"))
 
 
 def fact_system(numbered: DataFrame, dates: DataFrame) -> DataFrame:
@@ -79,32 +53,55 @@ def _junction(numbered: DataFrame, column: str, delimiter: str, dim: DataFrame,
     return listed.join(dim.select(F.col("id").alias(out), name), name).select("system_id", out)
 
 
-def numbered_rows(rows: DataFrame, position: str, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+def numbered_rows(rows: DataFrame, position: str) -> DataFrame:
     """Supported rows with system id 1..n in file order and sequence 1..n within their date."""
     kept = supported(rows).select(position, "date", "weather_system", "subdivisions", "pressure_level")
-    by_file = scans.number_rows(kept, "system_id", position, chunk_rows=chunk_rows)
-    return scans.number_rows(by_file, "system_seq", position, groups=["date"], chunk_rows=chunk_rows)
+    by_file = scans.number_rows(kept, "system_id", position)
+    return scans.number_rows(by_file, "system_seq", "system_id", groups=["date"])
 
 
-def build_star(
-    rows: DataFrame, position: str, delimiter: str = ";", chunk_rows: int = scans.CHUNK_ROWS, staged: bool = True
-) -> Star:
-    """All six tables from rows (date, weather_system, pressure_level, subdivisions, position).
+class Star:
+    """The six tables of the analytic model from rows (date, weather_system, pressure_level, subdivisions, position).
 
-    Staged, the numbered rows and the dimensions are written once and shared by all tables;
-    otherwise every table is one lazy plan of its own.
+    Each is worked out when it is first asked for; ids are BIGINT.
     """
-    numbered = numbered_rows(rows, position, chunk_rows)
-    ids = _checked_ids if staged else _dense_ids
-    if staged:
-        numbered = materialize(numbered, "systems")
-    source = numbered if staged else supported(rows)
-    dates, subs, levels = dim_date(source, ids), dim_subdivision(source, delimiter, ids), dim_level(source, delimiter, ids)
-    return Star(
-        dim_date=dates,
-        dim_subdivision=subs,
-        dim_level=levels,
-        fact_system=fact_system(numbered, dates),
-        system_subdivision=_junction(numbered, "subdivisions", delimiter, subs, "name", "subdivision_id"),
-        system_level=_junction(numbered, "pressure_level", delimiter, levels, "label", "pressure_level_id"),
-    )
+
+    TABLES = ("dim_date", "dim_subdivision", "dim_level", "fact_system", "system_subdivision", "system_level")
+
+    def __init__(self, rows: DataFrame, position: str, delimiter: str = ";") -> None:
+        self._rows, self._position, self._delimiter = rows, position, delimiter
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        return materialize(numbered_rows(self._rows, self._position), "systems")
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return dim_date(supported(self._rows))
+
+    @cached_property
+    def dim_subdivision(self) -> DataFrame:
+        return dim_subdivision(supported(self._rows), self._delimiter)
+
+    @cached_property
+    def dim_level(self) -> DataFrame:
+        return dim_level(supported(self._rows), self._delimiter)
+
+    @cached_property
+    def fact_system(self) -> DataFrame:
+        return fact_system(self.numbered, self.dim_date)
+
+    @cached_property
+    def system_subdivision(self) -> DataFrame:
+        return _junction(self.numbered, "subdivisions", self._delimiter, self.dim_subdivision, "name", "subdivision_id")
+
+    @cached_property
+    def system_level(self) -> DataFrame:
+        return _junction(self.numbered, "pressure_level", self._delimiter, self.dim_level, "label", "pressure_level_id")
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.TABLES}
+
+
+def build_star(rows: DataFrame, position: str, delimiter: str = ";") -> Star:
+    return Star(rows, position, delimiter)

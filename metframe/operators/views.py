@@ -103,20 +103,19 @@ def grouped_view(entries: DataFrame, pairs: Sequence[FilterPair] = (), date: str
     )
 
 
-def display_numbers(rows: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+def display_numbers(rows: DataFrame) -> DataFrame:
     """Number rows from 1 within each date in view order."""
     return scans.number_rows(
         rows, "system_number", "id", groups=["entry_date"],
-        major=[F.col("weather_system"), F.col("pressure_level")], chunk_rows=chunk_rows,
+        major=[F.col("weather_system"), F.col("pressure_level")],
     )
 
 
 def export_rows(
-    entries: DataFrame, pairs: Sequence[FilterPair] = (), date: str = "", delimiter: str = ",",
-    chunk_rows: int = scans.CHUNK_ROWS,
+    entries: DataFrame, pairs: Sequence[FilterPair] = (), date: str = "", delimiter: str = ","
 ) -> DataFrame:
     """Rows of the grouped export under its own header names."""
-    numbered = display_numbers(filter_entries(entries, pairs, date, delimiter), chunk_rows)
+    numbered = display_numbers(filter_entries(entries, pairs, date, delimiter))
     values = [
         F.col("entry_date"), F.col("system_number"), F.col("weather_system"),
         F.array_join(_distinct_items("pressure_level", delimiter), v.FORM_DELIMITER),
@@ -143,9 +142,19 @@ def facet_subdivisions(matched: DataFrame, delimiter: str = ",") -> DataFrame:
     return facet_system_subdivisions(matched, delimiter).select("subdivision").distinct()
 
 
-def as_json(facet: DataFrame) -> DataFrame:
-    """Facet rows as JSON objects, one per row."""
-    return facet.select(F.to_json(F.struct(*facet.columns)).alias("json"))
+def facet_documents(matched: DataFrame, delimiter: str = ",") -> DataFrame:
+    """(facet, json): the systems and the subdivisions as one array each, and one map from system to its subdivisions.
+
+    Facets are drawn from vocabularies, and their distinct values are gathered after a map-side distinct.
+    """
+    pairs = facet_system_subdivisions(matched, delimiter)
+    systems = facet_systems(matched).agg(F.to_json(F.sort_array(F.collect_list("system"))).alias("json"))
+    names = pairs.select("subdivision").distinct().agg(F.to_json(F.sort_array(F.collect_list("subdivision"))).alias("json"))
+    listed = pairs.groupBy("system").agg(F.sort_array(F.collect_list("subdivision")).alias("names"))
+    by_system = listed.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "names"))))).alias("json"))
+    parts = {"systems": systems, "subdivisions": names, "system_subdivisions": by_system}
+    labelled = [part.select(F.lit(name).alias("facet"), "json") for name, part in parts.items()]
+    return reduce(DataFrame.unionByName, labelled)
 
 
 def system_level_subdivisions(entries: DataFrame, delimiter: str = ";") -> DataFrame:
@@ -215,16 +224,16 @@ def filled_systems(systems: Column) -> Column:
     return F.filter(systems, given)
 
 
-def unpack_submissions(submissions: DataFrame) -> DataFrame:
-    """One flat row per filled system, lists joined as the form writes them."""
+def unpack_submissions(submissions: DataFrame, part: str | None = None) -> DataFrame:
+    """One flat row per filled system, lists joined as the form writes them; `part` names a column for its place among them."""
 
     def joined(items: str) -> Column:
         return F.when(F.size(items) > 0, F.array_join(items, v.FORM_DELIMITER))
 
     kept = [c for c in submissions.columns if c != "systems"]
-    rows = submissions.select(*kept, F.explode(filled_systems(F.col("systems"))).alias("_s"))
+    rows = submissions.select(*kept, F.posexplode(filled_systems(F.col("systems"))).alias("_part", "_s"))
     return rows.select(
-        *kept, F.coalesce("_s.system", F.lit("")).alias("weather_system"),
+        *kept, *([F.col("_part").alias(part)] if part else []), F.coalesce("_s.system", F.lit("")).alias("weather_system"),
         joined("_s.subdivisions").alias("subdivisions"), joined("_s.levels").alias("pressure_level"),
     )
 

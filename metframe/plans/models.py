@@ -163,8 +163,8 @@ def _templates() -> dict[tuple[str, int], str]:
         ("view", 0): "The upper air cyclonic circulation over {r1} & neighbourhood at {h} km above msl persisted.",
         ("view", 1): "An upper air cyclonic circulation lay over {r1} between {lo} & {hi} km above msl.",
         ("view", 2): "The upper air cyclonic circulation over {r1} became less marked.",
-        ("view", 3): "An upper air cyclonic circulation lay over {r1} & neighbourhood between 3.1 & 5.8 km above msl "
-        "with the trough aloft with its axis at 7.6 km above msl ran roughly along Long. {lon}°E to the north of Lat. {lat}°N.",
+        ("view", 3): "A cyclonic circulation lay over {r1} & neighbourhood between 1.5 & 4.5 km above msl "
+        "with the trough aloft with its axis at 9.6 km above msl along Long. {lon}°E to the north of Lat. {lat}°N.",
         ("click", 0): "The trough from {r1} to {r2} across {r3} at {h} km above msl persisted.",
         ("click", 1): "The trough from {r1} to {r2} became less marked.",
         ("click", 2): "The trough from {r1} to {r2} at {h} km above msl persisted.",
@@ -396,19 +396,18 @@ def submissions_sql() -> str:
 def legacy(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four older tables: entries, systems, levels and subdivisions."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    open_orders = o.filter(F.col("o_orderstatus") != "P")
     system_id = F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2
     return {
         "entries": o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("entry_date")),
-        "systems": open_orders.select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select(
+        "systems": o.select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select(
             (F.col("o_orderkey") * 2 + F.col("i")).alias("id"), F.col("o_orderkey").alias("entry_id"),
             (F.col("i") + 1).alias("system_number"), F.when(F.col("i") == 0, F.lit("CYCIR")).otherwise(F.lit("WD")).alias("weather_system"),
         ),
-        "levels": li.filter(F.col("l_linestatus") == "F").select(
+        "levels": li.select(
             system_id.alias("system_id"),
             F.get(text_array(v.PRESSURE_LEVELS), (F.col("l_partkey") % 10).cast("int")).alias("level_name"),
         ),
-        "subdivisions": li.filter(F.col("l_returnflag") == "A").select(
+        "subdivisions": li.select(
             system_id.alias("system_id"), _name_at(F.col("l_suppkey")).alias("subdivision_name")
         ),
     }
@@ -418,8 +417,8 @@ def legacy_sql() -> str:
     return f"""l_entries AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS entry_date FROM orders),
 l_systems AS (SELECT o_orderkey * 2 + i AS id, o_orderkey AS entry_id, CAST(i + 1 AS INTEGER) AS system_number,
     CASE i WHEN 0 THEN 'CYCIR' ELSE 'WD' END AS weather_system
-  FROM orders, (VALUES (0), (1)) t(i) WHERE o_orderstatus <> 'P'),
+  FROM orders, (VALUES (0), (1)) t(i)),
 l_levels AS (SELECT l_orderkey * 2 + l_linenumber % 2 AS system_id, {sql_list(v.PRESSURE_LEVELS)}[l_partkey % 10 + 1] AS level_name
-  FROM lineitem WHERE l_linestatus = 'F'),
+  FROM lineitem),
 l_subs AS (SELECT l_orderkey * 2 + l_linenumber % 2 AS system_id, {NAMES_SQL}[l_suppkey % {N} + 1] AS subdivision_name
-  FROM lineitem WHERE l_returnflag = 'A')"""
+  FROM lineitem)"""

@@ -70,10 +70,6 @@ OFFICIAL_SUBDIVISIONS = [
     "Comorin Area",
 ]
 
-# --- Fixed values: the shorter browser form ends before the foreign areas -------------
-
-BROWSER_SUBDIVISIONS = OFFICIAL_SUBDIVISIONS[:51]
-
 PRESSURE_LEVELS = [
     "Surface",
     "925 hPa",
@@ -87,52 +83,6 @@ PRESSURE_LEVELS = [
     "100 hPa",
 ]
 
-BROWSER_PRESSURE_LEVELS = ["Surface", "925 hPa", "850 hPa", "700 hPa", "500 hPa", "200 hPa"]
-
-WEATHER_SYSTEMS = [
-    "Cyclonic Circulation (CYCIR)",
-    "Low Pressure (L) with associated CYCIR",
-    "Well Marked Low Pressure Area (WML) with associated CYCIR",
-    "Induced Cyclonic Circulation",
-    "Induced Low",
-    "Low-Level Cyclonic Circulation",
-    "Mid-Level Cyclonic Circulation",
-    "Upper-Level Cyclonic Circulation",
-    "Western Disturbances (WD)",
-    "Western Depression",
-    "Depression (D)",
-    "Deep Depression (DD)",
-    "Cyclonic Storm (CS) : 63 to 88 km/h",
-    "Severe Cyclonic Storm (SCS) : 89 to 117 km/h",
-    "Very Severe Cyclonic Storm (VSCS) : 118 to 165 km/h",
-    "Extremely Severe Cyclonic Storm (ESCS) : 166 to 220 km/h",
-    "Super Cyclonic Storm (SuCS) : ≥ 221 km/h",
-    "Trough",
-    "Easterly Trough",
-    "Westerly Trough",
-    "Offshore Trough",
-    "At Surface Trough",
-    "Mean Sea Level Trough",
-    "Monsoon Trough with Extension and Tilt",
-]
-
-BROWSER_WEATHER_SYSTEMS = [
-    "Low Pressure",
-    "Depression",
-    "Cyclonic Storm (CS) : 63–88 km/h",
-    "Severe Cyclonic Storm (SCS) : 89–117 km/h",
-    "Very Severe Cyclonic Storm (VSCS) : 118–165 km/h",
-    "Extremely Severe Cyclonic Storm (ESCS) : 166–220 km/h",
-    "Super Cyclonic Storm (SuCS) : ≥ 221 km/h",
-    "Western Disturbances",
-    "Easterly Trough",
-    "Westerly Trough",
-    "Offshore Trough",
-    "Low-Level Cyclonic Circulation",
-    "Mid-Level Cyclonic Circulation",
-    "Upper-Level Cyclonic Circulation",
-]
-
 SUPPORTED_SYSTEMS = ["WD", "CYCIR", "Trough"]
 
 # --- Fixed values: gazetteers, (name, latitude, longitude) ----------------------------
@@ -383,7 +333,6 @@ SUMMARY_PHRASE = "summary of observations recorded"
 MONSOON_LIMIT_PHRASE = "northern limit of monsoon"
 LESS_MARKED_PHRASE = "less marked"
 HEADING_PARAGRAPHS = 10
-REGION_TEXT_LIMIT = 200
 COORDINATE_MIN_CHARS = 10
 
 HEADING_DATE = (

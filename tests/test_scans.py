@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metframe.operators import scans
+from metframe.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -25,19 +26,33 @@ def same(left, right):
     assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 100_000])
-def test_number_rows(rows, chunk):
+def test_number_rows(rows):
     plain = Window.partitionBy("g").orderBy(F.col("m").asc_nulls_first(), "pos")
-    ours = scans.number_rows(rows, "n", "pos", ["g"], [F.col("m")], chunk)
+    ours = scans.number_rows(rows, "n", "pos", ["g"], [F.col("m")])
     same(ours, rows.withColumn("n", F.row_number().over(plain).cast("bigint")))
 
 
-@pytest.mark.parametrize("chunk", [3, 100_000])
-def test_number_all_rows(rows, chunk):
-    ours = scans.number_rows(rows, "n", "pos", chunk_rows=chunk)
+def test_number_all_rows(rows):
+    ours = scans.number_rows(rows, "n", "pos")
     same(ours, rows.withColumn("n", F.row_number().over(Window.orderBy("pos")).cast("bigint")))
 
 
+def test_numbers_of_null_groups_and_odd_names(spark):
+    data = spark.createDataFrame([(None, 5, "a"), ("x", 9, "b"), (None, 1, "c"), ("x", 2, "d")], "`the group` string, pos bigint, v string")
+    found = {r["v"]: r["n"] for r in scans.number_rows(data, "n", "pos", ["the group"]).collect()}
+    assert found == {"c": 1, "a": 2, "d": 1, "b": 2}
+
+
+def test_a_summary_has_a_row_for_each_block_and_group(spark):
+    """Ids scattered over a wide range, and one group of nearly all rows."""
+    data = spark.range(20_000).select((F.col("id") * 1_000_003).alias("pos"), F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(99).alias("g"))
+    stored = materialize(data.repartitionByRange(8, "g", "pos").sortWithinPartitions("g", "pos"), "t")
+    starts = scans.block_starts(scans._placed(stored), ["g"])
+    assert starts.count() <= 8 + 8
+    plain = Window.partitionBy("g").orderBy("pos")
+    same(scans.number_rows(data, "n", "pos", ["g"]), data.withColumn("n", F.row_number().over(plain).cast("bigint")))
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 100_000, None])
 @pytest.mark.parametrize("current", [True, False])
 def test_carry_last(rows, chunk, current):
@@ -47,18 +62,6 @@ def test_carry_last(rows, chunk, current):
     same(ours, rows.select("*", *[F.last(c, ignorenulls=True).over(plain).alias(n) for c, n in (("v", "lv"), ("m", "lm"))]))
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 100_000, None])
-def test_next_row(rows, chunk):
-    plain = Window.partitionBy("g").orderBy("pos")
-    ours = scans.next_row(rows, ["g"], "pos", {"nv": F.col("v"), "nm": F.col("m")}, chunk)
-    same(ours, rows.select("*", F.lead("v").over(plain).alias("nv"), F.lead("m").over(plain).alias("nm")))
-
-
-def test_chunk_check(rows):
-    assert scans.chunk_rows_for(rows, "pos", 5000) is None
-    assert scans.chunk_rows_for(rows, "pos", 100) == 100
-
-
 def test_number_sorted(rows):
     order = [F.col("m").desc_nulls_last(), F.col("pos")]
     ours = scans.number_sorted(rows, "n", *order)
