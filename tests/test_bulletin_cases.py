@@ -1,4 +1,4 @@
-"""Sentence cases: what a short bulletin says and which rows must come out."""
+"""Whole bulletins: what a short one says and which rows must come out."""
 
 from __future__ import annotations
 
@@ -9,141 +9,98 @@ from metframe.functions import levels, places
 from metframe.plans import extraction
 
 DEG = "\N{DEGREE SIGN}"
-MSL = "above m. s. l."
 
 
 @pytest.fixture(scope="module")
 def extract(spark):
-    def run(*texts, file="sample.docx"):
-        paragraphs = spark.createDataFrame([(file, 0, " ".join(texts))], "source_file string, para_idx int, text string")
-        rows = extraction.extract_paragraphs(paragraphs)
-        return [row.asDict() for row in rows.orderBy("entity_ord").collect()]
+    """Rows of bulletins by file name; all bulletins of the module's cases run as one job."""
 
-    return run
-
-
-def systems(rows):
-    return [row["weather_system"] for row in rows]
+    def run(bulletins):
+        rows = [(name, i, text) for name, texts in bulletins.items() for i, text in enumerate(texts)]
+        paragraphs = spark.createDataFrame(rows, "source_file string, para_idx int, text string")
+        found: dict[str, list[dict]] = {name: [] for name in bulletins}
+        for row in extraction.extract_paragraphs(paragraphs).orderBy("source_file", "entity_ord").collect():
+            found[row["source_file"]].append(row.asDict())
+        return found
 
-
-def test_less_marked_continuation_removes_the_entity(extract):
-    rows = extract(
-        f"The trough from southeast Bihar to north Odisha across East Rajasthan at 0.9 km {MSL} persisted.",
-        "It became less marked.",
-    )
-    assert rows == []
-
-
-def test_another_disturbance_and_induced_circulation(extract):
-    rows = extract(
-        f"Another Western Disturbance seen as a trough in middle tropospheric westerlies ran roughly along Long. 55{DEG}E "
-        f"to the north of Lat. 30{DEG}N.",
-        f"The induced upper air cyclonic circulation over north Bihar & neighbourhood at 1.5 km {MSL} persisted.",
-    )
-    assert systems(rows) == ["WD", "CYCIR"]
-    assert rows[0]["region"] == f"along long. 55{DEG}e to the north of lat. 30{DEG}n"
-    assert rows[0]["region_original"] is None
-    assert (rows[1]["region"], rows[1]["height_km"]) == ("north bihar & neighbourhood", "1.5")
+    return run
 
 
-def test_zero_height_is_surface(spark):
+def circulation(place, rest):
+    return f"A cyclonic circulation lay over {place} {rest}."
+
+
+# name -> (sentences of the summary, expected (system, region, height, levels, status))
+BULLETINS = {
+    "grows and is kept.docx": (
+        [circulation("Odisha", "at 4.5 km above mean sea level"), "It persisted at 2.1 km above mean sea level."],
+        [("CYCIR", "odisha", "2.1", "850 hPa", "persisted")],
+    ),
+    "two of a kind.docx": (
+        [circulation("West Rajasthan", "at 0.9 km above msl"), circulation("Gujarat", "at 0.9 km above msl")],
+        [("CYCIR", "west rajasthan", "0.9", "925 hPa", "lay over"), ("CYCIR", "gujarat", "0.9", "925 hPa", "lay over")],
+    ),
+    "ended by name.docx": (
+        [circulation("Punjab", "at 5.8 km above msl"), "The cyclonic circulation over Punjab has become less marked."], [],
+    ),
+    "ended by part of a name.docx": (
+        [circulation("east Uttar Pradesh & adjoining Bihar", "at 3.1 km above msl"), circulation("Goa", "at 3.1 km above msl"),
+         "The cyclonic circulation over east Uttar Pradesh became less marked."],
+        [("CYCIR", "goa", "3.1", "700 hPa", "lay over")],
+    ),
+    "ended by a pronoun.docx": (["The trough from Telangana to Vidarbha at 1.5 km above msl persisted.", "It became less marked."], []),
+    "back again.docx": (
+        [circulation("Assam", "at 1.5 km above msl"), "The cyclonic circulation over Assam became less marked.", "It then persisted at 3.1 km above msl."],
+        [("CYCIR", "assam", "3.1", "700 hPa", "persisted")],
+    ),
+    "both at once.docx": (
+        ["The cyclonic circulation over Tripura at 7.6 km above msl persisted and became less marked."],
+        [("CYCIR", "tripura", "7.6", "400 hPa", "persisted")],
+    ),
+    "nothing before it.docx": (["It persisted at 9.6 km above msl.", "Rain fell at most places."], []),
+    "between levels.docx": (
+        ["The cyclonic circulation over Sikkim between 6.0 & 6.4 km above msl persisted."], [("CYCIR", "sikkim", "6.0-6.4", None, "persisted")],
+    ),
+}
+
+
+def test_bulletins(extract):
+    found = extract({name: [" ".join(texts)] for name, (texts, _) in BULLETINS.items()})
+    got = {
+        name: [(r["weather_system"], r["region"], r["height_km"], r["pressure_level"], r["status"]) for r in rows]
+        for name, rows in found.items()
+    }
+    assert got == {name: expected for name, (_, expected) in BULLETINS.items()}
+
+
+def test_dates_come_from_heading_or_file_name(extract):
+    line = "Summary of observations recorded today: " + circulation("Kerala", "at 1.5 km above msl")
+    found = extract({
+        "AIWS 20240229.docx": [line], "AIWS 20240301.docx": ["Friday, 5th April 2024", line], "undated.docx": [line],
+    })
+    assert {name: rows[0]["date"] for name, rows in found.items()} == {
+        "AIWS 20240229.docx": "2024-02-29", "AIWS 20240301.docx": "2024-04-05", "undated.docx": None,
+    }
+
+
+def test_no_height_is_the_surface(spark):
     none = F.lit(None).cast("string")
-    row = spark.range(1).select(
-        levels.level_and_height(F.lit(0.0), F.lit(None).cast("double"), F.lit("0.0"), none).alias("x")
-    ).first()["x"]
-    assert (row["pressure_level"], row["height_km"]) == ("Surface", "0.0")
-
-
-def test_named_less_marked_removes_the_entity(extract):
-    rows = extract(
-        f"The upper air cyclonic circulation over northeast Bihar & neighbourhood persisted at 1.5 km {MSL}",
-        "The upper air cyclonic circulation over northeast Bihar & neighbourhood became less marked.",
-    )
-    assert rows == []
-
-
-def test_part_of_a_region_name_retires_the_circulation(extract):
-    rows = extract(
-        f"The upper air cyclonic circulation over northeast Bihar & neighbourhood at 1.5 km {MSL} persisted.",
-        f"The upper air cyclonic circulation over Kerala at 3.1 km {MSL} persisted.",
-        "The upper air cyclonic circulation over northeast Bihar became less marked.",
-    )
-    assert [row["region"] for row in rows] == ["kerala"]
-
-
-def test_trough_aloft_is_a_second_system(extract):
-    rows = extract(
-        f"An upper air cyclonic circulation lay over southeast Bihar between 3.1 & 5.8 km {MSL} with the trough aloft with "
-        f"its axis at 7.6 km {MSL} ran roughly along Long. 89{DEG}E to the north of Lat. 20{DEG}N."
-    )
-    assert systems(rows) == ["CYCIR", "Trough"]
-    assert (rows[0]["height_km"], rows[0]["pressure_level"]) == ("3.1-5.8", "700 hPa ; 600 hPa ; 500 hPa")
-    assert rows[1]["height_km"] == "7.6"
-    assert f"along long. 89{DEG}e" in rows[1]["region_original"]
-
-
-def test_fresh_disturbance_is_split_off(extract):
-    rows = extract(
-        f"An upper air cyclonic circulation lay over northeast Bihar & neighbourhood and extended upto 1.5 km {MSL}",
-        f"A fresh western disturbance as a trough in middle tropospheric westerlies with its axis at 5.8 km {MSL} ran "
-        f"roughly along Long. 55{DEG}E to the north of Lat. 31{DEG}N.",
-    )
-    assert systems(rows) == ["CYCIR", "WD"]
-    assert rows[1]["height_km"] == "5.8"
-
-
-def test_long_region_name_is_kept_whole(extract, spark):
-    rows = extract(
-        f"The upper air cyclonic circulation over south Coastal Andhra Pradesh & neighbourhood between 3.1 & 5.8 km {MSL} persisted."
+    zero, high = (
+        spark.range(1).select(levels.level_and_height(F.lit(low), F.lit(None).cast("double"), none, none).alias("x")).first()["x"]
+        for low in (0.0, 12.0)
     )
-    assert [row["region"] for row in rows] == ["south coastal andhra pradesh & neighbourhood"]
-    assert subdivisions(spark, rows[0]["region"]) == ["Coastal Andhra Pradesh"]
-
-
-def subdivisions(spark, region):
-    return spark.range(1).select(places.region_subdivisions(F.lit(region)).alias("n")).first()["n"]
+    assert zero["pressure_level"] == "Surface" and high["pressure_level"] != "Surface"
 
 
 @pytest.mark.parametrize(
     "region, expected",
     [
-        ("comorin area & neighbourhood", ["Comorin Area"]),
-        ("gulf of mannar", ["Gulf of Mannar"]),
-        (f"along long. 55{DEG}e to the north of lat. 31{DEG}n", ["Iran"]),
-        (f"along long. 60{DEG}e to the north of lat. 32{DEG}n", ["Iran"]),
-        ("sw bay ; the ; bihar", ["SW Bay", "Bihar"]),
+        ("comorin", ["Comorin Area"]),
+        ("vidarbha ; the ; west rajasthan", ["Vidarbha", "West Rajasthan"]),
         ("", []),
         # a key without any letters is held by every alias, so the longest one answers
-        ("°°", ["North pakistan", "Jammu & Kashmir", "Punjab"]),
+        (DEG * 2, ["North pakistan", "Jammu & Kashmir", "Punjab"]),
     ],
 )
 def test_region_mapping(spark, region, expected):
-    assert subdivisions(spark, region) == expected
-
-
-def test_continue_revives_a_retired_entity(extract):
-    rows = extract(
-        f"The upper air cyclonic circulation over Kerala at 1.5 km {MSL} persisted.",
-        "The upper air cyclonic circulation over Kerala became less marked.",
-        "It then persisted over the same region.",
-    )
-    assert [(row["region"], row["status"]) for row in rows] == [("kerala", "persisted")]
-
-
-def test_persisted_beats_less_marked(extract):
-    rows = extract("The upper air cyclonic circulation over Kerala persisted and became less marked.")
-    assert [row["status"] for row in rows] == ["persisted"]
-
-
-def test_it_without_antecedent_gives_nothing(extract):
-    assert extract("It persisted at 1.5 km above mean sea level.") == []
-
-
-def test_range_between_levels_keeps_no_level(extract):
-    rows = extract(f"The upper air cyclonic circulation over Kerala between 2.0 & 2.5 km {MSL} persisted.")
-    assert (rows[0]["height_km"], rows[0]["pressure_level"]) == ("2.0-2.5", None)
-
-
-def test_date_falls_back_to_the_file_name(extract):
-    rows = extract(f"The upper air cyclonic circulation over Kerala at 1.5 km {MSL} persisted.", file="AIWS 20250608.docx")
-    assert rows[0]["date"] == "2025-06-08"
+    assert spark.range(1).select(places.region_subdivisions(F.lit(region)).alias("n")).first()["n"] == expected
