@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,33 +15,52 @@ from metframe.functions.places import Point
 from metframe.operators import scans
 
 ENTRY_COLUMNS = ["id", "entry_date", "weather_system", "pressure_level", "subdivisions"]
+TIMES = ["created_at", "updated_at"]
 LOOKUP_LIMIT = 2_000
 MONTH = "entry_month"
 
 
 def read_csv_rows(spark: SparkSession, path: str, wanted: Sequence[str] = v.ENRICHED_COLUMNS) -> DataFrame:
-    """Rows of an extraction CSV by header name, all texts, with `row_pos` in file order.
+    """Rows of extraction CSV files by each file's own header, all texts, with `row_pos` in file order.
 
-    Header names are trimmed and freed of a byte order mark; wanted columns that a file does
-    not have are NULL. Rows of a wrong length land in `bad_row` and are NULL elsewhere.
+    Files are grouped by their header line, so columns may be in any order, missing or more in any of them. Header names are trimmed
+    and freed of a byte order mark; wanted columns that a file does not have are NULL. Rows of a wrong
+    length land in `bad_row` and are NULL elsewhere. A folder without files gives no rows.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    head = reader.option("inferSchema", False).csv(path)
-    names = [name.strip().lstrip("﻿").strip() for name in head.columns]
-    schema = ", ".join(f"`{name}` STRING" for name in names) + ", bad_row STRING"
+    parts = [_csv_of_header(spark, names, files, wanted) for names, files in _csv_headers(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*wanted, "bad_row")) + ", row_pos bigint")
+    return scans.in_file_order(
+        reduce(DataFrame.unionByName, parts), "row_pos", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    ).drop("_metadata")
+
+
+def _csv_headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """Every header line with the files that begin with it: one row a file on the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    placed = lines.where("at = 0").withColumn("place", F.monotonically_increasing_id())
+    first = placed.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        by_header.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+    return [([name.strip().lstrip("\ufeff").strip() for name in next(csv.reader([line], skipinitialspace=True), [])], files) for line, files in by_header.items()]
+
+
+def _csv_of_header(spark: SparkSession, names: list[str], files: list[str], wanted: Sequence[str]) -> DataFrame:
+    """Rows of files that share a header; of columns with one name the first counts."""
+    own = [name if name and name not in names[:i] else f"_column{i}" for i, name in enumerate(names)]
+    schema = ", ".join(f"`{name}` STRING" for name in own) + ", bad_row STRING"
     rows = (
-        reader.option("enforceSchema", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "bad_row").schema(schema).csv(path)
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        .option("enforceSchema", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "bad_row").schema(schema).csv(files)
     )
-    columns = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
+    columns = [F.col(f"`{c}`") if c in own else F.lit(None).cast("string").alias(c) for c in wanted]
     # Naming every column keeps the reader from pruning any: a row is only known to be of a
     # wrong length when it is read whole.
-    whole = F.length(F.concat_ws("", *[F.col(f"`{name}`") for name in names])) >= 0
+    whole = F.length(F.concat_ws("", *[F.col(f"`{name}`") for name in own])) >= 0
     bad_row = F.when(whole, F.col("bad_row")).alias("bad_row")
-    return scans.in_file_order(
-        rows.select(*columns, bad_row, "_metadata"), "row_pos",
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-    ).drop("_metadata")
+    return rows.select(*columns, bad_row, "_metadata")
 
 
 def bad_rows(rows: DataFrame) -> DataFrame:
@@ -68,11 +89,6 @@ def as_points(gazetteer: DataFrame, limit: int = LOOKUP_LIMIT) -> list[Point]:
     return [(row["name"], row["lat"], row["lon"]) for row in rows]
 
 
-def official_names(primary: Sequence[str] = v.OFFICIAL_SUBDIVISIONS, points: Sequence[Point] = v.FORM_POINTS) -> list[str]:
-    """The official list, or the gazetteer's names when that list is empty."""
-    return list(primary) or [name for name, _, _ in points]
-
-
 def read_entries(
     spark: SparkSession, path: str, columns: Sequence[str] = ENTRY_COLUMNS, date: str = ""
 ) -> DataFrame:
@@ -97,8 +113,3 @@ def read_entries_jdbc(
         url=url, dbtable=table, partitionColumn="id", lowerBound=low, upperBound=high, numPartitions=parts, **options
     )
     return reader.load().select(*columns)
-
-
-def vocabulary(spark: SparkSession, names: Sequence[str], column: str = "name") -> DataFrame:
-    """A fixed list as (pos, name)."""
-    return spark.createDataFrame(list(enumerate(names)), f"pos int, {column} string")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metframe import vocab as v
-from metframe.operators import flat, star
+from metframe.functions import text
+from metframe.operators import flat, star, views
 from metframe.plans import extraction
 from metframe.sinks import writers
 from metframe.sources import bulletin_files, tables
@@ -84,6 +85,69 @@ def test_csv_reader(spark, tmp_path):
     assert [r["row_pos"] for r in rows.orderBy("row_pos").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_csv_columns_follow_each_file(spark, tmp_path):
+    """Permuted, extra, repeated and missing columns; an empty file; only a header."""
+    (tmp_path / "1.csv").write_text("date,weather_system,region\n2025-06-01,CYCIR,bihar\n")
+    (tmp_path / "2.csv").write_text("region,date,weather_system\nkerala,2025-06-02,WD\n")
+    (tmp_path / "3.csv").write_text('more, "region" ,date,date\n1,goa,2025-06-03,never\n1,short\n')
+    (tmp_path / "4.csv").write_text("date,weather_system,region\r\n2025-06-04,Trough,odisha\r\n")
+    (tmp_path / "5.csv").write_text("")
+    (tmp_path / "6.csv").write_text("region,date\n")
+    rows = tables.read_csv_rows(spark, str(tmp_path), ["date", "weather_system", "region"])
+    good = tables.good_rows(rows).orderBy("row_pos").select("date", "weather_system", "region").collect()
+    assert [tuple(r) for r in good] == [
+        ("2025-06-01", "CYCIR", "bihar"), ("2025-06-02", "WD", "kerala"), ("2025-06-03", None, "goa"), ("2025-06-04", "Trough", "odisha"),
+    ]
+    assert [r["bad_row"] for r in tables.bad_rows(rows).collect()] == ["1,short"]
+
+
+def test_stored_table_from_reload_to_export(spark, tmp_path):
+    """Reload, append, update twice and export, with ids and times as the table gives them."""
+    at, later = F.lit("2025-06-09 08:30:00").cast("timestamp"), F.lit("2025-06-10 08:30:00").cast("timestamp")
+    texts = spark.createDataFrame(
+        [(7, "2025-06-01", "CYCIR", "850 hPa", "Bihar"), (3, "2025-06-01", "WD", " ", ""), (9, "2025-06-02", " ", None, None)],
+        "row_pos bigint, date string, weather_system string, pressure_level string, subdivisions string",
+    )
+    path = f"{tmp_path}/table"
+    assert writers.write_entries(flat.reload_strict(texts, "row_pos", at), path) == 2
+    columns = [*tables.ENTRY_COLUMNS, *tables.TIMES]
+    form = spark.createDataFrame(
+        [(20, datetime.date(2025, 6, 1), "Trough", None, None), (10, datetime.date(2025, 7, 1), "WD", None, "700 hPa")],
+        "place int, entry_date date, weather_system string, subdivisions string, pressure_level string",
+    )
+    writers.append_entries(flat.new_rows(tables.read_entries(spark, path, columns), form, "place", later), path)
+    changes = spark.createDataFrame(
+        [(2, 2, datetime.date(2025, 6, 1), "Last", None, None), (2, 1, datetime.date(2025, 6, 1), "First", None, None)],
+        "id bigint, nth int, entry_date date, weather_system string, subdivisions string, pressure_level string",
+    )
+    table = flat.update_by_id(tables.read_entries(spark, path, columns), changes, "nth", later)
+    rows = [(r["id"], r["weather_system"], str(r["created_at"]), str(r["updated_at"])) for r in table.orderBy("id").collect()]
+    first, second = "2025-06-09 08:30:00", "2025-06-10 08:30:00"
+    assert rows == [(1, "WD", first, first), (2, "Last", first, second), (3, "WD", second, second), (4, "Trough", second, second)]
+    exported = views.export_rows(table).collect()
+    assert len(exported) == 4 and {str(r["Created At"]) for r in exported} == {first, second}
+
+
+def test_texts_that_hold_the_mark(spark):
+    odd = "a\ufdd0b ; c"
+    row = spark.range(1).select(text.split_list(F.lit(odd), ";").alias("x"), text.split_list(F.lit(odd), " ; ").alias("y")).first()
+    assert row["x"] == ["a\ufdd0b", "c"] and row["y"] == ["a\ufdd0b", "c"]
+
+
+def test_a_damaged_document_is_an_error_row(spark, folder):
+    import pathlib
+
+    whole = pathlib.Path(folder, "AIWS 20250608.docx").read_bytes()
+    pathlib.Path(folder, "cut.docx").write_bytes(whole[: len(whole) // 2])
+    with zipfile.ZipFile(pathlib.Path(folder, "flipped.docx"), "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", "<w/>" * 500)
+    data = bytearray(pathlib.Path(folder, "flipped.docx").read_bytes())
+    data[50:60] = bytes(10)
+    pathlib.Path(folder, "flipped.docx").write_bytes(bytes(data))
+    rows = bulletin_files.read_paragraphs(spark, folder)
+    assert {r["source_file"] for r in bulletin_files.unreadable(rows).collect()} == {"broken.docx", "cut.docx", "flipped.docx"}
+
+
 def test_gazetteer(spark, tmp_path):
     path = tmp_path / "points.json"
     path.write_text(json.dumps([{"name": n, "lat": a, "lon": o} for n, a, o in v.IMD_POINTS]))
@@ -91,8 +155,6 @@ def test_gazetteer(spark, tmp_path):
     assert tables.as_points(points) == [tuple(p) for p in v.IMD_POINTS]
     with pytest.raises(ValueError):
         tables.as_points(points, limit=10)
-    assert tables.official_names([])[:1] == ["Andaman & Nicobar Islands"]
-    assert tables.vocabulary(spark, v.PRESSURE_LEVELS).count() == 10
 
 
 def entries(spark):
