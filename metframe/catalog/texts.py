@@ -174,7 +174,7 @@ QUERIES = [
     ),
     Query(
         "bulletin_sentences",
-        lambda s, d: bulletins.sentences(bulletins.bulletins(m.paragraphs(s, d))).drop("bulletin_date"),
+        lambda s, d: bulletins.sentences(bulletins.bulletins(m.documents(s, d))).drop("bulletin_date"),
         f"WITH {BULLETINS_SQL} " + sentence_rows_sql("(SELECT source_file, summary AS text FROM found)", "source_file", _clauses_sql(_pieces_sql(_glued))),
     ),
     Query(
@@ -185,7 +185,7 @@ QUERIES = [
         "SELECT doc_id, trim(regexp_replace(replace(replace(replace(text, ', ', ' – '), '–', '-'), '—', '-'), '\\s+', ' ', 'g')) AS normalized FROM documents",
     ),
     Query(
-        "heading_date", lambda s, d: bulletins.heading_dates(m.paragraphs(s, d)),
+        "heading_date", lambda s, d: bulletins.heading_dates(m.documents(s, d)),
         f"WITH {BULLETINS_SQL} SELECT source_file, heading_date FROM heads",
     ),
     Query(
@@ -194,11 +194,11 @@ QUERIES = [
         f"WITH {m.rows_sql()} SELECT row_pos, {FILE_DATE_SQL} AS file_date FROM rows_",
     ),
     Query(
-        "bulletin_dates", lambda s, d: bulletins.bulletins(m.paragraphs(s, d)).select("source_file", "bulletin_date"),
+        "bulletin_dates", lambda s, d: bulletins.bulletins(m.documents(s, d)).select("source_file", "bulletin_date"),
         f"WITH {BULLETINS_SQL} SELECT source_file, bulletin_date FROM found",
     ),
     Query(
-        "summary_paragraph", lambda s, d: bulletins.summary_paragraphs(m.paragraphs(s, d)),
+        "summary_paragraph", lambda s, d: bulletins.summary_paragraphs(m.documents(s, d)),
         f"WITH {BULLETINS_SQL} SELECT source_file, summary FROM found",
     ),
     Query(

@@ -243,8 +243,8 @@ TITLE = "India Meteorological Department"
 SUMMARY_OPENING = "Summary of observations recorded at 0830 hours IST: "
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_file, para_idx, text): one bulletin per order with five paragraphs.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, paragraphs): one bulletin per order with five paragraphs.
 
     The heading carries a real date, an impossible one or none; the summary paragraph is
     missing from urgent orders, whose first paragraph then stands in.
@@ -272,7 +272,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(urgent, F.lit("No observations.")).otherwise(summary), F.lit("Forecast and warnings follow."),
     )
     name = F.concat(F.lit("AIWS "), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(" "), key.cast("string"), F.lit(".docx"))
-    return o.select(name.alias("source_file"), F.posexplode(texts).alias("para_idx", "text"))
+    return o.select(name.alias("source_file"), texts.alias("paragraphs"))
 
 
 def paragraphs_sql() -> str:

@@ -16,7 +16,7 @@ _TEXT, _LONG, _INT, _DOUBLE, _DATE, _TIME = (
 )
 _TEXTS = T.ArrayType(T.StringType())
 
-PARAGRAPHS = _struct(("source_file", _TEXT), ("para_idx", _INT), ("text", _TEXT), ("error", _TEXT))
+DOCUMENTS = _struct(("source_file", _TEXT), ("paragraphs", _TEXTS), ("error", _TEXT))
 EXTRACTION = _struct(*[(name, _TEXT) for name in v.EXTRACTION_COLUMNS])
 ENRICHED = _struct(*[(name, _TEXT) for name in v.ENRICHED_COLUMNS])
 ENTRIES = _struct(

@@ -39,18 +39,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows by their position, or by file and entity, spread over part files whose names follow that order."""
+    for order in (["row_pos"], ["source_file", "entity_ord"]):
+        if set(order) <= set(rows.columns):
+            return rows.orderBy(*order)
+    return rows
+
+
 def write_extraction_csv(rows: DataFrame, path: str) -> None:
-    write_csv(extraction_rows(rows), path)
+    write_csv(extraction_rows(_in_file_order(rows)), path)
 
 
 def write_enriched_csv(rows: DataFrame, path: str) -> None:
-    write_csv(enriched_rows(rows), path)
+    write_csv(enriched_rows(_in_file_order(rows)), path)
 
 
 def enrich(rows: DataFrame, path: str) -> int:
     """Map the regions of existing extraction rows, write them, return how many were read."""
     seen = Observation("enrich")
-    write_enriched_csv(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    # observed behind the sort, whose sampling reads the rows once more
+    ordered = _in_file_order(rows).observe(seen, F.count(F.lit(1)).alias("rows"))
+    write_csv(enriched_rows(ordered), path)
     return seen.get["rows"]
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from metframe.catalog import all_queries
 from metframe.functions.pairs import FilterPair
-from metframe.operators import views
+from metframe.operators import bulletins, mentions, views
 from metframe.plans import models
 from metframe.sinks import writers
 from metframe.sources import tables
@@ -40,6 +40,13 @@ def test_one_pair_needs_no_shuffle(spark):
     assert "Exchange" not in plan(rows)
 
 
+def test_documents_become_mentions_without_a_shuffle(spark):
+    found = bulletins.bulletins(models.documents(spark, SF_DIR).coalesce(1))
+    rows = mentions.mentions(bulletins.sentences(found), keep=("source_file", "bulletin_date"))
+    text = plan(rows)
+    assert "Exchange" not in text[text.index("Generate"):text.index("Coalesce")] and "Aggregate" not in text
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_pairs_of_everything_and_no_python(spark, name):
     text = plan(all_queries()[name].run(spark, SF_DIR))

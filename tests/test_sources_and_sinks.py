@@ -101,6 +101,20 @@ def test_csv_columns_follow_each_file(spark, tmp_path):
     assert [r["bad_row"] for r in tables.bad_rows(rows).collect()] == ["1,short"]
 
 
+def test_rows_keep_their_order_through_files(spark, tmp_path):
+    """File, then entity: what the star tables number by."""
+    made = [(f"f{i % 7}", i // 7, "WD" if i % 2 else "CYCIR", f"2025-06-0{i % 7 + 1}") for i in range(70)]
+    rows = spark.createDataFrame(made, "source_file string, entity_ord bigint, weather_system string, date string")
+    texts = ("region", "region_original", "height_km", "pressure_level", "status")
+    rows = rows.select("*", *[F.lit("x").alias(c) for c in texts]).repartition(5)
+    writers.write_extraction_csv(rows, f"{tmp_path}/out")
+    back = tables.good_rows(tables.read_csv_rows(spark, f"{tmp_path}/out", [*v.EXTRACTION_COLUMNS, "subdivisions"]))
+    ordered = [(r["source_file"], r["weather_system"]) for r in back.orderBy("row_pos").collect()]
+    assert ordered == [(f, s) for f, _, s, _ in sorted(made)]
+    facts = star.build_star(back, "row_pos").fact_system.orderBy("id").collect()
+    assert [r["system_seq"] for r in facts] == [i % 10 + 1 for i in range(70)]
+
+
 def test_stored_table_from_reload_to_export(spark, tmp_path):
     """Reload, append, update twice and export, with ids and times as the table gives them."""
     at, later = F.lit("2025-06-09 08:30:00").cast("timestamp"), F.lit("2025-06-10 08:30:00").cast("timestamp")
