@@ -225,21 +225,21 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     sketches = materialize(sketches, "sketches")
     heads = materialize(_stars(collisions), "stars")
     stars, first, links, comps = heads, None, None, None
-    for _ in range(STAR_ROUNDS):
-        if stars.isEmpty():
-            break
+    for number in range(STAR_ROUNDS):
         pairs = stars.where(~F.col("same") & _sizes_allow("n_a", "n_b", percent)).select("a", "b").distinct()
         facts = materialize(_compared(_sketched(pairs, sketches), found, percent), "compared")
         first = facts if first is None else first
         fresh = facts.where("near").select("a", "b")
-        if fresh.isEmpty():
-            break
-        links = fresh if links is None else links.unionByName(fresh)
-        comps = components(links)
+        new = not fresh.isEmpty()
+        if new:
+            links = fresh if links is None else links.unionByName(fresh)
+            comps = components(links)
         # heads have been compared with all others of their bucket
-        stars = materialize(_stars(materialize(_others(stars, comps), "open")), "stars")
-    rest = materialize(_others(stars, comps), "others")
-    if first is not None and not rest.isEmpty():
+        rest = materialize(_others(stars, comps), "open")
+        if not new or number == STAR_ROUNDS - 1 or rest.isEmpty():
+            break
+        stars = materialize(_stars(rest), "stars")
+    if not rest.isEmpty():
         bounds = heads.select("bucket", "a", F.col("b").alias("doc")).join(first.withColumnRenamed("b", "doc"), ["a", "doc"])
         rest = rest.join(bounds.select("bucket", "doc", "shared", "more", "hidden", "bitmap"), ["bucket", "doc"], "left").join(sketches, "doc")
         facts = _compared(_cross_pairs(materialize(rest, "rest"), percent), found, percent)
