@@ -22,7 +22,7 @@ PLAIN = bytes(
 )
 #: Rows that Python code handles at a time, whatever the size of an Arrow batch.
 SLICE_ROWS = 1024
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 
 
 def spaced_words(text: str | None) -> list[bytes]:

@@ -28,7 +28,7 @@ from metframe.llm.common import column_names, slices
 from metframe.llm.tokens import ByteBpe
 
 WINDOW = 2048
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: BM25: term saturation, length normalisation, and how many of a seed's heaviest terms are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 32
 

@@ -41,7 +41,7 @@ CARRIER = bytes(range(48, 58)) + bytes(range(65, 91))
 RAW_BYTES, ORDINARY_WINDOWS, ROUNDS, FOLDS = 400_000, 10_000, 3, 4
 #: A window trains the toxic dictionary if it gains so many bytes, in so many toxic texts, at so many times the ordinary rate.
 MIN_GAIN, MIN_TEXTS, MIN_RATIO = 2, 3, 8
-_CACHED_WINDOWS = 400_000
+_CACHED_WINDOWS = 150_000
 _SOME = 20  # windows added to a text's length, so that one hit in a short text doesn't count for all
 
 
