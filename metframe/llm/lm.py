@@ -8,9 +8,9 @@ of 64 KiB by n-gram, so each is built by the task that has its n-grams, at `BITS
 A bigram's probability is (c(v w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1), with counts from the filter. The base score
 uses exact unigram counts, N and V.
 
-Filter and exact unigram counts go to the workers in segments of at most about `SEGMENT_BYTES`, one pass over the texts
-for each. A pass leaves a byte per n-gram of a text, and what several passes leave is put together by text, so
-neither the driver nor a task holds more than a segment. Counts are summed per batch before the shuffle; its keys are hashes,
+Filter and exact unigram counts are broadcast in segments of at most about `SEGMENT_BYTES`, one pass over the texts for each. The
+driver gathers a segment piece by piece and holds one piece; a worker holds one segment. A pass leaves a byte per n-gram of a
+text, and what several passes leave is put together by text. Counts are summed per batch before the shuffle; its keys are hashes,
 so frequent words don't concentrate anywhere.
 
 Defined cases: a null text is empty and has the end alone. Repeated rows are learnt and scored as often as they
@@ -21,7 +21,7 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -31,6 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from metframe.llm.common import WordHashes, column_names, mix, slices, spaced_words
 from metframe.session import materialize
@@ -38,6 +39,8 @@ from metframe.session import materialize
 BASE, PROBES, BITS, MU = 1.5, 3, 8, 5.0
 SLICE_BITS = 19
 SEGMENT_BYTES = 128 << 20
+#: Slices that are gathered and broadcast at once, 4 MiB of filter.
+PIECE_SLICES = 64
 #: Bytes a unigram takes in a segment beside the filter, and tokens counted before they are given on.
 _EXACT_BYTES, _BATCH_TOKENS = 12, 2_000_000
 _UNIGRAM = np.uint64(1)
@@ -113,7 +116,9 @@ def counts(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
 
     partial = rows.select("text").mapInArrow(counted, "gram long, n long")
-    dealt = partial.repartition(F.shiftrightunsigned("gram", 52)).sortWithinPartitions("gram")
+    # ranges of grams, some for each partition, so that few slices are shared by two tasks
+    ranges = (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    dealt = partial.repartition(F.shiftrightunsigned("gram", 64 - ranges)).sortWithinPartitions("gram")
     return dealt.mapInArrow(summed, "gram long, n long")
 
 
@@ -165,8 +170,8 @@ def filter_slices(counted: DataFrame, count: int) -> DataFrame:
 
 
 @dataclass
-class Segment:
-    """Slices `first` to `stop` of `slices`, and the exact counts of their unigrams, by gram."""
+class Piece:
+    """Slices `first` to `stop` of `slices`, and the exact counts of their unigrams, by gram. What is broadcast at once."""
 
     first: int
     stop: int
@@ -175,12 +180,8 @@ class Segment:
     grams: np.ndarray
     n: np.ndarray
 
-    def mine(self, gram: np.ndarray) -> np.ndarray:
-        of = _slice_of(gram, self.slices)
-        return (of >= self.first) & (of < self.stop)
-
     def levels(self, gram: np.ndarray) -> np.ndarray:
-        """Levels of n-grams of this segment: membership is probed upwards until a level is missing."""
+        """Levels of n-grams of this piece: membership is probed upwards until a level is missing."""
         base = (_slice_of(gram, self.slices) - self.first) << SLICE_BITS
         out = np.zeros(len(gram), np.uint8)
         left = np.arange(len(gram))
@@ -196,7 +197,7 @@ class Segment:
         return out
 
     def exact(self, gram: np.ndarray) -> np.ndarray:
-        """Counts of unigrams of this segment in training tokens; 0 if unknown."""
+        """Counts of unigrams of this piece in training tokens; 0 if unknown."""
         if not len(self.grams):
             return np.zeros(len(gram), np.int64)
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
@@ -213,21 +214,24 @@ class Model:
     tokens: int
     vocabulary: int
 
-    def segments(self) -> Iterator[Segment]:
-        """Segments one by one, as the driver gathers them."""
-        for first in range(0, self.count, self.per_segment):
-            stop = min(first + self.per_segment, self.count)
-            bits = np.zeros((stop - first) << (SLICE_BITS - 3), np.uint8)
-            exact, step = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 256
-            for low in range(first, stop, step):
-                for row in self.slices.where(F.col("slice").between(low, min(low + step, stop) - 1)).collect():
-                    at = (row["slice"] - first) << (SLICE_BITS - 3)
-                    bits[at : at + (1 << (SLICE_BITS - 3))] |= np.frombuffer(row["bits"], np.uint8)
-                    exact.append((np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["n"], np.int64)))
-            gram, n = (np.concatenate(x) for x in zip(*exact))
+    def pieces(self, first: int, stop: int) -> Iterator[Piece]:
+        """Slices `first` to `stop`, `PIECE_SLICES` at a time, as the driver gathers them."""
+        for low in range(first, stop, PIECE_SLICES):
+            high = min(low + PIECE_SLICES, stop)
+            rows = self.slices.where(F.col("slice").between(low, high - 1)).collect()
+            bits = np.zeros((high - low) << (SLICE_BITS - 3), np.uint8)
+            for row in rows:
+                at = (row["slice"] - low) << (SLICE_BITS - 3)
+                bits[at : at + (1 << (SLICE_BITS - 3))] |= np.frombuffer(row["bits"], np.uint8)
+            gram = np.frombuffer(b"".join(row["grams"] for row in rows), np.uint64)
+            n = np.frombuffer(b"".join(row["n"] for row in rows), np.int64)
             order = np.argsort(gram, kind="stable")
-            kind = np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64
-            yield Segment(first, stop, self.count, bits, gram[order], n[order].astype(kind))
+            yield Piece(low, high, self.count, bits, gram[order], n[order])
+
+    def segments(self) -> Iterator[tuple[int, int]]:
+        """First slice and end of each segment."""
+        for first in range(0, self.count, self.per_segment):
+            yield first, min(first + self.per_segment, self.count)
 
 
 def fit(rows: DataFrame, text: str = "text") -> Model:
@@ -259,26 +263,31 @@ def _log_sums(one: np.ndarray, two: np.ndarray, bounds: np.ndarray, end: int, to
 _PARTS = "doc {kind}, print binary, segment int, end_level int, n_known long, base double, one binary, two binary"
 
 
-def _passed(rows: DataFrame, kind, number: int, sent: Broadcast) -> DataFrame:
+def _looked_up(gram: np.ndarray, pieces: list[Piece], what: Callable[[Piece, np.ndarray], np.ndarray], kind: type) -> np.ndarray:
+    """What the pieces say of sorted different n-grams, 0 where none has them; a piece's n-grams are next to each other."""
+    out = np.zeros(len(gram), kind)
+    for piece in pieces:
+        low, high = np.searchsorted(_slice_of(gram, piece.slices), (piece.first, piece.stop))
+        if low < high:
+            out[low:high] = what(piece, gram[low:high])
+    return out
+
+
+def _passed(rows: DataFrame, kind: DataType, number: int, sent: list[Broadcast]) -> DataFrame:
     """What one segment says of every text: known tokens, its part of the base score, and levels (0 outside of it)."""
     types = [to_arrow_type(kind), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, segment = WordHashes(), sent.value
+        hashes, pieces = WordHashes(), [piece.value for piece in sent]
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             one, two, bounds = grams([spaced_words(t) for t in texts], hashes)
             levels = []
             for gram in (one, two):
                 found, back = np.unique(gram, return_inverse=True)
-                mine = segment.mine(found)
-                level = np.zeros(len(found), np.uint8)
-                level[mine] = segment.levels(found[mine])
-                levels.append(level[back])
+                levels.append(_looked_up(found, pieces, Piece.levels, np.uint8)[back])
                 if gram is one:
-                    n = np.zeros(len(found), np.int64)
-                    n[mine] = segment.exact(found[mine])
-                    n = n[back]
+                    n = _looked_up(found, pieces, Piece.exact, np.int64)[back]
             end = int(levels[0][bounds[1] - 1])
             known = np.add.reduceat((n > 0).astype(np.int64), bounds[:-1])
             base = np.add.reduceat(np.log10(n + 1.0), bounds[:-1])
@@ -299,12 +308,18 @@ def score(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "
     kind = documents.schema[doc].dataType
     rows = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     context = documents.sparkSession.sparkContext
-    parts = [_passed(rows, kind, i, context.broadcast(s)) for i, s in enumerate(model.segments())]
-    together = parts[0]
-    several, tokens, vocabulary = len(parts) > 1, model.tokens, model.vocabulary
+    segments = [*model.segments()]
+    several, tokens, vocabulary = len(segments) > 1, model.tokens, model.vocabulary
+    together = None
+    for number, (first, stop) in enumerate(segments):
+        sent = [context.broadcast(piece) for piece in model.pieces(first, stop)]
+        part = _passed(rows, kind, number, sent)
+        if several:
+            part = materialize(part, "levels")
+            for piece in sent:
+                piece.destroy()
+        together = part if together is None else together.unionByName(part)
     if several:
-        for part in parts[1:]:
-            together = together.unionByName(part)
         together = together.repartition("print").sortWithinPartitions("print", "doc", "segment")
     log_all = float(np.log10(tokens + vocabulary + 1))
     names = ("doc", "n_tokens", "n_known", "base_score", "score")
