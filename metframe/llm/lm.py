@@ -42,7 +42,7 @@ SEGMENT_BYTES = 128 << 20
 #: Slices that are gathered and broadcast at once, 4 MiB of filter.
 PIECE_SLICES = 64
 #: Bytes a unigram takes in a segment beside the filter, and tokens counted before they are given on.
-_EXACT_BYTES, _BATCH_TOKENS = 12, 2_000_000
+_EXACT_BYTES, _BATCH_TOKENS = 12, 1_000_000
 _UNIGRAM = np.uint64(1)
 _END = np.uint64(0x5851F42D4C957F2D)
 _MAX_LEVEL = 110
