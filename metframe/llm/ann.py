@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metframe.llm.common import column_names, one_row_per_id, slices
+from metframe.llm.common import SLICE_ROWS, column_names, one_row_per_id, slices
 from metframe.session import materialize
 
-SAMPLE_BYTES, BLOCK_BYTES = 16 << 20, 32 << 20
+SAMPLE_BYTES, BLOCK_BYTES = 4 << 20, 32 << 20
 #: Rows of the sample in a list, links of a centroid in the graph, and centroids that a walk keeps at least.
 LIST_SAMPLE, LINKS, KEPT = 8, 24, 16
 REPLICAS, BOUNDARY = 4, 1.1
@@ -139,16 +139,17 @@ def fit_centroids(sample: np.ndarray, norm: float, lists: int, k: int) -> Centro
     out.links = np.c_[near, ring]
     out.entries = np.unique(np.linspace(0, count - 1, max(int(count**0.5), 1)).astype(np.int64))
     picked = np.linspace(0, len(sample) - 1, min(CALIBRATED, len(sample))).astype(np.int64)
-    scores = sample[picked] @ sample.T
-    scores[np.arange(len(picked)), picked] = -np.inf
-    true = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    row, lists_of = out.assign(sample)
     holds = np.zeros((len(sample), count), bool)
-    holds[row, lists_of] = True
+    for start in range(0, len(sample), SLICE_ROWS):
+        row, lists_of = out.assign(sample[start : start + SLICE_ROWS])
+        holds[start + row, lists_of] = True
     far = _distances(out.lift(sample[picked], queries=True), out.points)
-    needed = [
-        np.where(holds[found], far[i], np.inf).min(axis=1) / max(far[i].min(), 1e-12) for i, found in enumerate(true) if len(found)
-    ]
+    needed = []
+    for i, query in enumerate(picked if len(sample) > 1 else []):
+        scores = sample @ sample[query]
+        scores[query] = -np.inf
+        found = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
+        needed.append(np.where(holds[found], far[i], np.inf).min(axis=1) / max(far[i].min(), 1e-12))
     out.ratio = float(np.quantile(np.concatenate(needed), TARGET)) * (1 + 1e-9) if needed else 1.0
     return out
 
@@ -202,9 +203,12 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and vec (doubles) of the rows that take part."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec"))
+def usable(df: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame:
+    """id, vec (doubles) and asks (meets `is_query`) of the rows that take part."""
+    rows = df.select(
+        F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
+    )
     rows = rows.where(F.col("id").isNotNull() & _usable(F.col("vec")))
     size = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     rows = rows.where(F.size("vec") == (size["dim"] if size else 0))
@@ -221,8 +225,8 @@ def search(
     """query_id, rank, `key`, score: of each row that meets `is_query` the `k` nearest others found."""
     column_names(candidates, key, vector)
     spark = candidates.sparkSession
-    rows = usable(candidates, key, vector)
-    chosen = usable(candidates.where(is_query), key, vector)
+    taking_part = usable(candidates, key, vector, is_query)
+    rows, chosen = taking_part.drop("asks"), taking_part.where("asks").drop("asks")
     squared = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
     facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(squared)).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
     result = f"query_id long, {key} long, score double"
