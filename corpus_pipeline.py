@@ -5,7 +5,8 @@ last one the pieces of the packed sequences. `run` writes every stage as Parquet
 
 Defined cases: documents with null or empty text are kept by the filters and packed as their end token. Rows that repeat a doc_id leave one row
 (the smallest); rows without a doc_id are never taken for copies. An empty table gives no pieces. Columns beside doc_id and text
-are passed through, whatever their names. A table without labels of both classes rejects no text as toxic.
+are passed through, whatever their names. With fewer than `toxicity.FOLDS` texts of a class in the sample no text
+is rejected as toxic.
 """
 
 from __future__ import annotations

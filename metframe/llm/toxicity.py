@@ -12,8 +12,8 @@ from those that the last pair mistook for toxic.
 The model is fitted on the driver from at most `sample_rows` labelled texts of each class, of at most `sample_chars` characters
 each, chosen by a hash of the id. Scoring reads whole texts, all of them, in the tasks that read them.
 
-Defined cases: null and empty texts have no windows and get the score of a text without hits; without labelled texts of both classes
-all scores are the share of toxic labels. Labels other than 0 and 1, and labels that contradict each other for one id, are not learnt. Rows are
+Defined cases: null and empty texts have no windows and get the score of a text without hits. With fewer than `FOLDS` texts of a class
+nothing is learnt: all scores are the share of toxic texts, held below `THRESHOLD`, and `without_toxic` keeps every row. Labels other than 0 and 1, and labels that contradict each other for one id, are not learnt. Rows are
 scored one by one, so repeated rows and null ids are kept; an empty table gives no rows. Only the named columns are read, and
 `without_toxic` returns all columns of the documents.
 """
@@ -118,7 +118,8 @@ class Model:
 def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from all texts, weights from texts under dictionaries of the other folds."""
     if len(toxic) < FOLDS or len(ordinary) < FOLDS:
-        return Model(None, np.zeros(5), len(toxic) / max(len(toxic) + len(ordinary), 1))
+        share = len(toxic) / max(len(toxic) + len(ordinary), 1)
+        return Model(None, np.zeros(5), min(share, float(np.nextafter(THRESHOLD, 0))))
     x, y = [], []
     for fold in range(FOLDS):
         (some_toxic, toxic_rest), (some_ordinary, ordinary_rest) = (
@@ -210,8 +211,10 @@ def score(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "
 
 
 def without_toxic(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
+    """The documents, with all their columns, that score below the threshold; all of them if nothing was learnt."""
     column_names(documents, text)
+    if model.distance is None:
+        return documents
     at = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -302,6 +302,15 @@ def test_toxic_texts_are_told_apart(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("toxic", "ordinary"), [(40, 0), (100, 3), (3, 1)])
+def test_too_few_texts_of_a_class_reject_nothing(spark, toxic, ordinary):
+    texts = [prose(random.Random(i), 20) for i in range(toxic + ordinary)] + [None, ""]
+    df = frame(spark, texts)
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i < toxic)) for i in range(toxic + ordinary)], "doc_id long, toxic int"))
+    assert toxicity.without_toxic(df, model).count() == toxicity.without_toxic(df, model, threshold=0.1).count() == len(texts)
+    assert all(0 <= r["score"] < toxicity.THRESHOLD for r in toxicity.score(df, model).collect())
+
+
 def test_one_row_stays_of_each_id(spark):
     df = spark.createDataFrame([(1, "b", {"k": 1}), (1, "a", {"k": 2}), (2, "c", None), (None, "d", None), (None, "d", None)], "id long, t string, m map<string, int>")
     kept = common.one_row_per_id(df, "id")
