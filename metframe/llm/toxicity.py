@@ -10,10 +10,12 @@ and recur in toxic texts far more than in ordinary ones, the ordinary one from t
 from those that the last pair mistook for toxic.
 
 The model is fitted on the driver from at most `sample_rows` labelled texts of each class, of at most `sample_chars` characters
-each, chosen by a hash of the id. Scoring reads whole texts, all of them, in the tasks that read them.
+each, chosen by a hash of the id among the labels that have such a text. Scoring reads whole texts, all of them, in the tasks
+that read them.
 
 Defined cases: null and empty texts have no windows and get the score of a text without hits. With fewer than `FOLDS` texts of a class
-nothing is learnt: all scores are the share of toxic texts, held below `THRESHOLD`, and `without_toxic` keeps every row. Labels other than 0 and 1, and labels that contradict each other for one id, are not learnt. Rows are
+nothing is learnt: all scores are the share of toxic texts, held below `THRESHOLD`, and `without_toxic` keeps every row. Labels
+other than 0 and 1, and labels that contradict each other for one id, are not learnt. Rows are
 scored one by one, so repeated rows and null ids are kept; an empty table gives no rows. Only the named columns are read, and
 `without_toxic` returns all columns of the documents.
 """
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from metframe.llm.common import column_names, plain_words, slices
+from metframe.session import materialize
 
 THRESHOLD = 0.3
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -187,6 +190,7 @@ def fit(
     ids = ids.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     texts = documents.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
     texts = texts.where((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    ids = materialize(ids.join(texts.select("id"), "id", "left_semi"), "labelled")
     samples = []
     for value in (1, 0):
         chosen = ids.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id")

@@ -311,6 +311,15 @@ def test_too_few_texts_of_a_class_reject_nothing(spark, toxic, ordinary):
     assert all(0 <= r["score"] < toxicity.THRESHOLD for r in toxicity.score(df, model).collect())
 
 
+def test_samples_are_drawn_from_labels_with_usable_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary: (len(toxic), len(ordinary)))
+    usable = [(i, "some words") for i in range(40)]
+    df = spark.createDataFrame([*usable, *((i, None if i % 3 else "long " * 50) for i in range(40, 400))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    assert toxicity.fit(df, labels, sample_rows=15, sample_chars=100) == (15, 15)
+    assert toxicity.fit(df, labels, sample_rows=50, sample_chars=100) == (20, 20)
+
+
 def test_one_row_stays_of_each_id(spark):
     df = spark.createDataFrame([(1, "b", {"k": 1}), (1, "a", {"k": 2}), (2, "c", None), (None, "d", None), (None, "d", None)], "id long, t string, m map<string, int>")
     kept = common.one_row_per_id(df, "id")
