@@ -3,8 +3,8 @@
 Each stage is `(name, function)`; a function takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns, the
 last one the pieces of the packed sequences. `run` writes every stage as Parquet to the shared folder and reads it again.
 
-Defined cases: documents with null or empty text are kept by the filters and packed as their end token. Rows that repeat a doc_id leave one row
-(the smallest); rows without a doc_id are never taken for copies. An empty table gives no pieces. Columns beside doc_id and text
+Defined cases: documents with null or empty text are kept by the filters and packed as their end token. Rows that repeat a doc_id and its
+text leave one row (the smallest); different texts of a doc_id are documents of their own; rows without a doc_id are never taken for copies. An empty table gives no pieces. Columns beside doc_id and text
 are passed through, whatever their names. With fewer than `toxicity.FOLDS` texts of a class in the sample no text
 is rejected as toxic.
 """
@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by a similarity of 0.8 or more of five-word shingles."""
-    found = minmax.near_duplicates(docs, words=5, percent=80)
-    copies = materialize(found.where("NOT kept").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
+    found = minmax.judged(docs, words=5, percent=80)
+    copies = found.where("NOT kept").select(F.col("doc_id").alias("__copy"), F.col("text_hash").alias("__hash"))
+    copies = materialize(copies.distinct(), "copies")
     if copies.count() <= minmax.SENT_IDS:
         copies = F.broadcast(copies)
-    return one_row_per_id(docs, "doc_id").join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    same_text = F.col("__hash").isNull() | (F.col("__hash") == F.xxhash64("text"))
+    return one_row_per_id(docs, "doc_id", "text").join(copies, (F.col("doc_id") == F.col("__copy")) & same_text, "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,20 +91,21 @@ def column_names(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are not among {df.columns}")
 
 
-def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
+def one_row_per_id(df: DataFrame, key: str, text: str | None = None) -> DataFrame:
     """Rows with a key of their own, and of those that repeat a key the smallest one; rows without a key all stay.
 
-    Only keys are shuffled to find repeats; without any, the frame is returned as it is. Maps and variants have no order and
+    With `text` named, only rows that repeat a key and its text are folded; texts are told apart by a 64-bit hash. Only keys are shuffled to find repeats; without any, the frame is returned as it is. Maps and variants have no order and
     don't count for what is smallest.
     """
     column = F.col(f"`{key}`")
-    keys = df.where(column.isNotNull()).groupBy(column.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
-    repeated = materialize(keys.select("__key"), "repeated-keys")
+    part = F.xxhash64(F.col(f"`{text}`")) if text else F.lit(0).cast("long")
+    keys = df.where(column.isNotNull()).groupBy(column.alias("__key"), part.alias("__part")).agg(F.count("*").alias("__n")).where("__n > 1")
+    repeated = materialize(keys.select("__key", "__part"), "repeated-keys")
     if repeated.isEmpty():
         return df
-    same = column == F.col("__key")
+    same = (column == F.col("__key")) & (part == F.col("__part"))
     alone = df.join(repeated, same, "left_anti")
     ordered = [f"`{name}`" for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     smallest = F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), F.struct(*ordered)).alias("__row")
-    folded = df.join(repeated, same, "left_semi").groupBy(column).agg(smallest)
+    folded = df.join(repeated, same, "left_semi").groupBy(column, part).agg(smallest)
     return alone.unionByName(folded.select("__row.*"))

@@ -16,7 +16,9 @@ All shuffles are of small rows (bucket, node, sizes) or of the sets of nodes tha
 skewed partitions Spark splits; buckets are streamed, never collected.
 
 Defined cases: a document without words has an empty set, is linked with nothing and is its own component. One with fewer words than a shingle has
-the whole sequence as its only shingle. Rows that repeat an id are one node with all their sets. A null id is no node: its component
+the whole sequence as its only shingle. Rows that repeat an id and its text are one document. Different texts of an id are documents of
+their own, named by a 64-bit hash while they are compared: each is kept unless it is a copy, of groups of copies the one of the smallest id, then
+hash. As they share an id, they and what is linked with any of them have one component_id. A null id is no node: its component
 is null and it is kept. An empty table gives no rows. Only the named columns are read.
 """
 
@@ -201,8 +203,50 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """`doc`, n_shingles, component_id and kept of every row; `doc` is an integer."""
+    return judged(documents, doc, text, words, percent).drop("text_hash")
+
+
+def judged(documents: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """As `near_duplicates`, and text_hash, xxhash64 of the text, for rows whose id has different texts; null for the others."""
     column_names(documents, doc, text)
     rows = documents.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    texts = rows.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = materialize(texts.where("low < high").select("doc"), "several-texts")
+    if several.isEmpty():
+        found = _components_of_rows(rows, words, percent)
+        kept = F.coalesce(F.col("doc") == F.col("component"), F.lit(True))
+        out = found.select("doc", "n", "component", kept.alias("kept"), F.lit(None).cast("long").alias("text_hash"))
+    else:
+        out = _of_several(rows, several, words, percent)
+    return out.withColumnsRenamed({"doc": doc, "n": "n_shingles", "component": "component_id"})
+
+
+def _of_several(rows: DataFrame, several: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc, n, component, kept, text_hash of rows (doc, text) where the ids `several` have different texts, each a document of its own."""
+    mine = several.withColumn("split", F.lit(True))
+    keyed = rows.join(mine, "doc", "left").select(
+        F.when(F.col("split"), F.xxhash64("doc", "text")).otherwise(F.col("doc")).alias("key"), "doc", "text", "split"
+    )
+    names = keyed.where("split").select("key", F.col("doc").alias("id"), F.xxhash64("text").alias("text_hash")).distinct()
+    found = _components_of_rows(keyed.select(F.col("key").alias("doc"), "text"), words, percent).withColumnRenamed("doc", "key")
+    found = found.join(names, "key", "left").select("key", F.coalesce("id", "key").alias("doc"), "n", "component", "text_hash")
+    found = materialize(found, "texts")
+    groups = found.where("doc IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc", "key")).alias("first"))
+
+    # groups that share an id have one component
+    of_ids = found.where("text_hash IS NOT NULL").select("doc", "component").distinct()
+    links = of_ids.join(of_ids.groupBy("doc").agg(F.min("component").alias("a")), "doc")
+    links = links.select("a", F.col("component").alias("b")).where("a <> b").distinct()
+    joined = components(links).select(F.col("doc").alias("component"), F.col("component").alias("whole"))
+    groups = groups.join(joined, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    groups = materialize(groups, "groups")
+    groups = groups.join(groups.groupBy("whole").agg(F.min("first.doc").alias("smallest")), "whole")
+    kept = F.coalesce(F.col("key") == F.col("first.key"), F.lit(True))
+    return found.join(groups, "component", "left").select("doc", "n", F.col("smallest").alias("component"), kept.alias("kept"), "text_hash")
+
+
+def _components_of_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc, n, component of every row (doc, text); all rows of a doc have one text."""
     signed = materialize(signatures(rows, words), "signatures")
 
     # documents of equal sets are one node
@@ -252,10 +296,7 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         out = out.withColumn("component", F.col("node"))
     else:
         out = out.join(comps.withColumnRenamed("doc", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return out.select(
-        F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"),
-    )
+    return out.select("doc", "n", "component")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -95,6 +96,19 @@ def test_near_duplicates_of_odd_tables(spark):
     assert found == sorted(map(str, [(5, 2, 5, True), (5, 2, 5, True), (None, 2, None, True), (7, 0, 7, True), (9, 2, 5, False)]))
 
 
+def test_texts_of_one_id_are_judged_one_by_one(spark):
+    one, two, other = "a b c d e f g", "t u v w x y z", "k l m n o p q"
+    rows = frame(spark, [one, one, two, two, two, other, None, other], [3, 5, 5, 5, 9, 9, 5, 11])
+    found = sorted(map(str, (tuple(r) for r in minmax.near_duplicates(rows, words=2).collect())))
+    want = [(3, 6, 3, True), (5, 6, 3, False), (5, 6, 3, True), (5, 6, 3, True), (9, 6, 3, False), (9, 6, 3, True), (5, 0, 3, True), (11, 6, 3, False)]
+    assert found == sorted(map(str, want))
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(3, one), (5, two), (5, None), (9, other)]))
+    alone = frame(spark, [one, two, one], [5, 5, None])
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, alone, "").collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(5, one), (5, two), (None, one)]))
+
+
 def test_what_star_rounds_leave_is_compared(spark, monkeypatch):
     monkeypatch.setattr(minmax, "STAR_ROUNDS", 1)
     texts = copies(random.Random(9))
