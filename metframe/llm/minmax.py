@@ -1,8 +1,8 @@
 """Near duplicates by min-max hashing: banded signatures find pairs, full shingle sets confirm them.
 
 Every permutation gives two signature values, the minimum and the maximum over a document's shingles, so `BANDS` x `ROWS` values
-cost half as many hash evaluations. Bands of `ROWS` values are the buckets. At a similarity of 0.8 a pair shares no bucket with a
-probability of 5e-7; every link that is reported is confirmed on the full sets.
+cost half as many hash evaluations. Bands of `ROWS` values are the buckets, of fewer where `percent` is below 80. At a similarity of
+0.8 a pair shares no bucket with a probability of 5e-7, at that of a lower threshold of 1e-6 at most; every link that is reported is confirmed on the full sets.
 
 1. Documents with equal sets are one node, named by the smallest id; only nodes go on.
 2. Star rounds: in every bucket all nodes are compared with its head, the node that meets most others, so a bucket of copies costs one
@@ -25,6 +25,7 @@ is null and it is kept. An empty table gives no rows. Only the named columns are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ SKETCH_BITS, SKETCH_LIMIT = BANDS * ROWS, 62
 #: Bits of the bitmap of what a node has and its head has not.
 MAP_BITS = 512
 STAR_ROUNDS = 2
+#: The probability, at most, with which a pair of the threshold may share no bucket.
+MAX_MISS = 1e-6
 #: Ids sent to all tasks to pick the texts whose sets are needed; beyond, they are joined.
 SENT_IDS = 1_000_000
 _RNG = np.random.default_rng(20240229)
@@ -77,8 +80,23 @@ _SIGNED_TYPES = pa.schema([
 ])
 
 
-def signatures(rows: DataFrame, n: int) -> DataFrame:
+def rows_of_band(percent: int) -> int:
+    """Values of a bucket, `ROWS` or as many fewer as a lower threshold needs; all values are dealt to bands of so many."""
+    for rows in range(ROWS, 0, -1):
+        if BANDS * ROWS % rows == 0 and (1 - (percent / 100) ** rows) ** (BANDS * ROWS // rows) <= MAX_MISS:
+            return rows
+    raise ValueError(f"{percent} percent is too low for {BANDS * ROWS} signature values")
+
+
+def sketch_limit(percent: int) -> int:
+    """Bits of the sketch that may differ: six and a half standard deviations above what a pair of the threshold has, `SKETCH_LIMIT` at least."""
+    differ = (1 - percent / 100) / 2
+    return max(SKETCH_LIMIT, math.ceil(SKETCH_BITS * differ + 6.5 * math.sqrt(SKETCH_BITS * differ * (1 - differ))))
+
+
+def signatures(rows: DataFrame, n: int, percent: int = 80) -> DataFrame:
     """doc, n (set size), print (of the whole set; null if empty), buckets, sketch of every row (doc, text)."""
+    band = rows_of_band(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -90,9 +108,9 @@ def signatures(rows: DataFrame, n: int) -> DataFrame:
                     out.append((doc, 0, None, None, None))
                     continue
                 values = signature(found)
-                bands = values.reshape(BANDS, ROWS)
-                bucket = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for row in range(ROWS):
+                bands = values.reshape(-1, band)
+                bucket = np.arange(1, len(bands) + 1, dtype=np.uint64)
+                for row in range(band):
                     bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + bands[:, row])
                 bits = np.packbits((mix(values) & np.uint64(1)).astype(np.uint8))
                 sketch = np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
@@ -247,7 +265,7 @@ def _of_several(rows: DataFrame, several: DataFrame, words: int, percent: int) -
 
 def _components_of_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """doc, n, component of every row (doc, text); all rows of a doc have one text."""
-    signed = materialize(signatures(rows, words), "signatures")
+    signed = materialize(signatures(rows, words, percent), "signatures")
 
     # documents of equal sets are one node
     prints = signed.where("doc IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(F.min("doc").alias("node"))
@@ -271,7 +289,7 @@ def _components_of_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
     stars, first, links, comps = heads, None, None, None
     for number in range(STAR_ROUNDS):
         pairs = stars.where(~F.col("same") & _sizes_allow("n_a", "n_b", percent)).select("a", "b").distinct()
-        facts = materialize(_compared(_sketched(pairs, sketches), found, percent), "compared")
+        facts = materialize(_compared(_sketched(pairs, sketches, percent), found, percent), "compared")
         first = facts if first is None else first
         fresh = facts.where("near").select("a", "b")
         new = not fresh.isEmpty()
@@ -337,15 +355,15 @@ def _bits(one: Column, two: Column, count: int, join: Callable[[Column, Column],
     return sum((F.bit_count(join(one[i], two[i])) for i in range(1, -(-count // 64))), F.bit_count(join(one[0], two[0])))
 
 
-def _alike(one: Column, two: Column) -> Column:
+def _alike(one: Column, two: Column, percent: int) -> Column:
     """Sketches differ as little as those of a pair that meets the threshold."""
-    return _bits(one, two, SKETCH_BITS, lambda x, y: x.bitwiseXOR(y)) <= SKETCH_LIMIT
+    return _bits(one, two, SKETCH_BITS, lambda x, y: x.bitwiseXOR(y)) <= sketch_limit(percent)
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     left = sketches.withColumnsRenamed({"doc": "a", "sketch": "sketch_a"})
     right = sketches.withColumnsRenamed({"doc": "b", "sketch": "sketch_b"})
-    return pairs.join(left, "a").join(right, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"), percent)).select("a", "b").distinct()
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -364,5 +382,5 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     common = _bits(F.col("bitmap_a"), F.col("bitmap_b"), MAP_BITS, lambda x, y: x.bitwiseAND(y))
     near = (F.col("comp_a") != F.col("comp_b")) & (F.col("doc_a") < F.col("doc_b")) & _sizes_allow("n_a", "n_b", percent)
     near &= reaches(F.least("more_a", "more_b")) & reaches(common + F.least("hidden_a", "hidden_b"))
-    near &= _alike(F.col("sketch_a"), F.col("sketch_b"))
+    near &= _alike(F.col("sketch_a"), F.col("sketch_b"), percent)
     return one.join(two, "bucket").where(near).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()

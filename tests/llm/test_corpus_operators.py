@@ -109,6 +109,18 @@ def test_texts_of_one_id_are_judged_one_by_one(spark):
     assert sorted(map(str, left)) == sorted(map(str, [(5, one), (5, two), (None, one)]))
 
 
+def test_lower_thresholds_have_their_own_bands_and_sketch_limit(spark):
+    assert (minmax.rows_of_band(80), minmax.sketch_limit(80)) == (minmax.ROWS, minmax.SKETCH_LIMIT)
+    texts = []
+    for i in range(60):
+        words = [f"v{i}x{j}" for j in range(160)]
+        texts += [" ".join(words[:120]), " ".join(words[:80] + words[120:])]
+    found = minmax.near_duplicates(frame(spark, texts), words=1, percent=50).collect()
+    assert sum(not r["kept"] for r in found) == 60 and {r["component_id"] for r in found} == set(range(0, 120, 2))
+    with pytest.raises(ValueError, match="too low"):
+        minmax.near_duplicates(frame(spark, texts), percent=1)
+
+
 def test_what_star_rounds_leave_is_compared(spark, monkeypatch):
     monkeypatch.setattr(minmax, "STAR_ROUNDS", 1)
     texts = copies(random.Random(9))
