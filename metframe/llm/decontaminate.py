@@ -4,13 +4,14 @@ Texts and test items are sequences of words (runs of a-z, 0-9 and non-ASCII char
 are the seeds: their Karp-Rabin hashes, rolled over every text, are joined with those of the items. Where a text shares
 seeds with an item, the longest match of unmarked words is marked as a tile, again and again, until none of
 `min_tile` words is left. Tiles don't overlap and may stand in any order, so reordered passages are found too. An item whose
-tiles cover at least `coverage` of its words has leaked into the text.
+tiles cover at least `coverage` of its words has leaked into the text. An item of fewer than `min_tile` words has no seed; it has
+leaked into a text that has the same words and no others, as one tile.
 
 The items are the stated query set. They go to the workers in blocks of about `block_bytes` of text, one pass over the documents for
 each, so neither the driver nor a worker holds more than a block. Nothing is shuffled, and a text is compared in the
 task that reads it, so hot sources and common passages are spread like the input.
 
-Defined cases: null or empty texts match nothing; neither do items of fewer than `min_tile` words, which are no evidence.
+Defined cases: null or empty texts match nothing, nor do items without words. Within longer texts, items of fewer than `min_tile` words are no evidence.
 Repeated documents give a row each; repeated items (or items with equal text) a row for each item. Null ids are passed through.
 Empty tables give no rows. Only the named columns are read by `leaks`; `without_leaks` returns all columns of the documents.
 """
@@ -76,6 +77,10 @@ class Tiling:
         self._first = np.append(first, len(codes))
         self._sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self._sieve[self._slot(self._codes)] = True
+        self._short: dict[tuple[bytes, ...], list[int]] = {}
+        for i, item in enumerate(words):
+            if 0 < len(item) < min_tile:
+                self._short.setdefault(tuple(item), []).append(i)
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self._number.get, words, repeat(0)), np.uint64, len(words))
@@ -86,9 +91,14 @@ class Tiling:
 
     def leaks(self, text: str | None) -> list[Leak]:
         """Items that leaked into a text, in their order."""
-        if not text or not len(self._codes):
+        if not text or not (len(self._codes) or self._short):
             return []
-        ids = self._ids(plain_words(text))
+        words = plain_words(text)
+        if len(words) < self.min_tile:
+            return [Leak(i, len(words), len(words), [(0, 0, len(words))]) for i in self._short.get(tuple(words), [])]
+        if not len(self._codes):
+            return []
+        ids = self._ids(words)
         codes = _rolled(ids, self.min_tile)
         place = np.flatnonzero(self._sieve[self._slot(codes)])
         if not len(place):

@@ -159,6 +159,17 @@ def test_tiles_find_exact_partial_and_reordered_items(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_leak_into_texts_of_the_same_words(spark):
+    bench = spark.createDataFrame([(0, "Who is it?"), (1, "yes"), (2, None), (3, ""), (4, "who is it"), (5, "one two three four five")], "item_id long, text string")
+    docs = frame(spark, ["who is it", "who is it now", "Yes.", "yes yes", None, "", "is it who", "one two three four five", "one two three four"])
+    for some in (bench, bench.where("item_id < 5")):
+        found = {(r["doc_id"], r["item_id"]): (r["item_words"], r["coverage"], [tuple(t) for t in r["tiles"]]) for r in decontaminate.leaks(docs, some).collect()}
+        long_one = {(7, 5): (5, 1.0, [(0, 0, 5)])} if some is bench else {}
+        assert found == {(0, 0): (3, 1.0, [(0, 0, 3)]), (0, 4): (3, 1.0, [(0, 0, 3)]), (2, 1): (1, 1.0, [(0, 0, 1)])} | long_one
+        left = {1, 3, 4, 5, 6, 8} | (set() if long_one else {7})
+        assert {r["doc_id"] for r in decontaminate.without_leaks(docs, some).collect()} == left
+
+
 def test_tiles_are_longest_first_and_do_not_overlap():
     tiling = decontaminate.Tiling(["a b c d e f g h i j k l"], min_tile=3, coverage=0.1)
     leak = tiling.leaks("x a b c d e y d e f g h i j k l z")[0]
