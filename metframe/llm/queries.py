@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metframe.catalog.base import Query
-from metframe.llm import ann, chat, decontaminate, licenses, lm, minmax, packing, toxicity, urls, warc
+from metframe.llm import alignment, ann, chat, decontaminate, licenses, lm, minmax, packing, rtree, spelling, toxicity, urls, warc
 from metframe.session import materialize
 
 
@@ -155,15 +155,67 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.text}' THEN '
   WHEN strict_hits > 0 OR len(soft) >= 2 THEN 'block' ELSE 'allow' END AS verdict, strict_hits, array_to_string(soft, ',') AS soft_terms FROM t
 """
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.near_classes(_table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def _jaccard_sql(words: int, more: str = "") -> str:
+    """Classes of documents whose sets of shingles meet the threshold of 80 percent: common shingles are counted pair by pair."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words} - 1], ' ')) END) AS x FROM d),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN z y ON y.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * o >= 80 * (y.n + v.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id{more}
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = """
+WITH RECURSIVE k AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2),
+b AS (SELECT run, doc_id, n, hex(encode(concat(doc_id, ':', run))) AS h FROM g),
+x AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT))),
+  lambda a, v: xor(a >> 8, crc[(xor(a, v) & 255) + 1])), 4294967295) AS h FROM b, k),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM x GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+d AS (SELECT DISTINCT word, n, concat(substr(word, 1, i), substr(word, i + 2)) AS cut, i FROM w, unnest(range(length(word))) AS t(i)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM w a JOIN d b ON a.word = b.cut
+  UNION SELECT b.word, b.n, a.word, a.n FROM w a JOIN d b ON a.word = b.cut),
+f AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, struct_pack(l := -m, o := other)) AS best, max(m) AS best_n FROM p GROUP BY 1),
+t AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+z AS (SELECT word, word AS root FROM t UNION ALL SELECT z.word, t.form FROM z JOIN t ON t.word = z.root WHERE t.form IS NOT NULL),
+q AS (SELECT z.word, z.root FROM z JOIN t ON t.word = z.root WHERE t.form IS NULL)
+SELECT t.word, t.n, CAST(t.n_near AS BIGINT) AS n_near, t.form, CAST(t.form_n AS BIGINT) AS form_n, q.root FROM t JOIN q USING (word)
+"""
+
 QUERIES = [
     Query("op1_warc", op1_warc, _OP1_SQL),
     Query("op2_licenses", op2_licenses, _OP2_SQL),
     Query("op3_decontaminate", op3_decontaminate),
     Query("op4_ann", op4_ann),
-    Query("op5_minmax", op5_minmax),
+    Query("op5_minmax", op5_minmax, _jaccard_sql(2, ", coalesce(m.root, d.doc_id) = d.doc_id AS kept")),
     Query("op6_packing", op6_packing),
     Query("op7_lm", op7_lm),
     Query("op8_toxicity", op8_toxicity),
     Query("op9_chat", op9_chat),
     Query("op10_urls", op10_urls, _OP10_SQL),
+    Query("op11_alignment", op11_alignment),
+    Query("op12_rtree", op12_rtree, _jaccard_sql(5)),
+    Query("op13_spelling", op13_spelling, _OP13_SQL),
 ]
