@@ -101,7 +101,7 @@ def _prefixes(rows: DataFrame, loads: np.ndarray, words: int, percent: int) -> D
 
 def groups_of(n: int) -> int:
     """Groups of the point of a set of `n` shingles: a power of two, so that points of unlike sets can be folded to the smaller."""
-    return max(LEAST_GROUPS, 1 << max(0, n // GROUP_SHINGLES).bit_length() - 1)
+    return max(LEAST_GROUPS, 1 << max(1, n // GROUP_SHINGLES).bit_length() - 1)
 
 
 def point_of(found: np.ndarray) -> np.ndarray:

@@ -66,6 +66,10 @@ def test_tree_leaves_what_the_bound_leaves():
     assert set(zip(one.tolist(), two.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(allowed))))
 
 
+def test_sets_of_any_size_have_a_point():
+    assert [len(rtree.point_of(np.arange(n, dtype=np.uint64))) for n in (1, 2, 31, 32, 64)] == [16, 16, 16, 16, 32]
+
+
 def test_bound_is_never_below_what_sets_share():
     rng = np.random.default_rng(6)
     for _ in range(50):
