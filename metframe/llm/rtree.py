@@ -8,9 +8,10 @@ box's largest counts, is less than the threshold asks of the sizes. Points that
 2. The join is dealt out by shared shingles. Each set is put in order by how often the groups of its shingles occur in the corpus (`LOAD_BITS`
    counters, whatever the corpus size), rarest first; two sets that reach the threshold share one of the first n - ceil(n p / 100) + 1 of
    each. Nodes that share such a shingle are a shard; of shards with equal members one is left.
-3. Shards of more than `HOT_NODES` nodes hold groups of copies. Their nodes are compared with the shard's head first, the node that meets most
-   others, and those that are then in the head's component with all others are done.
-4. The nodes of every other shard are joined by an R-tree built over their points. Boxes whose points are all of the asking point's
+3. The nodes of a shard are joined by an R-tree built over their points. Shards of more than `HOT_NODES` nodes hold groups of copies; there
+   the nodes whose points allow it are first compared with the shard's head, the node that meets most others, and shards whose other nodes
+   are then of one component are done.
+4. In what is left, boxes whose points are all of the asking point's
    component are left out too, so a group of copies is not compared pair by pair. A shard of more than `BLOCK_NODES` nodes, or `BLOCK_BYTES` of points, is cut into
    blocks by hash, and each pair of blocks is a task's work; all rows take part at every size.
 5. Pairs that pass are verified on the full sets, and components are found by repeated minima.
@@ -37,7 +38,7 @@ from metframe.session import materialize
 #: Counters of how often the groups of shingles occur, and how many are sent in a row.
 LOAD_BITS, _LOAD_SLICE = 18, 4096
 #: Shingles a group of a point should have at least, and the groups of the smallest point.
-GROUP_SHINGLES, LEAST_GROUPS = 2, 16
+GROUP_SHINGLES, LEAST_GROUPS = 4, 16
 HOT_NODES, HEAD_ROUNDS = 16, 2
 BLOCK_NODES, BLOCK_BYTES = 8192, 16 << 20
 #: Entries of a box of the R-tree, and queries compared at a time.
@@ -55,8 +56,8 @@ def _loads(rows: DataFrame, words: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), np.zeros(1 << LOAD_BITS, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                held += np.bincount((shingles(spaced_words(text), hashes, words) >> np.uint64(64 - LOAD_BITS)).astype(np.int64), minlength=len(held))
+            found = np.concatenate([shingles(spaced_words(text), hashes, words) for text in batch.column(0).to_pylist()])
+            held += np.bincount((found >> np.uint64(64 - LOAD_BITS)).astype(np.int64), minlength=len(held))
         parts = np.minimum(held, np.iinfo(np.int32).max).astype(np.int32).reshape(-1, _LOAD_SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "n"])
 
@@ -76,8 +77,8 @@ def _loads(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, loads: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc, n, node (null if the set is empty) and the rarest shingles of every row, enough that near sets share one."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("rarest", pa.list_(pa.int64()))])
+    """doc, n, node (null if the set is empty), the rarest shingles of every row, enough that near sets share one, and its point."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("rarest", pa.list_(pa.int64())), ("point", pa.binary())])
     sent = rows.sparkSession.sparkContext.broadcast(loads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +89,15 @@ def _prefixes(rows: DataFrame, loads: np.ndarray, words: int, percent: int) -> D
                 found = shingles(spaced_words(text), hashes, words)
                 n = len(found)
                 if not n:
-                    out.append((doc, 0, None, None))
+                    out.append((doc, 0, None, None, None))
                     continue
                 often = load[(found >> np.uint64(64 - LOAD_BITS)).astype(np.int64)]
                 order = np.argsort(often, kind="stable")  # `found` is sorted, so ties go by hash
                 taken = found[order[: n + (-n * percent) // 100 + 1]]
-                out.append((doc, n, node_of(found), taken.view(np.int64)))
+                out.append((doc, n, node_of(found), taken.view(np.int64), point_of(found).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return rows.mapInArrow(run, "doc long, n long, node long, rarest array<long>")
+    return rows.mapInArrow(run, "doc long, n long, node long, rarest array<long>, point binary")
 
 
 def groups_of(n: int) -> int:
@@ -105,9 +106,15 @@ def groups_of(n: int) -> int:
 
 
 def point_of(found: np.ndarray) -> np.ndarray:
-    """Counts of a set's groups, which are told by the lowest bits; few enough in all for 16 bits unless the set is huge."""
+    """Counts of a set's groups, which are told by the lowest bits."""
     count = groups_of(len(found))
-    return np.bincount((found & np.uint64(count - 1)).astype(np.int64), minlength=count).astype(np.uint16 if len(found) < 1 << 16 else np.uint32)
+    counts = np.bincount((found & np.uint64(count - 1)).astype(np.int64), minlength=count)
+    return counts.astype(np.min_scalar_type(counts.max()))
+
+
+def read_point(packed: pa.Buffer, n: int) -> np.ndarray:
+    """The point of a set of `n` shingles from its bytes; their number tells how wide a count is."""
+    return np.frombuffer(packed, f"u{packed.size // groups_of(n)}")
 
 
 def folded(point: np.ndarray, count: int) -> np.ndarray:
@@ -115,17 +122,36 @@ def folded(point: np.ndarray, count: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """node, n, its set as packed sorted hashes, and its point."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()), ("point", pa.binary())])
+    """node and its set as packed sorted hashes."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, 256):
             found = [x for x in (shingles(spaced_words(t), hashes, words) for t in batch.column(1).to_pylist()) if len(x)]
-            columns = ([node_of(x) for x in found], [*map(len, found)], [x.tobytes() for x in found], [point_of(x).tobytes() for x in found])
+            columns = ([node_of(x) for x in found], [x.tobytes() for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return rows.mapInArrow(run, "node long, n long, shingles binary, point binary")
+    return rows.mapInArrow(run, "node long, shingles binary")
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose points allow the threshold."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = []
+            for n, x, m, y in zip(batch["n_a"].to_pylist(), batch["point_a"], batch["n_b"].to_pylist(), batch["point_b"]):
+                one, two = read_point(x.as_buffer(), n), read_point(y.as_buffer(), m)
+                count = min(len(one), len(two))
+                good.append((100 + percent) * int(np.minimum(folded(one, count), folded(two, count)).sum()) >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in range(2)], schema=schema)
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "point_a", "n_b", "point_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +241,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             side, nodes, sizes, comps = (table[c].to_numpy() for c in ("side", "node", "n", "comp"))
-            points = [np.frombuffer(p.as_buffer(), np.uint16 if n < 1 << 16 else np.uint32) for p, n in zip(table["point"], sizes)]
+            points = [read_point(p.as_buffer(), n) for p, n in zip(table["point"], sizes.tolist())]
             right = np.flatnonzero(side == 1)
             left = np.flatnonzero(side == 0) if key[1] != key[2] else right
             a, b = reached(nodes, sizes, comps, points, left, right, percent) if len(left) and len(right) else (np.zeros(0, np.int64),) * 2
@@ -241,9 +267,9 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.sortWithinPartitions("token", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (token, node, n, comp) with their points, dealt to pairs of blocks of their shard: (one, two), and their side."""
-    rows = rows.join(found.select("node", "point", F.length("point").alias("bytes")), "node")
+def _blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (token, node, comp) with their sizes and points, dealt to pairs of blocks of their shard: (one, two), and their side."""
+    rows = rows.join(nodes.select("node", "n", "point", F.length("point").alias("bytes")), "node")
     sizes = rows.groupBy("token").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
@@ -257,8 +283,8 @@ def _blocks(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _shards(nodes: DataFrame) -> DataFrame:
-    """token, node, n and size of the shards: nodes that share one of their rarest shingles, of equal shards one."""
-    rows = nodes.select(F.explode("rarest").alias("token"), "node", "n")
+    """token, node and size of the shards: nodes that share one of their rarest shingles, of equal shards one."""
+    rows = nodes.select(F.explode("rarest").alias("token"), "node")
     shared = rows.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialize(rows.join(shared, "token"), "shared-shingles")
     low = F.sum(F.shiftrightunsigned(F.xxhash64("node"), 24))
@@ -267,11 +293,12 @@ def _shards(nodes: DataFrame) -> DataFrame:
     return materialize(rows.join(chosen, "token", "left_semi"), "shards")
 
 
-def _headed(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, node, n, size) with the head of their shard: the node that meets most others."""
+def _headed(rows: DataFrame) -> DataFrame:
+    """Rows (token, node, size) but the head of each shard, with the head: the node that meets most others."""
     met = rows.groupBy("node").agg((-F.sum("size")).alias("met"))
-    heads = rows.join(met, "node").groupBy("token").agg(F.min(F.struct("met", "node", "n")).alias("head"))
-    return rows.join(heads, "token").select("token", "node", "n", "size", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    heads = rows.join(met, "node").groupBy("token").agg(F.min(F.struct("met", "node")).alias("head"))
+    rows = rows.join(heads, "token").select("token", "node", "size", F.col("head.node").alias("head"))
+    return rows.where(F.col("node") != F.col("head"))
 
 
 def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -288,32 +315,35 @@ def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of near nodes, enough of them that nodes linked by all near pairs are linked by these; `nodes` is (node, n, doc, rarest), `texts` (doc, text)."""
+    """Pairs (a, b) of near nodes, enough of them that nodes linked by all near pairs are linked by these; `nodes` is (node, n, doc, rarest, point),
+    `texts` (doc, text)."""
     shards = _shards(nodes)
-    wanted = nodes.select("node", "doc").join(shards.select("node").distinct(), "node", "left_semi")
-    found = materialize(_sets(texts.join(wanted.select("doc").distinct(), "doc", "left_semi"), words), "sets")
-
-    hot, linked, comps = shards.where(F.col("size") > HOT_NODES), None, None
+    hot, small = shards.where(F.col("size") > HOT_NODES), shards.where(F.col("size") <= HOT_NODES)
+    pairs = materialize(_joined(_blocks(small.withColumn("comp", F.col("node")), nodes), percent), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
+    # written, so that its size is known when Spark chooses how to join the texts
+    wanted = materialize(nodes.select("node", "doc").join(wanted, "node", "left_semi").select("doc").distinct(), "wanted")
+    found = materialize(_sets(texts.join(wanted, "doc", "left_semi"), words), "sets")
+
+    linked, comps = None, None
     for _ in range(HEAD_ROUNDS):
         if hot.isEmpty():
             break
-        headed = materialize(_headed(hot, percent), "heads")
-        near_size = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
-        known = _with_components(headed.where((F.col("node") != F.col("head")) & near_size), comps)
-        asked = known.select(F.col("head").alias("a"), F.col("node").alias("b"), "comp").distinct()
+        hot = materialize(_headed(hot), "headed")
+        asked = hot.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         if comps is not None:
-            asked = _with_components(asked.withColumnsRenamed({"comp": "of_b", "a": "node"}), comps).where("comp <> of_b").withColumnRenamed("node", "a")
-        fresh = materialize(_verified(asked.select("a", "b"), found, percent), "head-links")
-        # the head has been compared with all others of its shard
-        hot = headed.where(F.col("node") != F.col("head")).select("token", "node", "n", "size")
+            asked = _with_components(asked.withColumnRenamed("a", "node"), comps).withColumnsRenamed({"node": "a", "comp": "of_a"})
+            asked = _with_components(asked.withColumnRenamed("b", "node"), comps).withColumnRenamed("node", "b").where("comp <> of_a")
+        asked = materialize(_bounded(asked.select("a", "b"), nodes, percent), "asked")
+        fresh = materialize(_verified(asked, found, percent), "head-links")
         if not fresh.isEmpty():
             linked = fresh if linked is None else linked.unionByName(fresh)
             comps = components(linked)
-        hot = materialize(_open(hot, comps).drop("comp"), "open-shards")
+        # the head has been compared with all others of its shard
+        hot = materialize(_open(hot.select("token", "node", "size"), comps).drop("comp"), "open-shards")
 
-    rest = shards.where(F.col("size") <= HOT_NODES).unionByName(hot)
-    rest = materialize(_open(rest, comps), "rest")
-    pairs = materialize(_joined(_blocks(rest, found), percent), "pairs")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_joined(_blocks(_with_components(hot, comps), nodes), percent)).distinct()
     fresh = _verified(pairs, found, percent)
     return materialize(fresh if linked is None else linked.unionByName(fresh), "near-nodes")
 
@@ -324,7 +354,8 @@ def near_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_prefixes(rows, _loads(rows, words), words, percent), "prefixes")
     named = signed.where("doc IS NOT NULL AND node IS NOT NULL")
-    nodes = named.groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("n").alias("n"), F.any_value("rarest").alias("rarest"))
+    facts = [F.any_value(c).alias(c) for c in ("n", "rarest", "point")]
+    nodes = named.groupBy("node").agg(F.min("doc").alias("doc"), *facts)
     nodes = materialize(nodes, "nodes")
     texts = one_row_per_id(rows.where("doc IS NOT NULL"), "doc", "text")
     pairs = links(nodes, texts, words, percent)
