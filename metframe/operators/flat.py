@@ -104,5 +104,9 @@ def append_rows(entries: DataFrame, rows: DataFrame, position: str, at: Column |
 
 def new_rows(entries: DataFrame, rows: DataFrame, position: str, at: Column | None = None) -> DataFrame:
     """Rows as they are appended; the largest id is one number from an aggregate."""
-    largest = entries.agg(F.max("id")).first()[0] or 0
+    return new_rows_above(rows, position, entries.agg(F.max("id")).first()[0] or 0, at)
+
+
+def new_rows_above(rows: DataFrame, position: str, largest: int, at: Column | None = None) -> DataFrame:
+    """Rows as they are appended after a known largest id."""
     return _inserted(rows, position, F.lit(largest), at)
