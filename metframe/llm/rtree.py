@@ -8,10 +8,9 @@ box's largest counts, is less than the threshold asks of the sizes. Points that
 2. The join is dealt out by shared shingles. Each set is put in order by how often the groups of its shingles occur in the corpus (`LOAD_BITS`
    counters, whatever the corpus size), rarest first; two sets that reach the threshold share one of the first n - ceil(n p / 100) + 1 of
    each. Nodes that share such a shingle are a shard; of shards with equal members one is left.
-3. The nodes of a shard are joined by an R-tree built over their points. Shards of more than `HOT_NODES` nodes hold groups of copies; there
-   the nodes whose points allow it are first compared with the shard's head, the node that meets most others, and shards whose other nodes
-   are then of one component are done.
-4. In what is left, boxes whose points are all of the asking point's
+3. Shards of more than `HOT_NODES` nodes hold groups of copies; there the nodes whose points allow it are first compared with the shard's
+   head, the node that meets most others. Shards whose nodes are then of one component are done.
+4. The nodes of all other shards are joined by an R-tree built over their points. Boxes whose points are all of the asking point's
    component are left out too, so a group of copies is not compared pair by pair. A shard of more than `BLOCK_NODES` nodes, or `BLOCK_BYTES` of points, is cut into
    blocks by hash, and each pair of blocks is a task's work; all rows take part at every size.
 5. Pairs that pass are verified on the full sets, and components are found by repeated minima.
@@ -38,9 +37,11 @@ from metframe.session import materialize
 #: Counters of how often the groups of shingles occur, and how many are sent in a row.
 LOAD_BITS, _LOAD_SLICE = 18, 4096
 #: Shingles a group of a point should have at least, and the groups of the smallest point.
-GROUP_SHINGLES, LEAST_GROUPS = 4, 16
+GROUP_SHINGLES, LEAST_GROUPS = 1, 16
 HOT_NODES, HEAD_ROUNDS = 16, 2
 BLOCK_NODES, BLOCK_BYTES = 8192, 16 << 20
+#: Bits that tell which texts' sets are wanted, 4 MiB.
+WANTED_BITS = 25
 #: Entries of a box of the R-tree, and queries compared at a time.
 FAN_OUT, _QUERIES = 16, 256
 
@@ -314,36 +315,50 @@ def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(mixed.select("token"), "token", "left_semi")
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the texts (doc, text) whose doc is wanted, and few others: docs are told by bits of a field of `WANTED_BITS`, so what is
+    broadcast has the same bound at every size, and texts are not shuffled."""
+    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(1 << WANTED_BITS))
+    marks = wanted.select(bit("doc").alias("bit"))
+    words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("marked"))
+    words = materialize(words, "wanted-bits")
+    placed = texts.withColumn("bit", bit("doc")).withColumn("word", F.shiftright("bit", 6))
+    marked = F.expr("shiftright(marked, CAST(bit % 64 AS INT)) & 1") == 1
+    return placed.join(F.broadcast(words), "word").where(marked).select("doc", "text")
+
+
+def _sets_of(chosen: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The sets of chosen nodes, and of few others; a node has one row at least."""
+    docs = nodes.select("node", "doc").join(chosen.distinct(), "node", "left_semi")
+    return materialize(_sets(_texts_of(texts, docs), words), "sets")
+
+
 def links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of near nodes, enough of them that nodes linked by all near pairs are linked by these; `nodes` is (node, n, doc, rarest, point),
     `texts` (doc, text)."""
     shards = _shards(nodes)
     hot, small = shards.where(F.col("size") > HOT_NODES), shards.where(F.col("size") <= HOT_NODES)
-    pairs = materialize(_joined(_blocks(small.withColumn("comp", F.col("node")), nodes), percent), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
-    # written, so that its size is known when Spark chooses how to join the texts
-    wanted = materialize(nodes.select("node", "doc").join(wanted, "node", "left_semi").select("doc").distinct(), "wanted")
-    found = materialize(_sets(texts.join(wanted, "doc", "left_semi"), words), "sets")
-
-    linked, comps = None, None
+    linked, comps, found = None, None, None
     for _ in range(HEAD_ROUNDS):
         if hot.isEmpty():
             break
+        found = _sets_of(hot.select("node"), nodes, texts, words) if found is None else found
         hot = materialize(_headed(hot), "headed")
         asked = hot.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         if comps is not None:
             asked = _with_components(asked.withColumnRenamed("a", "node"), comps).withColumnsRenamed({"node": "a", "comp": "of_a"})
             asked = _with_components(asked.withColumnRenamed("b", "node"), comps).withColumnRenamed("node", "b").where("comp <> of_a")
         asked = materialize(_bounded(asked.select("a", "b"), nodes, percent), "asked")
-        fresh = materialize(_verified(asked, found, percent), "head-links")
+        fresh = materialize(_verified(asked, found, percent).distinct(), "head-links")
         if not fresh.isEmpty():
             linked = fresh if linked is None else linked.unionByName(fresh)
             comps = components(linked)
         # the head has been compared with all others of its shard
         hot = materialize(_open(hot.select("token", "node", "size"), comps).drop("comp"), "open-shards")
 
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_joined(_blocks(_with_components(hot, comps), nodes), percent)).distinct()
+    rest = materialize(_open(small.unionByName(hot), comps), "rest")
+    pairs = materialize(_joined(_blocks(rest, nodes), percent), "pairs")
+    found = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, texts, words)
     fresh = _verified(pairs, found, percent)
     return materialize(fresh if linked is None else linked.unionByName(fresh), "near-nodes")
 
