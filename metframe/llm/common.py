@@ -39,11 +39,16 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of bounded length."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of bounded length, and of at most `size` bytes or one row where that is given."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            piece = batch.slice(start, rows)
+            while size is not None and piece.num_rows > 1 and piece.nbytes > size:
+                piece = piece.slice(0, piece.num_rows // 2)
+            yield piece
+            start += piece.num_rows
 
 
 class WordHashes:

@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Tokens are words between ASCII white space, A-Z lower-cased, and one end per text. Unigrams and bigrams (the first after an end)
-are known by 64-bit hashes. A count c is quantised to level 1 + floor(log_1.5 c), and the filter holds (n-gram, 1) to (n-gram, level);
+Tokens are words between ASCII white space, A-Z lower-cased, and one end per text. N-grams of up to `order` tokens, 2 unless said
+otherwise, are known by 64-bit hashes; a text stands after one end, so its first bigram is (end, word) and its first trigram (end, word, word). A count c is quantised to level 1 + floor(log_1.5 c), and the filter holds (n-gram, 1) to (n-gram, level);
 probing level by level until one is missing gives the level back, never too low. The filter is cut into slices
 of 64 KiB by n-gram, so each is built by the task that has its n-grams, at `BITS` bits an entry whatever the corpus size.
 
-A bigram's probability is (c(v w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1), with counts from the filter. The base score
-uses exact unigram counts, N and V.
+The probability of w after h is (c(h w) + MU p(w after h less its first token)) / (c(h) + MU), down to p(w) = (c(w) + 1) / (N + V + 1), with
+counts from the filter, none above that of a part. The base score uses exact unigram counts, N and V.
 
 Filter and exact unigram counts are broadcast in segments of at most about `SEGMENT_BYTES`, one pass over the texts for each. The
-driver gathers a segment piece by piece and holds one piece; a worker holds one segment. A pass leaves a byte per n-gram of a
-text, and what several passes leave is put together by text. Counts are summed per batch before the shuffle; its keys are hashes,
-so frequent words don't concentrate anywhere.
+driver gathers a segment piece by piece and holds one piece; a worker holds one segment, and its broadcasts are destroyed after the pass.
+The pass over a single segment gives scores at once; of several, each leaves a byte per n-gram of a text, and what they leave
+is put together by text. Counts are summed per batch before the shuffle; its keys are hashes, so frequent words don't concentrate
+anywhere. Texts are handled in slices of about `TEXT_BYTES`, or one by one if longer.
 
 Defined cases: a null text is empty and has the end alone. Repeated rows are learnt and scored as often as they
 occur, and null ids are passed through. Without training rows all probabilities are 1. An empty table gives no rows. Only the named
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -36,13 +38,15 @@ from pyspark.sql.types import DataType
 from metframe.llm.common import WordHashes, column_names, mix, slices, spaced_words
 from metframe.session import materialize
 
-BASE, PROBES, BITS, MU = 1.5, 3, 8, 5.0
+BASE, PROBES, BITS, MU, ORDER = 1.5, 3, 8, 5.0, 2
 SLICE_BITS = 19
 SEGMENT_BYTES = 128 << 20
 #: Slices that are gathered and broadcast at once, 4 MiB of filter.
 PIECE_SLICES = 64
 #: Bytes a unigram takes in a segment beside the filter, and tokens counted before they are given on.
 _EXACT_BYTES, _BATCH_TOKENS = 12, 1_000_000
+#: Text a worker takes up at a time.
+TEXT_BYTES = 2 << 20
 _UNIGRAM = np.uint64(1)
 _END = np.uint64(0x5851F42D4C957F2D)
 _MAX_LEVEL = 110
@@ -65,10 +69,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def grams(text_words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the unigrams and bigrams of all texts, and where each text begins, with the end.
+def grams(text_words: list[list[bytes]], hashes: WordHashes, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at each token, by length; where each text begins; the place of each token in its text.
 
-    The lowest bit tells unigrams from bigrams; the highest bits choose slice and segment.
+    A token at place i has no n-gram of more than i + 2 tokens: its hash for such a length means nothing.
+    The lowest bit tells unigrams from others; the highest bits choose slice and segment.
     """
     sizes = np.fromiter((len(w) + 1 for w in text_words), np.int64, len(text_words))
     bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -78,12 +83,15 @@ def grams(text_words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray
     tokens[~is_end] = hashes([w for words in text_words for w in words])
     before = np.roll(tokens, 1)
     before[bounds[:-1]] = _END
-    one = mix(tokens) | _UNIGRAM
-    two = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + tokens) & ~_UNIGRAM
-    return one, two, bounds
+    out = [mix(tokens) | _UNIGRAM]
+    for _ in range(2, order + 1):
+        longer = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+        out.append(longer & ~_UNIGRAM)
+        before = np.roll(longer, 1)
+    return out, bounds, np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
 
 
-def counts(rows: DataFrame) -> DataFrame:
+def counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """gram and n of every n-gram of (text), in order of the grams within each partition."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,33 +101,22 @@ def counts(rows: DataFrame) -> DataFrame:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-        for batch in slices(batches):
-            one, two, _ = grams([spaced_words(t) for t in batch.column(0).to_pylist()], hashes)
-            held += [one, two]
-            size += len(one)
+        for batch in slices(batches, size=TEXT_BYTES):
+            found, _, place = grams([spaced_words(t) for t in batch.column(0).to_pylist()], hashes, order)
+            held += [gram[place >= length - 2] for length, gram in enumerate(found, 1)]
+            size += len(place)
             if size >= _BATCH_TOKENS:
                 yield emptied()
                 held, size = [], 0
         if held:
             yield emptied()
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            gram = np.concatenate([gram, batch.column(0).to_numpy()])
-            n = np.concatenate([n, batch.column(1).to_numpy()])
-            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-            if len(first):
-                n, gram = np.add.reduceat(n, first), gram[first]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[:-1]), pa.array(n[:-1])], names=["gram", "n"])
-                gram, n = gram[-1:], n[-1:]
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
-
     partial = rows.select("text").mapInArrow(counted, "gram long, n long")
     # ranges of grams, some for each partition, so that few slices are shared by two tasks
     ranges = (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
-    dealt = partial.repartition(F.shiftrightunsigned("gram", 64 - ranges)).sortWithinPartitions("gram")
-    return dealt.mapInArrow(summed, "gram long, n long")
+    range_of = F.shiftrightunsigned("gram", 64 - ranges)
+    summed = partial.repartition(range_of).groupBy(range_of.alias("range"), "gram").agg(F.sum("n").alias("n"))
+    return summed.select("gram", "n").sortWithinPartitions("gram")
 
 
 def _slice_of(gram: np.ndarray, count: int) -> np.ndarray:
@@ -213,6 +210,7 @@ class Model:
     per_segment: int
     tokens: int
     vocabulary: int
+    order: int = ORDER
 
     def pieces(self, first: int, stop: int) -> Iterator[Piece]:
         """Slices `first` to `stop`, `PIECE_SLICES` at a time, as the driver gathers them."""
@@ -234,10 +232,10 @@ class Model:
             yield first, min(first + self.per_segment, self.count)
 
 
-def fit(rows: DataFrame, text: str = "text") -> Model:
-    """Count the n-grams of all rows and build the filter; everything stays in the shared folder."""
+def fit(rows: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Count the n-grams of up to `order` tokens of all rows and build the filter; everything stays in the shared folder."""
     column_names(rows, text)
-    counted = materialize(counts(rows.select(F.col(f"`{text}`").alias("text"))), "ngrams")
+    counted = materialize(counts(rows.select(F.col(f"`{text}`").alias("text")), order), "ngrams")
     unigram = F.col("gram").bitwiseAND(F.lit(1)) == 1
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BASE)) + 1e-9) + 1
     facts = counted.agg(
@@ -247,20 +245,20 @@ def fit(rows: DataFrame, text: str = "text") -> Model:
     total = (count << (SLICE_BITS - 3)) + facts["vocabulary"] * _EXACT_BYTES
     parts = -(-total // SEGMENT_BYTES)
     built = materialize(filter_slices(counted, count), "filter")
-    return Model(built, count, -(-count // parts), facts["tokens"] or 0, facts["vocabulary"])
-
+    return Model(built, count, -(-count // parts), facts["tokens"] or 0, facts["vocabulary"], order)
 
-def _log_sums(one: np.ndarray, two: np.ndarray, bounds: np.ndarray, end: int, tokens: int, vocabulary: int) -> np.ndarray:
-    """Log10 probabilities of texts from the levels of their unigrams and bigrams; `end` is the level of the end."""
-    before = np.roll(one, 1)
-    before[bounds[:-1]] = end
-    c_w, c_v = VALUES[one], VALUES[before]
-    c_vw = np.minimum(VALUES[two], np.minimum(c_w, c_v))
-    p_w = (c_w + 1) / (tokens + vocabulary + 1)
-    return np.add.reduceat(np.log10((c_vw + MU * p_w) / (c_v + MU)), bounds[:-1])
 
-
-_PARTS = "doc {kind}, print binary, segment int, end_level int, n_known long, base double, one binary, two binary"
+def _log_sums(levels: list[np.ndarray], bounds: np.ndarray, place: np.ndarray, end: int, tokens: int, vocabulary: int) -> np.ndarray:
+    """Log10 probabilities of texts from the levels of their n-grams, by length; `end` is the level of the end."""
+    shorter = VALUES[levels[0]]
+    before = np.roll(shorter, 1)
+    before[bounds[:-1]] = VALUES[end]
+    p = (shorter + 1) / (tokens + vocabulary + 1)
+    for length, level in enumerate(levels[1:], 2):
+        count = np.minimum(VALUES[level], np.minimum(shorter, before))
+        p = np.where(place >= length - 2, (count + MU * p) / (before + MU), p)
+        shorter, before = count, np.roll(count, 1)
+    return np.add.reduceat(np.log10(p), bounds[:-1])
 
 
 def _looked_up(gram: np.ndarray, pieces: list[Piece], what: Callable[[Piece, np.ndarray], np.ndarray], kind: type) -> np.ndarray:
@@ -273,81 +271,120 @@ def _looked_up(gram: np.ndarray, pieces: list[Piece], what: Callable[[Piece, np.
     return out
 
 
-def _passed(rows: DataFrame, kind: DataType, number: int, sent: list[Broadcast]) -> DataFrame:
-    """What one segment says of every text: known tokens, its part of the base score, and levels (0 outside of it)."""
-    types = [to_arrow_type(kind), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+@dataclass
+class _Probed:
+    """What pieces say of some texts: levels by length of the n-grams, and for each text its known tokens and sum of log10(c + 1)."""
+
+    levels: list[np.ndarray]
+    bounds: np.ndarray
+    place: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+
+    @property
+    def end(self) -> int:
+        """Level of the end, the last token of every text."""
+        return int(self.levels[0][self.bounds[1] - 1])
+
+
+def _probed(texts: list[str | None], hashes: WordHashes, pieces: list[Piece], order: int) -> _Probed:
+    found, bounds, place = grams([spaced_words(t) for t in texts], hashes, order)
+    levels, n = [], None
+    for gram in found:
+        different, back = np.unique(gram, return_inverse=True)
+        levels.append(_looked_up(different, pieces, Piece.levels, np.uint8)[back])
+        if n is None:
+            n = _looked_up(different, pieces, Piece.exact, np.int64)[back]
+    known = np.add.reduceat((n > 0).astype(np.int64), bounds[:-1])
+    return _Probed(levels, bounds, place, known, np.add.reduceat(np.log10(n + 1.0), bounds[:-1]))
+
+
+_SCORES = "doc {kind}, n_tokens long, n_known long, base_score double, score double"
+_PARTS = "doc {kind}, print binary, segment int, end_level int, n_known long, base double, levels binary"
+
+
+def _scored(rows: DataFrame, kind: DataType, model: Model, sent: list[Broadcast]) -> DataFrame:
+    """Scores of every text, where the filter is one segment."""
+    order, tokens, vocabulary = model.order, model.tokens, model.vocabulary
+    log_all = float(np.log10(tokens + vocabulary + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pieces = WordHashes(), [piece.value for piece in sent]
+        for batch in slices(batches, size=TEXT_BYTES):
+            got = _probed(batch.column(1).to_pylist(), hashes, pieces, order)
+            sizes = np.diff(got.bounds)
+            total = _log_sums(got.levels, got.bounds, got.place, got.end, tokens, vocabulary)
+            columns = [batch.column(0), *map(pa.array, (sizes, got.known, got.base - sizes * log_all, total))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows.mapInArrow(run, _SCORES.format(kind=kind.simpleString()))
+
+
+def _passed(rows: DataFrame, kind: DataType, order: int, number: int, sent: list[Broadcast]) -> DataFrame:
+    """What one of several segments says of every text: known tokens, its part of the base score, and levels (0 outside of it)."""
+    types = [to_arrow_type(kind), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pieces = WordHashes(), [piece.value for piece in sent]
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT_BYTES):
             texts = batch.column(1).to_pylist()
-            one, two, bounds = grams([spaced_words(t) for t in texts], hashes)
-            levels = []
-            for gram in (one, two):
-                found, back = np.unique(gram, return_inverse=True)
-                levels.append(_looked_up(found, pieces, Piece.levels, np.uint8)[back])
-                if gram is one:
-                    n = _looked_up(found, pieces, Piece.exact, np.int64)[back]
-            end = int(levels[0][bounds[1] - 1])
-            known = np.add.reduceat((n > 0).astype(np.int64), bounds[:-1])
-            base = np.add.reduceat(np.log10(n + 1.0), bounds[:-1])
+            got = _probed(texts, hashes, pieces, order)
             prints = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
-            cut = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])] for x in levels]
-            columns = [prints, [number] * len(texts), [end] * len(texts), known, base, *cut]
+            cut = [b"".join(x[a:b].tobytes() for x in got.levels) for a, b in zip(got.bounds[:-1], got.bounds[1:])]
+            columns = [prints, [number] * len(texts), [got.end] * len(texts), got.known, got.base, cut]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types[1:]))],
-                names=["doc", "print", "segment", "end_level", "n_known", "base", "one", "two"],
+                names=["doc", "print", "segment", "end_level", "n_known", "base", "levels"],
             )
 
     return rows.mapInArrow(run, _PARTS.format(kind=kind.simpleString()))
 
 
-def score(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc`, n_tokens, n_known, base_score and score of every row."""
-    column_names(documents, doc, text)
-    kind = documents.schema[doc].dataType
-    rows = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    context = documents.sparkSession.sparkContext
-    segments = [*model.segments()]
-    several, tokens, vocabulary = len(segments) > 1, model.tokens, model.vocabulary
-    together = None
-    for number, (first, stop) in enumerate(segments):
-        sent = [context.broadcast(piece) for piece in model.pieces(first, stop)]
-        part = _passed(rows, kind, number, sent)
-        if several:
-            part = materialize(part, "levels")
-            for piece in sent:
-                piece.destroy()
-        together = part if together is None else together.unionByName(part)
-    if several:
-        together = together.repartition("print").sortWithinPartitions("print", "doc", "segment")
+def _joined(parts: DataFrame, kind: DataType, model: Model) -> DataFrame:
+    """Scores from what the passes over several segments left."""
+    order, tokens, vocabulary = model.order, model.tokens, model.vocabulary
     log_all = float(np.log10(tokens + vocabulary + 1))
     names = ("doc", "n_tokens", "n_known", "base_score", "score")
     types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        read = (row for batch in slices(batches) for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for (key, _), same in groupby(read, key=lambda row: (row[0], row[1])) if several else _single(read):
+        read = (row for batch in slices(batches, size=TEXT_BYTES) for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for (_, doc), same in groupby(read, key=lambda row: (row[1], row[0])):
             found, copies = {}, 0
             for row in same:
                 found[row[2]] = row
                 copies += row[2] == 0
-            one, two = (np.max([np.frombuffer(row[i], np.uint8) for row in found.values()], axis=0) for i in (6, 7))
+            levels = np.max([np.frombuffer(row[6], np.uint8) for row in found.values()], axis=0).reshape(order, -1)
+            size = levels.shape[1]
             end = max(row[3] for row in found.values())
-            total = _log_sums(one, two, np.array([0, len(one)]), end, tokens, vocabulary)[0]
-            base = sum(row[5] for row in found.values()) - len(one) * log_all
-            out += [(key, len(one), sum(row[4] for row in found.values()), base, float(total))] * copies
+            total = _log_sums([*levels], np.array([0, size]), np.arange(size), end, tokens, vocabulary)[0]
+            base = sum(row[5] for row in found.values()) - size * log_all
+            out += [(doc, size, sum(row[4] for row in found.values()), base, float(total))] * copies
             if len(out) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    schema = f"doc {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double"
-    return together.mapInArrow(run, schema).withColumnRenamed("doc", doc)
+    together = parts.repartition("print").sortWithinPartitions("print", "doc", "segment")
+    return together.mapInArrow(run, _SCORES.format(kind=kind.simpleString()))
 
 
-def _single(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
-    for row in rows:
-        yield (row[0], row[1]), [row]
+def score(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """`doc`, n_tokens, n_known, base_score and score of every row, written to the shared folder."""
+    column_names(documents, doc, text)
+    kind = documents.schema[doc].dataType
+    rows = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    context = documents.sparkSession.sparkContext
+    segments = [*model.segments()]
+    parts = []
+    for number, (first, stop) in enumerate(segments):
+        sent = [context.broadcast(piece) for piece in model.pieces(first, stop)]
+        alone = len(segments) == 1
+        passed = _scored(rows, kind, model, sent) if alone else _passed(rows, kind, model.order, number, sent)
+        parts.append(materialize(passed, "scores" if alone else "levels"))
+        for piece in sent:
+            piece.destroy()
+    out = parts[0] if len(parts) == 1 else _joined(reduce(DataFrame.unionByName, parts), kind, model)
+    return out.withColumnRenamed("doc", doc)

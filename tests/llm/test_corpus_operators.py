@@ -291,6 +291,56 @@ def test_base_scores_are_exact_and_the_filter_never_undercounts(spark, monkeypat
     assert all(r["score"] == 0 and r["base_score"] == 0 for r in lm.score(df, empty).collect()) and lm.score(df.limit(0), model).count() == 0
 
 
+def plain_scores(texts: list[str | None], train: list[str | None], order: int) -> list[float]:
+    """Scores token by token, from counts that are quantised but not looked up in a filter."""
+    def tokens_of(text):
+        return [w.decode() for w in common.spaced_words(text)] + ["<end>"]
+
+    held = collections.Counter()
+    for text in train:
+        row = ["<end>", *tokens_of(text)]
+        held.update(row[1:])
+        held.update(tuple(row[i - n + 1 : i + 1]) for i in range(1, len(row)) for n in range(2, order + 1) if i >= n - 1)
+    total, words = sum(c for k, c in held.items() if isinstance(k, str)), sum(isinstance(k, str) for k in held)
+
+    def count(gram):
+        key = gram[0] if len(gram) == 1 else tuple(gram)
+        own = lm.VALUES[int(lm.levels_of(np.array([held[key]]))[0])] if held[key] else 0.0
+        return own if len(gram) == 1 else min(own, count(gram[1:]), count(gram[:-1]))
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count(gram) + 1) / (total + words + 1)
+        return (count(gram) + lm.MU * p(gram[1:])) / (count(gram[:-1]) + lm.MU)
+
+    rows = [["<end>", *tokens_of(text)] for text in texts]
+    return [sum(math.log10(p(row[max(0, i - order + 1) : i + 1])) for i in range(1, len(row))) for row in rows]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_plain_ones_at_every_order_and_over_several_segments(spark, monkeypatch, order):
+    rng = random.Random(order)
+    phrases = [prose(rng, 5) for _ in range(12)]
+    texts = [None, "", "a", "A b", " ".join(["x"] * 4000)] + [" ".join(rng.choices(phrases, k=rng.randint(1, 12))) for _ in range(60)]
+    texts += [prose(rng, 300) for _ in range(20)] + [texts[8], texts[8]]
+    df = frame(spark, texts)
+    expected = plain_scores(texts, [t for i, t in enumerate(texts) if i % 3], order)
+    # so many bits that no n-gram is found by chance
+    monkeypatch.setattr(lm, "BITS", 1000)
+    for size in (lm.SEGMENT_BYTES, 1 << 18):
+        monkeypatch.setattr(lm, "SEGMENT_BYTES", size)
+        model = lm.fit(df.where("doc_id % 3 != 0"), order=order)
+        found = {r["doc_id"]: r["score"] for r in lm.score(df, model).collect()}
+        assert len(found) == len(texts)
+        assert all(math.isclose(found[i], e, rel_tol=1e-9) for i, e in enumerate(expected))
+    assert order == 1 or len([*model.segments()]) > 1
+
+
+def test_counts_need_one_shuffle(spark):
+    plan = lm.counts(frame(spark, ["a b", None]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_levels_come_back_from_the_filter(spark):
     rng = np.random.default_rng(5)
     counts = np.minimum(rng.zipf(1.5, 20000), 10**6)
