@@ -8,6 +8,7 @@ from metframe import vocab as v
 from metframe.catalog import texts
 from metframe.catalog.base import Query, clean_sql, distinct_sql, joined, key_sql
 from metframe.functions import places, text
+from metframe.operators import gazetteers
 from metframe.plans import models as m
 
 ALIAS_SQL = "alias(apos, akey, names) AS (VALUES " + ", ".join(
@@ -123,7 +124,86 @@ def _resolved(spark, sf_dir):
     return rows.select("id", "r.region", "r.region_original")
 
 
+def _gazetteer_query(build):
+    """Coordinates looked up in a gazetteer of as many points as there are events."""
+
+    def run(spark, sf_dir):
+        found = build(m.regions(spark, sf_dir), m.gazetteer(spark, sf_dir), m.aliases(spark, sf_dir))
+        return found.select("id", joined(F.col("names"), "names"))
+
+    return run
+
+
+def _name_query(build):
+    """Keys of region texts looked up in name tables of as many rows as there are events."""
+
+    def run(spark, sf_dir):
+        keyed = m.regions(spark, sf_dir).select("id", text.subdivision_key(F.col("region")).alias("key"))
+        found = build(keyed, m.aliases(spark, sf_dir), gazetteers.officials_of(m.officials(spark, sf_dir), m.gazetteer(spark, sf_dir)))
+        return gazetteers.with_names(keyed, "key", found).select("id", joined(F.col("names"), "names"))
+
+    return run
+
+
+def _imd_table(rows, points, _):
+    return gazetteers.imd_subdivisions(rows, F.col("region"), points)
+
+
+def _form_table(rows, points, _):
+    """The official list holds every third name."""
+    listed = points.where("pos % 3 = 0").select("pos", "name")
+    return gazetteers.form_subdivisions(rows, F.col("region"), points, gazetteers.officials_of(listed, points))
+
+
+def _form_fallback(rows, points, _):
+    """The official list is empty, so all names of the gazetteer are official."""
+    return gazetteers.form_subdivisions(rows, F.col("region"), points, gazetteers.officials_of(points.where("pos < 0"), points))
+
+
+def _near_table(need_lat: bool, listed: str, tolerance: float) -> str:
+    near = nearest_sql("(SELECT DISTINCT k, x, y FROM keyed)", "k", "gazetteer", tolerance, need_lat, need_lat)
+    return f"""WITH {m.regions_sql()}, {m.gazetteer_sql()}, official AS (SELECT DISTINCT name FROM gazetteer WHERE {listed}), {_AXES},
+    keyed AS (SELECT *, concat_ws(' ', coalesce(CAST(x AS VARCHAR), '-'), CAST(y AS VARCHAR)) AS k FROM axes), near AS ({near})
+    SELECT id, coalesce(array_to_string(names, '|'), '') AS names FROM keyed LEFT JOIN near USING (k)"""
+
+
+def _tier_table(expression: str) -> str:
+    return (
+        f"WITH {m.regions_sql()}, {m.name_tables_sql()}, {_KEYS}, tier AS (SELECT key, {expression} AS names FROM ks) "
+        "SELECT id, array_to_string(names, '|') AS names FROM keys JOIN tier USING (key)"
+    )
+
+
+_STOP_SQL = m.sql_list(v.TOKEN_STOP_WORDS)
+TABLE_QUERIES = [
+    Query("coord_imd_table", _gazetteer_query(_imd_table), _near_table(False, "true", v.IMD_LON_TOLERANCE)),
+    Query("coord_form_table", _gazetteer_query(_form_table), _near_table(True, "pos % 3 = 0", v.FORM_LON_TOLERANCE)),
+    Query("coord_form_fallback", _gazetteer_query(_form_fallback), _near_table(True, "true", v.FORM_LON_TOLERANCE)),
+    Query(
+        "alias_exact_table", _name_query(lambda keys, aliases, officials: gazetteers.alias_exact(keys, aliases)),
+        _tier_table("(SELECT arg_min(names, apos) FROM alias WHERE akey = key)"),
+    ),
+    Query(
+        "alias_longest_table", _name_query(lambda keys, aliases, officials: gazetteers.alias_longest(keys, aliases)),
+        _tier_table("(SELECT arg_max(names, length(akey) * 100000000 - apos) FROM alias WHERE contains(akey, key) OR contains(key, akey))"),
+    ),
+    Query(
+        "official_fuzzy_table", _name_query(lambda keys, aliases, officials: gazetteers.official_fuzzy(keys, officials)),
+        _tier_table("(SELECT list(name ORDER BY length(name) DESC, opos) FROM official WHERE key <> '' AND (contains(okey, key) OR contains(key, okey)))"),
+    ),
+    Query(
+        "token_containment_table", _name_query(lambda keys, aliases, officials: gazetteers.token_containment(keys, officials, aliases)),
+        _tier_table(
+            "(SELECT list(name ORDER BY opos) FROM (SELECT *, list_filter(string_split(okey, ' '), "
+            f"lambda w: length(w) > 2 AND NOT list_contains({_STOP_SQL}, w)) AS core FROM official) WHERE len(core) > 0 "
+            "AND okey NOT IN (SELECT akey FROM alias) AND len(list_filter(core, lambda w: NOT list_contains(string_split(key, ' '), w))) = 0)"
+        ),
+    ),
+]
+
+
 QUERIES = [
+    *TABLE_QUERIES,
     Query(
         "coord_imd_top5", _coordinates(places.imd_subdivisions),
         f"""WITH {m.regions_sql()}, {_AXES}, {IMD_SQL}, near AS ({nearest_sql('axes', 'id', 'imd', v.IMD_LON_TOLERANCE, False, False)})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metframe import vocab as v
 from metframe.functions.literals import text_array
+from metframe.functions.text import subdivision_key
 from metframe.session import spread
 
 N = len(v.OFFICIAL_SUBDIVISIONS)
@@ -360,6 +361,57 @@ def regions_sql() -> str:
   FROM (SELECT *, {CENTS_SQL} AS c, lower({NAMES_SQL}[user_id % {N} + 1]) AS n1, lower({NAMES_SQL}[event_id % {N} + 1]) AS n2 FROM events))"""
 
 
+# --- gazetteers and name tables of a row for each event ---------------------------------------------------
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, name, lat, lon): a point for each event, with names and coordinates that repeat; a third lie in a tenth of the longitudes."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    event = F.col("event_id")
+    east = F.when(event % 3 == 0, F.lit(8000) + (event * 13) % 400).otherwise(F.lit(5400) + (event * 7919) % 4200)
+    return e.select(
+        event.alias("pos"), F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("name"),
+        ((F.lit(500) + (event * 271) % 3300).cast("double") / F.lit(100.0)).alias("lat"), (east.cast("double") / F.lit(100.0)).alias("lon"),
+    )
+
+
+def gazetteer_sql() -> str:
+    east = "CASE WHEN event_id % 3 = 0 THEN 8000 + (event_id * 13) % 400 ELSE 5400 + (event_id * 7919) % 4200 END"
+    return f"""gazetteer AS (SELECT event_id AS pos, event_type || '-' || CAST(user_id AS VARCHAR) AS name,
+  CAST(500 + (event_id * 271) % 3300 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat, CAST({east} AS DOUBLE) / CAST(100 AS DOUBLE) AS lon FROM events)"""
+
+
+def _name_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    event = F.col("event_id")
+    size = F.lit(6) + event % 17
+    whole = _name_at(event)
+    piece = F.substr(whole, (F.lit(1) + event % 5).cast("int"), size.cast("int"))
+    numbered = F.concat_ws(" ", F.substr(whole, F.lit(1), size.cast("int")), (event % 977).cast("string"))
+    return e.select("event_id", "user_id", F.when(event % 3 == 0, piece).otherwise(numbered).alias("name"))
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, key, names): pieces of subdivision names, some with a number, and two subdivisions each."""
+    pieces = _name_pieces(spark, sf_dir).where("event_id % 2 = 0")
+    names = F.array(_name_at(F.col("user_id")), _name_at(F.col("event_id") + 1))
+    return pieces.select(F.col("event_id").alias("pos"), subdivision_key(F.col("name")).alias("key"), names.alias("names"))
+
+
+def officials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, name): the other pieces."""
+    return _name_pieces(spark, sf_dir).where("event_id % 2 = 1").select(F.col("event_id").alias("pos"), "name")
+
+
+def name_tables_sql() -> str:
+    whole = f"{NAMES_SQL}[event_id % {N} + 1]"
+    key = "trim(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    return f"""pieces AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN substr({whole}, 1 + event_id % 5, 6 + event_id % 17)
+  ELSE substr({whole}, 1, 6 + event_id % 17) || ' ' || CAST(event_id % 977 AS VARCHAR) END AS name FROM events),
+alias AS (SELECT event_id AS apos, {key} AS akey, [{NAMES_SQL}[user_id % {N} + 1], {NAMES_SQL}[(event_id + 1) % {N} + 1]] AS names FROM pieces WHERE event_id % 2 = 0),
+official AS (SELECT event_id AS opos, {key} AS okey, name FROM pieces WHERE event_id % 2 = 1)"""
+
+
 # --- submissions and the legacy tables ------------------------------------------------------------------
 
 

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from metframe import schemas
 from metframe import vocab as v
-from metframe.functions.places import Point
 from metframe.operators import scans
 
 ENTRY_COLUMNS = ["id", "entry_date", "weather_system", "pressure_level", "subdivisions"]
 TIMES = ["created_at", "updated_at"]
-LOOKUP_LIMIT = 2_000
 MONTH = "entry_month"
 
 
@@ -81,14 +79,6 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def as_points(gazetteer: DataFrame, limit: int = LOOKUP_LIMIT) -> list[Point]:
-    """A gazetteer as plan literals. Its size is checked: a lookup table, never data."""
-    rows = gazetteer.orderBy("pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"gazetteer has more than {limit} points; join it as a table instead")
-    return [(row["name"], row["lat"], row["lon"]) for row in rows]
-
-
 def read_entries(
     spark: SparkSession, path: str, columns: Sequence[str] = ENTRY_COLUMNS, date: str = ""
 ) -> DataFrame:
