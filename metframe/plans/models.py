@@ -399,8 +399,8 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def officials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, name): the other pieces."""
-    return _name_pieces(spark, sf_dir).where("event_id % 2 = 1").select(F.col("event_id").alias("pos"), "name")
+    """(pos, name): the other pieces, each name once."""
+    return _name_pieces(spark, sf_dir).where("event_id % 2 = 1").groupBy("name").agg(F.min("event_id").alias("pos")).select("pos", "name")
 
 
 def name_tables_sql() -> str:
@@ -409,7 +409,7 @@ def name_tables_sql() -> str:
     return f"""pieces AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN substr({whole}, 1 + event_id % 5, 6 + event_id % 17)
   ELSE substr({whole}, 1, 6 + event_id % 17) || ' ' || CAST(event_id % 977 AS VARCHAR) END AS name FROM events),
 alias AS (SELECT event_id AS apos, {key} AS akey, [{NAMES_SQL}[user_id % {N} + 1], {NAMES_SQL}[(event_id + 1) % {N} + 1]] AS names FROM pieces WHERE event_id % 2 = 0),
-official AS (SELECT event_id AS opos, {key} AS okey, name FROM pieces WHERE event_id % 2 = 1)"""
+official AS (SELECT min(event_id) AS opos, {key} AS okey, name FROM pieces WHERE event_id % 2 = 1 GROUP BY name)"""
 
 
 # --- submissions and the legacy tables ------------------------------------------------------------------
