@@ -1,8 +1,8 @@
 """Lexical retrieval packing: documents that share rare terms go into the same training sequences.
 
 A task reads its documents in shards of about `shard_tokens` ids and builds a BM25 inverted index of each. A seed document opens
-a window of `window` ids; the index returns its unused neighbours, best first, which fill the window. A document that
-doesn't fit is cut, and its rest opens the next window, as the seed. Without neighbours the next unused document is taken. The open
+a window of `window` ids; the index returns its unused neighbours, by all terms of its part in the window, best first, which
+fill it. A document that doesn't fit is cut, and its rest opens the next window, as the seed. Without neighbours the next unused document is taken. The open
 window passes on to the next shard; what is left at a task's end is cut into sequences whose lengths are powers
 of two, which need no padding. So all sequences are full, and each id lies in exactly one piece.
 
@@ -29,44 +29,67 @@ from metframe.llm.tokens import ByteBpe
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
-#: BM25: term saturation, length normalisation, and how many of a seed's heaviest terms are looked up.
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+#: BM25: term saturation and length normalisation.
+K1, B = 1.2, 0.75
+#: A term of one in so many documents of a shard is kept as a row of weights.
+COMMON = 16
 
 
 class Index:
-    """BM25 inverted index of one shard, over token ids as terms."""
+    """BM25 inverted index of one shard, over token ids as terms.
+
+    Terms of at least one in `COMMON` documents are rows of a matrix, the others posting lists; both lose the documents that are used.
+    """
 
     def __init__(self, documents: list[np.ndarray]) -> None:
-        self.count = len(documents)
-        lengths = np.fromiter(map(len, documents), np.int64, self.count)
-        owner = np.repeat(np.arange(self.count), lengths)
+        count = len(documents)
+        lengths = np.fromiter(map(len, documents), np.int64, count)
+        owner = np.repeat(np.arange(count), lengths)
         flat = np.concatenate(documents).astype(np.int64) if documents else np.zeros(0, np.int64)
-        pairs, tf = np.unique(flat * self.count + owner, return_counts=True)
-        terms, self._doc = np.divmod(pairs, max(self.count, 1))
-        self._terms, first, df = np.unique(terms, return_index=True, return_counts=True)
-        self._first = np.append(first, len(terms))
-        idf = np.log1p((self.count - df + 0.5) / (df + 0.5))
-        idf[df < 2] = 0  # a term of one document finds no neighbour
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if self.count else lengths
-        self._weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self._doc])
-        # each document's own terms, the heaviest first
-        order = np.lexsort((-self._weight, self._doc))
-        self._own = np.repeat(np.arange(len(self._terms)), df)[order]
-        self._own_weight = self._weight[order]
-        self._own_first = np.searchsorted(self._doc[order], np.arange(self.count + 1))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share a looked-up term with the seed, best first."""
-        start, stop = self._own_first[seed], self._own_first[seed + 1]
-        stop = min(stop, start + QUERY_TERMS)
-        terms = self._own[start:stop][self._own_weight[start:stop] > 0]
-        if not len(terms):
-            return []
-        postings = np.concatenate([np.arange(self._first[t], self._first[t + 1]) for t in terms])
-        scores = np.bincount(self._doc[postings], self._weight[postings], self.count)
-        scores[~unused] = 0
+        pairs, tf = np.unique(flat * count + owner, return_counts=True)
+        terms, doc = np.divmod(pairs, max(count, 1))
+        self._terms, df = np.unique(terms, return_counts=True)
+        idf = np.log1p((count - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if count else lengths
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
+        number = np.repeat(np.arange(len(df)), df)
+        common = df * COMMON >= count
+        self._row = np.where(common, np.cumsum(common) - 1, -1)
+        self._matrix = np.zeros((int(common.sum()), count), np.float32)
+        of_matrix = common[number]
+        self._matrix[self._row[number[of_matrix]], doc[of_matrix]] = weight[of_matrix]
+        self._number, self._doc, self._weight = number[~of_matrix], doc[~of_matrix], weight[~of_matrix]
+        self._live = np.arange(count)
+        self._bounds()
+
+    def _bounds(self) -> None:
+        self._first = np.searchsorted(self._number, np.arange(len(self._terms) + 1))
+
+    def _without(self, unused: np.ndarray) -> None:
+        """Leave the used documents out."""
+        stays = unused[self._live]
+        self._matrix = self._matrix[:, stays]
+        listed = stays[self._doc]
+        self._doc = (np.cumsum(stays) - 1)[self._doc[listed]]
+        self._number, self._weight = self._number[listed], self._weight[listed]
+        self._live = self._live[stays]
+        self._bounds()
+
+    def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> list[int]:
+        """Unused documents that share a term with the ids of a window, best first."""
+        if unused.sum() * 4 < len(self._live) * 3:
+            self._without(unused)
+        wanted = np.unique(ids)
+        term = np.searchsorted(self._terms, wanted)
+        term = term[self._terms[np.minimum(term, len(self._terms) - 1)] == wanted] if len(self._terms) else term[:0]
+        row = self._row[term]
+        rare = term[row < 0]
+        start, size = self._first[rare], self._first[rare + 1] - self._first[rare]
+        posting = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        scores = self._matrix[row[row >= 0]].sum(axis=0) + np.bincount(self._doc[posting], self._weight[posting], len(self._live))
+        scores[~unused[self._live]] = 0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")].tolist()
+        return self._live[found[np.argsort(-scores[found], kind="stable")]].tolist()
 
 
 class Packer:
@@ -79,7 +102,7 @@ class Packer:
         self.pieces: list[tuple] = []
 
     def shard(self, keys: list, documents: list[np.ndarray]) -> None:
-        index = Index(documents)
+        index = Index([ids[:-1] for ids in documents])  # all have the end id
         unused = np.ones(len(documents), bool)
         queue: list[int] = []
         for first in range(len(documents)):
@@ -90,7 +113,7 @@ class Packer:
                 unused[seed] = False
                 opened = self._add(keys[seed], documents[seed])
                 if opened or not queue:
-                    queue = index.neighbours(seed, unused)[::-1]
+                    queue = index.neighbours(self._open[-1][2] if opened else documents[seed], unused)[::-1]
                 seed = None
                 while queue and seed is None:
                     seed = queue.pop()

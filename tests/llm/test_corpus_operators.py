@@ -254,9 +254,9 @@ def test_packing_holds_each_id_once_without_padding(spark):
 def test_neighbours_share_rare_terms():
     index = packing.Index([np.array(x) for x in ([1, 2, 3, 9], [1, 5, 6], [2, 3, 9, 9], [1, 7, 7], [4])])
     unused = np.ones(5, bool)
-    unused[0] = False
-    assert index.neighbours(0, unused)[0] == 2
-    assert index.neighbours(4, unused) == []
+    unused[[0, 4]] = False
+    assert index.neighbours(np.array([1, 2, 3, 9]), unused)[0] == 2
+    assert index.neighbours(np.array([4]), unused) == []
 
 
 # language model
