@@ -62,29 +62,54 @@ def number_sorted(df: DataFrame, name: str, *order: Column, groups: Sequence[str
     rows, so numbers follow from counts per block without a window over the rows.
     """
     placed = _placed(materialize(df.orderBy(*order), "sorted"))
-    keys = [*groups, "_file", "_block"]
-    starts = block_starts(placed, groups)
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    number = F.col("s._start") + F.col("r._id") - F.col("s._low") + 1
-    return placed.alias("r").join(starts.alias("s"), same).select(
-        *[F.col(f"r.`{c}`") for c in df.columns], number.cast("bigint").alias(name)
+    numbered = _with_starts(placed, groups)
+    number = F.col("_start") + F.col("_id") - F.col("_low") + 1
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], number.cast("bigint").alias(name))
+
+
+def number_both(df: DataFrame, name: str, inner: str, groups: Sequence[str], *order: Column) -> DataFrame:
+    """Add `name` = 1, 2, ... over all rows and `inner` = 1, 2, ... within `groups`, both in one order, from one sorted write.
+
+    A row's place among those of its group is found within its block of a file, so a group of any size is cut; what comes before
+    a block is a sum over blocks.
+    """
+    placed = _placed(materialize(df.orderBy(*order), "sorted"))
+    number = F.col("_start") + F.col("_id") - F.col("_low") + 1
+    whole = _with_starts(placed, ()).withColumn(name, number.cast("bigint")).drop("_start", "_low")
+    within = Window.partitionBy(*[F.col(f"`{g}`") for g in groups], "_file", "_block").orderBy("_id")
+    ranked = whole.withColumn("_rank", F.row_number().over(within))
+    starts = _with_starts(ranked, groups, placed)
+    return starts.select(
+        *[F.col(f"`{c}`") for c in df.columns], name, (F.col("_start") + F.col("_rank")).cast("bigint").alias(inner)
     )
 
 
+def _with_starts(rows: DataFrame, groups: Sequence[str], placed: DataFrame | None = None) -> DataFrame:
+    """`rows` with `_start` and `_low` of their block and group, which are counted over `placed` (the rows themselves).
+
+    The counts are written, so that the join is planned by their real size.
+    """
+    keys = [*groups, "_file", "_block"]
+    starts = materialize(block_starts(rows if placed is None else placed, groups), "starts")
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
+    return rows.alias("r").join(starts.alias("s"), same).select("r.*", "s._start", "s._low")
+
+
 def _placed(stored: DataFrame) -> DataFrame:
     """Rows of a stored stage with their file (longer names carry larger part numbers), block and place within it."""
-    path = F.col("_metadata.file_path")
+    file = F.col("_metadata.file_name")
     return stored.select(
-        "*", F.struct(F.length(path), path).alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        "*", F.struct(F.length(file), file).alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
 
 
 def block_starts(placed: DataFrame, groups: Sequence[str]) -> DataFrame:
     """How many rows of a group come before each block, and where the group begins in it: at most blocks + groups rows."""
-    where = [*groups, "_file", "_block"]
+    own = [F.col(f"`{g}`") for g in groups]
+    where = [*own, "_file", "_block"]
     sizes = placed.groupBy(*where).agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*own).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(*where, "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from metframe import vocab as v
 from metframe.functions import rx, text
 from metframe.operators import scans
-from metframe.session import materialize
 
 def supported(rows: DataFrame) -> DataFrame:
     return rows.filter(rx.strip(F.col("weather_system")).isin(v.SUPPORTED_SYSTEMS))
@@ -56,8 +55,7 @@ def _junction(numbered: DataFrame, column: str, delimiter: str, dim: DataFrame,
 def numbered_rows(rows: DataFrame, position: str) -> DataFrame:
     """Supported rows with system id 1..n in file order and sequence 1..n within their date."""
     kept = supported(rows).select(position, "date", "weather_system", "subdivisions", "pressure_level")
-    by_file = scans.number_rows(kept, "system_id", position)
-    return scans.number_rows(by_file, "system_seq", "system_id", groups=["date"])
+    return scans.number_both(kept, "system_id", "system_seq", ["date"], F.col(f"`{position}`"))
 
 
 class Star:
@@ -73,7 +71,7 @@ class Star:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return materialize(numbered_rows(self._rows, self._position), "systems")
+        return numbered_rows(self._rows, self._position)  # reads written stages, whichever table asks
 
     @cached_property
     def dim_date(self) -> DataFrame:

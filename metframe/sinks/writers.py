@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from metframe import vocab as v
 from metframe.functions import levels, places, text
-from metframe.operators import flat
+from metframe.functions.pairs import FilterPair
+from metframe.operators import flat, views
 from metframe.operators.star import Star
 from metframe.session import materialize
 from metframe.sources.tables import MONTH
@@ -55,6 +56,17 @@ def write_enriched_csv(rows: DataFrame, path: str) -> None:
     write_csv(enriched_rows(_in_file_order(rows)), path)
 
 
+def write_export(
+    entries: DataFrame, path: str, pairs: Sequence[FilterPair] = (), date: str = "", delimiter: str = ","
+) -> None:
+    """The grouped export as CSV in view order: its part files, one after another by name, hold the rows as the view shows them.
+
+    The rows are sorted by date and the number they have within it, and nothing is shuffled after that sort.
+    """
+    day, number = (F.col(f"`{name}`") for name in v.EXPORT_HEADER[:2])
+    write_csv(views.export_rows(entries, pairs, date, delimiter).orderBy(day.desc(), number), path)
+
+
 def enrich(rows: DataFrame, path: str) -> int:
     """Map the regions of existing extraction rows, write them, return how many were read."""
     seen = Observation("enrich")

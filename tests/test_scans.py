@@ -66,3 +66,25 @@ def test_number_sorted(rows):
     order = [F.col("m").desc_nulls_last(), F.col("pos")]
     ours = scans.number_sorted(rows, "n", *order)
     same(ours, rows.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("bigint")))
+
+
+def test_number_both(rows):
+    order = Window.orderBy("pos")
+    ours = scans.number_both(rows, "n", "k", ["g"], F.col("pos"))
+    want = rows.withColumn("n", F.row_number().over(order).cast("bigint"))
+    same(ours, want.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("pos")).cast("bigint")))
+
+
+def test_number_both_over_many_files_and_null_groups(spark):
+    data = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("pos"), F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("the group"))
+    data = data.repartition(13)
+    spread = scans.number_both(data, "n", "k", ["the group"], F.col("pos"))
+    plain = data.withColumn("n", F.row_number().over(Window.orderBy("pos")).cast("bigint"))
+    same(spread, plain.withColumn("k", F.row_number().over(Window.partitionBy("the group").orderBy("pos")).cast("bigint")))
+    assert scans.number_both(data.limit(0), "n", "k", ["the group"], F.col("pos")).count() == 0
+
+
+def test_rows_are_not_shuffled_for_numbers(rows):
+    """Written counts are small, so they are joined in place; the one exchange lies before the write."""
+    plan = scans.number_rows(rows, "n", "pos", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
