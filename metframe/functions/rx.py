@@ -86,10 +86,14 @@ def split(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
     Matches become one mark and the text is cut at the marks: replacing keeps the compiled
     pattern from row to row, while splitting by a pattern compiles it for every row. That is
-    left to texts which hold the mark themselves.
+    left to texts which hold the mark themselves. The text is worked out once.
     """
-    marked = F.split(F.regexp_replace(text, rx(pattern, ignore_case), _MARK), _MARK)
-    return F.when(text.contains(_MARK), F.split(text, rx(pattern, ignore_case))).otherwise(marked)
+
+    def cut(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, rx(pattern, ignore_case), _MARK), _MARK)
+        return F.when(t.contains(_MARK), F.split(t, rx(pattern, ignore_case))).otherwise(marked)
+
+    return bind(text, cut)
 
 
 def split_at(text: Column, delimiter: str) -> Column:

@@ -85,7 +85,7 @@ def _protected(text: Column) -> Column:
             out = rx.replace(out, pattern, by, ignore_case=True)
         return F.when(rx.matches(t, v.ANY_ABBREVIATION), out).otherwise(t)
 
-    return rx.bind(F.translate(text, "\n", " "), hidden)
+    return rx.bind(F.replace(text, F.lit("\n"), F.lit(" ")), hidden)
 
 
 def _cleaned(parts: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a task of text work gets at most, about.
+TASK_ROWS = 50_000
+
+
 def build_session(app: str = "metframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -50,14 +55,16 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when their source has fewer pieces than there are cores.
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Deal rows out when their source has fewer pieces than there are cores or runs of `task_rows` rows.
 
-    Meant for CPU-bound text work on small or unsplittable inputs. A source with enough
-    splits, as any large table has, is returned as it is and nothing is shuffled.
+    Meant for CPU-bound text work on files, whose rows are counted from their footers. Compact files hold millions of rows in a
+    split, so pieces go by rows and the longest task doesn't grow with the table. A source with enough splits is returned as it
+    is and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = cores * max(1, math.ceil(df.count() / task_rows / cores))
+    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
