@@ -29,8 +29,9 @@ def nearest_points(axes: DataFrame, gazetteer: DataFrame, tolerance: float) -> D
     """(lon, lat, names): for each different (lon, lat) of `axes` the five nearest points, nearest first.
 
     Points and coordinates meet in bins of longitude, a coordinate in its own and both next ones. A bin is dealt to
-    `SALTS` tasks: its points by place, its coordinates, which are few, to all. Of what meets only five for each coordinate
-    and task are shuffled (the limit on the rank is pushed below the exchange).
+    `SALTS` tasks: its points by place, its coordinates, which are few, to all. What meets is first only measured: the fifth of
+    the least distances of the salts of a coordinate is one that five points don't exceed, so those beyond it are left out before
+    any are sorted. Of the rest only five for each coordinate and task are shuffled (the limit on the rank is pushed below the exchange).
     """
     width = tolerance * (1 + 1e-9)
     bin_of = F.floor(F.col("lon") / width)
@@ -41,11 +42,18 @@ def nearest_points(axes: DataFrame, gazetteer: DataFrame, tolerance: float) -> D
     points = gazetteer.where("lon IS NOT NULL").select(
         "pos", "name", "lat", "lon", bin_of.alias("bin"), F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int").alias("salt")
     )
-    near = points.join(asked, ["bin", "salt"]).where(
-        (F.abs(F.col("lon") - F.col("x")) <= tolerance) & F.coalesce(F.col("lat") >= F.col("y") - v.LAT_SLACK, F.lit(True))
-    )
     distance = places.coordinate_distance(F.col("lat"), F.col("lon"), F.col("x"), F.col("y"))
-    ranked = near.select("x", "y", "pos", "name", distance.alias("distance")).withColumn(
+
+    def meet(asked: DataFrame) -> DataFrame:
+        near = (F.abs(F.col("lon") - F.col("x")) <= tolerance) & F.coalesce(F.col("lat") >= F.col("y") - v.LAT_SLACK, F.lit(True))
+        return points.join(asked, ["bin", "salt"]).where(near).withColumn("distance", distance)
+
+    least = meet(asked).groupBy("x", "y", "salt").agg(F.min("distance").alias("least"))
+    fifth = F.get(F.sort_array(F.collect_list("least")), F.lit(v.COORDINATE_TOP - 1))
+    bounds = least.groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(fifth.alias("bound"))
+    bounded = asked.join(bounds, (F.col("x") == F.col("__x")) & F.col("y").eqNullSafe(F.col("__y"))).drop("__x", "__y")
+    near = meet(bounded).where("bound IS NULL OR distance <= bound")
+    ranked = near.select("x", "y", "pos", "name", "distance").withColumn(
         "rank", F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "pos"))
     )
     top = ranked.where(F.col("rank") <= v.COORDINATE_TOP).groupBy("x", "y").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,13 @@ def test_only_the_best_of_a_task_are_shuffled(spark):
     partial = plan.index("Partial", window)
     assert "WindowGroupLimit" in plan[window:partial] and "Exchange" in plan[window:partial]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_points_beyond_the_fifth_are_left_out_before_the_sort(spark):
+    listed = [(f"p{i}", 20.0, 80.0 + (i * 37 % 500) / 100) for i in range(500)]
+    axes = spark.createDataFrame([(82.0, 8.0)], "lon double, lat double")
+    found = gazetteers.nearest_points(axes, points(spark, listed), 3.5)
+    nearest = sorted(range(500), key=lambda i: (abs(80.0 + (i * 37 % 500) / 100 - 82.0), i))[:5]
+    assert found.first()["names"] == [f"p{i}" for i in nearest]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "<= bound" in re.sub(r"#\d+L?", "", plan)
