@@ -103,7 +103,11 @@ def officials_of(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def _parts(texts: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
-    """The texts with each different `part` of them that is as long as some text of the other side; the empty part too."""
+    """The texts with each different `part` of them that is as long as some text of the other side; the empty part too.
+
+    They are many more than Spark takes them for, by the size of the files behind them, so joins of parts are hinted as merge joins:
+    neither side is sent through the driver.
+    """
     lengths = others.agg(F.collect_set(F.length(other))).scalar()
     size, length = F.length(column), F.col("__length")
     cut = texts.select("*", lengths.alias("__lengths")).select("*", F.explode(F.filter("__lengths", lambda n: n <= size)).alias("__length"))
@@ -132,7 +136,7 @@ def alias_longest(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     rank = F.struct((-F.length("alias")).alias("size"), F.col("pos").alias("pos"))
     named = aliases.select(F.col("key").alias("alias"), "pos", "names").withColumn("rank", rank)
     by_alias = named.groupBy("alias").agg(F.min_by("names", "rank").alias("names"), F.min("rank").alias("rank"))
-    held = _parts(asked, "key", named, "alias").join(by_alias.withColumnRenamed("alias", "part"), "part").select("key", "rank", "names")
+    held = _parts(asked, "key", named, "alias").hint("merge").join(by_alias.withColumnRenamed("alias", "part"), "part").select("key", "rank", "names")
     holding = _parts(by_alias, "alias", asked, "key").groupBy(F.col("part").alias("key")).agg(
         F.min("rank").alias("rank"), F.min_by("names", "rank").alias("names")
     ).join(asked, "key")
@@ -143,9 +147,9 @@ def official_fuzzy(keys: DataFrame, officials: DataFrame) -> DataFrame:
     """(key, names): all names that hold, or are held by, the key, longest name first. An empty key has none."""
     asked = _different(keys).where("key <> ''")
     named = officials.select(F.col("key").alias("own"), "pos", "name")
-    held = _parts(asked, "key", named, "own").join(named.withColumnRenamed("own", "part"), "part").select("key", "pos", "name")
+    held = _parts(asked, "key", named, "own").hint("merge").join(named.withColumnRenamed("own", "part"), "part").select("key", "pos", "name")
     # equal ones are among the held
-    holding = _parts(named, "own", asked, "key").where("part <> own").withColumnRenamed("part", "key").join(asked, "key")
+    holding = _parts(named, "own", asked, "key").where("part <> own").withColumnRenamed("part", "key").hint("merge").join(asked, "key")
     return _listed(held.unionByName(holding.select("key", "pos", "name")), -F.length("name"))
 
 

@@ -99,6 +99,13 @@ def test_only_the_best_of_a_task_are_shuffled(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_parts_are_not_sent_through_the_driver(spark, rows, aliases):
+    keyed = rows.withColumn("key", text.subdivision_key(F.col("region")))
+    officials = gazetteers.officials_of(spark.createDataFrame([(1, "Kerala"), (2, "Kerala 7")], "pos long, name string"), points(spark, []))
+    plan = gazetteers.official_fuzzy(keyed, officials)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_points_beyond_the_fifth_are_left_out_before_the_sort(spark):
     listed = [(f"p{i}", 20.0, 80.0 + (i * 37 % 500) / 100) for i in range(500)]
     axes = spark.createDataFrame([(82.0, 8.0)], "lon double, lat double")
