@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metframe.operators import scans
-from metframe.session import materialize
+from metframe.session import materialize, spread
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,12 @@ def test_rows_are_not_shuffled_for_numbers(rows):
     """Written counts are small, so they are joined in place; the one exchange lies before the write."""
     plan = scans.number_rows(rows, "n", "pos", ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_text_work_is_dealt_out_by_rows(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    pieces = spread(rows, task_rows=10)
+    assert 100 <= pieces.rdd.getNumPartitions() < 100 + spark.sparkContext.defaultParallelism
+    same(pieces, rows)
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 0, 1, 1)).isEmpty()
