@@ -7,12 +7,15 @@ box's largest counts, is less than the threshold asks of the sizes. Points that
 1. Equal sets are one node, named by a 64-bit hash of the set. Only nodes go on.
 2. The join is dealt out by shared shingles. Each set is put in order by how often the groups of its shingles occur in the corpus (`LOAD_BITS`
    counters, whatever the corpus size), rarest first; two sets that reach the threshold share one of the first n - ceil(n p / 100) + 1 of
-   each. Nodes that share such a shingle are a shard; of shards with equal members one is left.
+   each. Nodes that share such a shingle are a shard. What two sets share from their first common shingle on is at most what either has from there
+   on, so a node stays in a shard only if, by sizes and places of the shingle, another one of it may be near. Of shards with
+   equal members the one of the earliest shingle is left, so that a near pair still meets in its first common one.
 3. Shards of more than `HOT_NODES` nodes hold groups of copies; there the nodes whose points allow it are first compared with the shard's
    head, the node that meets most others. Shards whose nodes are then of one component are done.
 4. The nodes of all other shards are joined by an R-tree built over their points. Boxes whose points are all of the asking point's
    component are left out too, so a group of copies is not compared pair by pair. A shard of more than `BLOCK_NODES` nodes, or `BLOCK_BYTES` of points, is cut into
-   blocks by hash, and each pair of blocks is a task's work; all rows take part at every size.
+   blocks by hash, and each pair of blocks is a task's work; all rows take part at every size. Rows bring along the earlier shards of their node, so a pair
+   that meets in many shards comes out of the first one only.
 5. Pairs that pass are verified on the full sets, and components are found by repeated minima.
 
 Defined cases: a document without words or text has an empty set and is its own component. One with fewer words than a shingle has the whole
@@ -40,8 +43,12 @@ LOAD_BITS, _LOAD_SLICE = 18, 4096
 GROUP_SHINGLES, LEAST_GROUPS = 1, 16
 HOT_NODES, HEAD_ROUNDS = 16, 2
 BLOCK_NODES, BLOCK_BYTES = 8192, 16 << 20
-#: Bits that tell which texts' sets are wanted, 4 MiB.
+#: Bits that tell which texts or nodes are wanted, 4 MiB.
 WANTED_BITS = 25
+#: Rows of a shingle that are held to find out which of them may be near; of a shingle with more all rows stay.
+HELD_ROWS = 1 << 18
+#: Earlier shards of pairs that are compared at a time.
+_EARLIER = 1 << 22
 #: Entries of a box of the R-tree, and queries compared at a time.
 FAN_OUT, _QUERIES = 16, 256
 
@@ -138,6 +145,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose points allow the threshold."""
+    nodes = _picked(nodes.select("node", "n", "point"), "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -220,20 +228,48 @@ class RTree:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def reached(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller node, larger node) of the rows `left` with the rows `right` that the R-tree over `right` leaves."""
+def unseen(one: np.ndarray, two: np.ndarray, starts: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have no earlier shard in common; row i has `earlier[starts[i] : starts[i + 1]]`, all different."""
+    counts, out = np.diff(starts), np.ones(len(one), bool)
+    ends = np.cumsum(counts[one] + counts[two])
+    first = 0
+    while first < len(one):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _EARLIER, "right")))
+        rows, pair = np.concatenate([one[first:last], two[first:last]]), np.tile(np.arange(first, last), 2)
+        size = counts[rows]
+        at = np.arange(size.sum()) + np.repeat(starts[rows] - np.cumsum(size) + size, size)
+        shard, pair = earlier[at], np.repeat(pair, size)
+        order = np.lexsort((shard, pair))
+        shard, pair = shard[order], pair[order]
+        out[pair[1:][(shard[1:] == shard[:-1]) & (pair[1:] == pair[:-1])]] = False
+        first = last
+    return out
+
+
+def reached(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller node, larger node) of the rows `left` with the rows `right` that the R-tree over `right` leaves, that may be near by the
+    places of the shard's shingle, and that share no earlier shard."""
+    nodes, sizes, comps, places = (table[c].to_numpy() for c in ("node", "n", "comp", "place"))
+    points = [read_point(p.as_buffer(), n) for p, n in zip(table["point"], sizes.tolist())]
     count = min(map(len, points))
     flat = np.array([folded(p, count) for p in points], np.int32)
     tree = RTree(flat[right], sizes[right], comps[right])
     one, two = tree.reach(flat[left], sizes[left], comps[left], percent)
-    a, b = nodes[left][one], nodes[right][two]
+    one, two = left[one], right[two]
+    most = most_size(sizes, places, percent)
+    good = (sizes[one] <= most[two]) & (sizes[two] <= most[one])
+    one, two = one[good], two[good]
+    lists = table["earlier"].combine_chunks()
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    good = unseen(one, two, starts, lists.values.to_numpy())
+    a, b = nodes[one[good]], nodes[two[good]]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     return tuple(pairs[:, pairs[0] != pairs[1]])
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the R-trees of the shards leave, of rows (token, one, two, side, node, n, comp, point): a tree over side 1, asked by side 0, or by
-    itself where blocks one and two are the same."""
+    """Different pairs (a, b) that the R-trees of the shards leave, of rows (token, one, two, side, node, n, comp, place, earlier, point): a tree over side 1,
+    asked by side 0, or by itself where blocks one and two are the same."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +277,10 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            side, nodes, sizes, comps = (table[c].to_numpy() for c in ("side", "node", "n", "comp"))
-            points = [read_point(p.as_buffer(), n) for p, n in zip(table["point"], sizes.tolist())]
+            side = table["side"].to_numpy()
             right = np.flatnonzero(side == 1)
             left = np.flatnonzero(side == 0) if key[1] != key[2] else right
-            a, b = reached(nodes, sizes, comps, points, left, right, percent) if len(left) and len(right) else (np.zeros(0, np.int64),) * 2
+            a, b = reached(table, left, right, percent) if len(left) and len(right) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
@@ -264,41 +299,96 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield done()
 
-    dealt = rows.select("token", "one", "two", "side", "node", "n", "comp", "point").repartition("token", "one", "two")
-    return dealt.sortWithinPartitions("token", "one", "two").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("token", "one", "two", "side", "node", "n", "comp", "place", "earlier", "point").repartition("token", "one", "two")
+    return dealt.sortWithinPartitions("token", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def _blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (token, node, comp) with their sizes and points, dealt to pairs of blocks of their shard: (one, two), and their side."""
-    rows = rows.join(nodes.select("node", "n", "point", F.length("point").alias("bytes")), "node")
+    """Rows (token, node, n, place, comp) with their points and the earlier shards of their nodes, dealt to pairs of blocks of their shard: (one, two), and
+    their side."""
+    size = F.greatest("n", F.lit(LEAST_GROUPS))  # a point has about a byte for a shingle, at most
     sizes = rows.groupBy("token").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+        F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks")
     )
     cut = materialize(sizes.where("blocks > 1"), "cut-shards")
+    shards = F.array_sort(F.collect_list(F.struct("place", "token"))).alias("shards")  # of a node, so no more than its set has shingles
+    held = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), shards)
+    points = _picked(nodes.select("node", "point"), "node", rows.select("node"))
+    rows = held.join(points, "node").select("*", F.posexplode("shards").alias("at", "mine"))
+    rows = rows.select("node", "n", "comp", "point", "mine.*", F.slice(F.col("shards.token"), F.lit(1), F.col("at")).alias("earlier"))
     rows = rows.join(cut, "token", "left")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     side = lambda x: F.struct(F.least(block, x).alias("one"), F.greatest(block, x).alias("two"), (block >= x).cast("int").alias("side"))
     whole = F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(1).alias("side")))
     pairs = F.when(F.col("blocks").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), side))
-    return rows.withColumn("dealt", F.explode(pairs)).select("token", "dealt.*", "node", "n", "comp", "point")
+    return rows.withColumn("dealt", F.explode(pairs)).select("token", "dealt.*", "node", "n", "comp", "place", "earlier", "point")
 
 
-def _shards(nodes: DataFrame) -> DataFrame:
-    """token, node and size of the shards: nodes that share one of their rarest shingles, of equal shards one."""
-    rows = nodes.select(F.explode("rarest").alias("token"), "node")
-    shared = rows.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialize(rows.join(shared, "token"), "shared-shingles")
+def most_size(sizes: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """The size that a set near these may have at most, if the shingle at this place is the first they share; a pair must meet that of both."""
+    return (100 + percent) * (sizes - places) // percent - sizes
+
+
+def partnered(tokens: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have another one of their token that meets `most_size` with them; rows are in order of token and size."""
+    group = np.cumsum(np.r_[False, tokens[1:] != tokens[:-1]])
+    most = most_size(sizes, places, percent)
+    base = group * (int(max(sizes.max(), most.max())) + 2)  # so that values of a later group are larger
+    # the largest of `most` in a group so far, and the second largest; what is of a group before is below `base`
+    value = base + most
+    top = np.maximum.accumulate(value)
+    second = np.maximum.accumulate(np.r_[np.int64(-1), np.minimum(value[1:], top[:-1])])
+    # rows of the group that are small enough come before `end`
+    end = np.searchsorted(base + sizes, value, "right") - 1
+    at = np.arange(len(tokens))
+    best = np.where((at <= end) & (value == top[end]), second[end], top[end])
+    return (end >= 0) & (best >= base + sizes)
+
+
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, node, n, place) but those that can't be near another one of their token; one shuffle, streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, np.nan  # rows of the last token so far; the token of which all rows stay
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            token, n, place = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            last, whole = int(np.searchsorted(token, token[-1])), token == large
+            if len(token) - last > HELD_ROWS:
+                large = token[-1]
+            stop = len(token) if token[-1] == large else last
+            if stop:
+                whole |= token == large
+                yield batch.slice(0, stop).filter(pa.array(partnered(token[:stop], n[:stop], place[:stop], percent) | whole[:stop]))
+            held = batch.slice(stop) if stop < len(token) else None
+        if held is not None:
+            yield held.filter(pa.array(partnered(*(held.column(i).to_numpy() for i in (0, 2, 3)), percent)))
+
+    rows = rows.select("token", "node", "n", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token", "n")
+    return rows.mapInArrow(run, "token long, node long, n long, place long")
+
+
+def _shards(nodes: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, place and size of the shards: nodes that share one of their rarest shingles and may be near another by its places; of shards with
+    equal members the one of the earliest shingle, whose places are the smallest."""
+    rows = nodes.select("node", "n", F.posexplode("rarest").alias("place", "token"))
+    rows = materialize(_shared(rows, percent), "shared-shingles")
     low = F.sum(F.shiftrightunsigned(F.xxhash64("node"), 24))
-    members = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("mixed"), low.alias("low"))
-    chosen = members.groupBy("size", "mixed", "low").agg(F.min("token").alias("token")).select("token")
-    return materialize(rows.join(chosen, "token", "left_semi"), "shards")
+    members = rows.groupBy("token").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("mixed"), low.alias("low"), F.sum("place").alias("places")
+    )
+    chosen = members.groupBy("size", "mixed", "low").agg(F.min(F.struct("places", "token")).alias("first")).select("size", F.col("first.token").alias("token"))
+    return materialize(rows.join(chosen, "token"), "shards")
 
 
 def _headed(rows: DataFrame) -> DataFrame:
-    """Rows (token, node, size) but the head of each shard, with the head: the node that meets most others."""
+    """Rows (token, node, n, place, size) but the head of each shard, with the head: the node that meets most others."""
     met = rows.groupBy("node").agg((-F.sum("size")).alias("met"))
     heads = rows.join(met, "node").groupBy("token").agg(F.min(F.struct("met", "node")).alias("head"))
-    rows = rows.join(heads, "token").select("token", "node", "size", F.col("head.node").alias("head"))
+    rows = rows.join(heads, "token").select("token", "node", "n", "place", "size", F.col("head.node").alias("head"))
     return rows.where(F.col("node") != F.col("head"))
 
 
@@ -315,46 +405,60 @@ def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(mixed.select("token"), "token", "left_semi")
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of the texts (doc, text) whose doc is wanted, and few others: docs are told by bits of a field of `WANTED_BITS`, so what is
-    broadcast has the same bound at every size, and texts are not shuffled."""
-    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(1 << WANTED_BITS))
-    marks = wanted.select(bit("doc").alias("bit"))
-    words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("marked"))
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left") -> DataFrame:
+    """The rows, with `marked`: whether their key is in the column of `wanted`, or one of few others: keys are told by bits of a field of
+    `WANTED_BITS`, so what is broadcast has the same bound at every size, and the rows are not shuffled."""
+    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << WANTED_BITS))
+    marks = wanted.select(bit(wanted.columns[0]).alias("bit"))
+    words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("marks"))
     words = materialize(words, "wanted-bits")
-    placed = texts.withColumn("bit", bit("doc")).withColumn("word", F.shiftright("bit", 6))
-    marked = F.expr("shiftright(marked, CAST(bit % 64 AS INT)) & 1") == 1
-    return placed.join(F.broadcast(words), "word").where(marked).select("doc", "text")
+    placed = rows.withColumn("bit", bit(key)).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word", how)
+    marked = F.expr("coalesce(shiftright(marks, CAST(bit % 64 AS INT)) & 1, 0L) = 1")
+    return placed.withColumn("marked", marked).drop("bit", "word", "marks")
+
+
+def _picked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is wanted, and few others."""
+    return _marked(rows, key, wanted, "inner").where("marked").drop("marked")
 
 
 def _sets_of(chosen: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The sets of chosen nodes, and of few others; a node has one row at least."""
     docs = nodes.select("node", "doc").join(chosen.distinct(), "node", "left_semi")
-    return materialize(_sets(_texts_of(texts, docs), words), "sets")
+    return materialize(_sets(_picked(texts, "doc", docs.select("doc")), words), "sets")
+
+
+def _one_row_per_node(named: DataFrame) -> DataFrame:
+    """node, n, doc (its smallest), rarest and point; only rows of nodes that have several, and few others, are shuffled."""
+    several = materialize(named.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node"), "repeated-nodes")
+    marked = _marked(named.select("node", "n", "doc", "rarest", "point"), "node", several)
+    facts = [F.any_value(c).alias(c) for c in ("n", "rarest", "point")]
+    folded = marked.where("marked").groupBy("node").agg(F.min("doc").alias("doc"), *facts)
+    return materialize(marked.where("NOT marked").drop("marked").unionByName(folded), "nodes")
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of near nodes, enough of them that nodes linked by all near pairs are linked by these; `nodes` is (node, n, doc, rarest, point),
     `texts` (doc, text)."""
-    shards = _shards(nodes)
+    shards = _shards(nodes, percent)
     hot, small = shards.where(F.col("size") > HOT_NODES), shards.where(F.col("size") <= HOT_NODES)
-    linked, comps, found = None, None, None
+    linked, comps = None, None
     for _ in range(HEAD_ROUNDS):
         if hot.isEmpty():
             break
-        found = _sets_of(hot.select("node"), nodes, texts, words) if found is None else found
         hot = materialize(_headed(hot), "headed")
         asked = hot.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         if comps is not None:
             asked = _with_components(asked.withColumnRenamed("a", "node"), comps).withColumnsRenamed({"node": "a", "comp": "of_a"})
             asked = _with_components(asked.withColumnRenamed("b", "node"), comps).withColumnRenamed("node", "b").where("comp <> of_a")
         asked = materialize(_bounded(asked.select("a", "b"), nodes, percent), "asked")
+        found = _sets_of(asked.select(F.explode(F.array("a", "b")).alias("node")), nodes, texts, words)
         fresh = materialize(_verified(asked, found, percent).distinct(), "head-links")
         if not fresh.isEmpty():
             linked = fresh if linked is None else linked.unionByName(fresh)
             comps = components(linked)
         # the head has been compared with all others of its shard
-        hot = materialize(_open(hot.select("token", "node", "size"), comps).drop("comp"), "open-shards")
+        hot = materialize(_open(hot.drop("head"), comps).drop("comp"), "open-shards")
 
     rest = materialize(_open(small.unionByName(hot), comps), "rest")
     pairs = materialize(_joined(_blocks(rest, nodes), percent), "pairs")
@@ -369,9 +473,7 @@ def near_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_prefixes(rows, _loads(rows, words), words, percent), "prefixes")
     named = signed.where("doc IS NOT NULL AND node IS NOT NULL")
-    facts = [F.any_value(c).alias(c) for c in ("n", "rarest", "point")]
-    nodes = named.groupBy("node").agg(F.min("doc").alias("doc"), *facts)
-    nodes = materialize(nodes, "nodes")
+    nodes = _one_row_per_node(named)
     texts = one_row_per_id(rows.where("doc IS NOT NULL"), "doc", "text")
     pairs = links(nodes, texts, words, percent)
 

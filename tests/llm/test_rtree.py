@@ -78,3 +78,55 @@ def test_bound_is_never_below_what_sets_share():
         a, b = rtree.point_of(one), rtree.point_of(two)
         count = min(len(a), len(b))
         assert np.minimum(rtree.folded(a, count), rtree.folded(b, count)).sum() >= len(np.intersect1d(one, two))
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_rows_with_a_partner_are_those_of_all_pairs(percent):
+    rng = np.random.default_rng(percent)
+    tokens = np.sort(rng.integers(0, 150, 600))
+    sizes = rng.integers(1, 60, 600)
+    order = np.lexsort((sizes, tokens))
+    tokens, sizes = tokens[order], sizes[order]
+    places = (rng.random(600) * (sizes - -(-sizes * percent // 100) + 1)).astype(np.int64)
+    left = sizes - places
+    may = 100 * np.minimum(left[:, None], left) + percent * np.minimum(left[:, None], left) >= percent * (sizes[:, None] + sizes)
+    may &= (tokens[:, None] == tokens) & ~np.eye(600, dtype=bool)
+    assert rtree.partnered(tokens, sizes, places, percent).tolist() == may.any(axis=1).tolist()
+    assert 100 < may.any(axis=1).sum() < 600
+
+
+def test_pairs_come_out_of_their_first_shard():
+    lists = [[], [5], [5, 7], [7, 9], [9], [1, 2, 5]]
+    starts, earlier = np.cumsum([0, *map(len, lists)]), np.array([x for row in lists for x in row])
+    one, two = (np.ravel(x) for x in np.meshgrid(range(6), range(6)))
+    assert rtree.unseen(one, two, starts, earlier).tolist() == [not set(lists[a]) & set(lists[b]) for a, b in zip(one, two)]
+
+
+def test_a_pair_that_meets_in_many_shards_is_asked_for_once(spark, monkeypatch):
+    """Copies of one text with words of their own; texts that share a passage but are of unlike sizes are left out before the trees."""
+    rng = random.Random(3)
+    base = prose(rng, 120, 5000).split()
+    texts = []
+    for _ in range(40):
+        mine = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 2)):
+            mine[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(mine))
+    passage = " ".join(f"s{i}" for i in range(40))
+    texts += [f"{passage} {prose(rng, 90 * 2**i, 90000)}" for i in range(4)]
+    seen, dealt, plain = [], [], rtree._joined
+
+    def joined(rows, percent):
+        dealt.extend(r["n"] for r in rows.select("n").collect())
+        seen.append([tuple(r) for r in plain(rows, percent).collect()])
+        return plain(rows, percent)
+
+    monkeypatch.setattr(rtree, "_joined", joined)
+    monkeypatch.setattr(rtree, "HOT_NODES", 10**6)  # no heads: all pairs are left to the trees
+    monkeypatch.setattr(rtree, "HELD_ROWS", 8)
+    sets = {i: plain_shingles(t, 5) for i, t in enumerate(texts)}
+    assert classes(rtree.near_classes(frame(spark, texts))) == linked(sets, 80)
+    assert len(seen[0]) == len(set(seen[0])) <= 40 * 39 // 2
+    assert max(dealt) <= 120
+    near = sum(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in range(40) for b in range(a))
+    assert len(seen[0]) >= near > 0
