@@ -7,7 +7,9 @@ round by round. Two tokens are linked if their byte ranges overlap. What lies be
 tokenizers cut there.
 
 Texts are cut into blocks of about `BLOCK_BYTES`. A block holds each different id pair once, and texts refer to it by its place in the block, so
-what is shuffled to count pairs over the corpus, and to give the counts back, is a row for each pair of a block and not for each link.
+what is shuffled to count pairs over the corpus, and to give the counts back, is a row for each pair of a block and not for each link. A row
+holds one text or a run of `RUN` pairs, never a block, and a task holds one block of counts at a time, so memory doesn't grow with the
+rows of a task.
 
 Defined cases: texts that are null or empty, or that one of the tokenizers doesn't spell, have no tokens: counts of 0 and an empty digest. Special
 tokens' strings are plain text. Repeated rows count as often as they occur; ids, null ones too, are passed through. An empty
@@ -36,7 +38,9 @@ from metframe.session import materialize
 
 #: A sentencepiece model with byte fallback.
 PIECES = "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Pairs of a block that one row holds at most.
+RUN = 1024
 _SPACE = "▁"
 
 
@@ -137,11 +141,12 @@ _FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def blocks(rows: DataFrame, bytes_model: str | None = None, piece_model: str | None = None) -> DataFrame:
-    """Rows (doc, text) aligned, one row for each block: its texts' facts, its different id pairs with their links, and the pairs of each text."""
+    """Rows (doc, text) aligned, in blocks: rows with a `run` hold the next of the block's different id pairs with their links, the others a text's
+    facts, and its pairs by their places in the block."""
     kind = rows.schema["doc"].dataType
-    longs = pa.list_(pa.int64())
-    fields = [("block", pa.int64()), ("doc", pa.list_(to_arrow_type(kind))), *((c, longs) for c in _FACTS), ("digest", pa.list_(pa.string()))]
-    schema = pa.schema([*fields, ("pair", longs), ("times", longs), ("pairs", longs), ("code", pa.list_(pa.int32())), ("many", pa.list_(pa.int32()))])
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    fields = [("doc", to_arrow_type(kind)), *((c, pa.int64()) for c in _FACTS), ("digest", pa.string()), ("code", ints), ("many", ints)]
+    schema = pa.schema([("block", pa.int64()), ("run", pa.int32()), ("pair", longs), ("times", longs), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteBpe(bytes_model, special=False), PieceBpe(piece_model)
@@ -174,17 +179,36 @@ def blocks(rows: DataFrame, bytes_model: str | None = None, piece_model: str | N
                 held, many = np.unique(text * len(pair) + place, return_counts=True)
                 code = held % len(pair)
                 many_pairs[rows_of] = np.bincount(held // len(pair), minlength=len(rows_of))
-            columns = [[number], [docs], *([x] for x in facts), [digests], [pair], [times], [many_pairs], [code], [many]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+                yield _rows(schema, block=number, run=np.arange(-(-len(pair) // RUN)), pair=_runs(pair), times=_runs(times))
+            of = np.r_[0, np.cumsum(many_pairs)]
+            columns = {"doc": docs, **dict(zip(_FACTS, facts)), "digest": digests, "code": _lists(code, of, pa.int32()), "many": _lists(many, of, pa.int32())}
+            yield _rows(schema, block=number, **columns)
             number += 1
 
-    lists = ", ".join(f"{c} array<long>" for c in _FACTS)
+    told = ", ".join(f"{c} long" for c in _FACTS)
     return rows.mapInArrow(
-        run, f"block long, doc array<{kind.simpleString()}>, {lists}, digest array<string>, pair array<long>, times array<long>, "
-        "pairs array<long>, code array<int>, many array<int>",
+        run, "block long, run int, pair array<long>, times array<long>, "
+        f"doc {kind.simpleString()}, {told}, digest string, code array<int>, many array<int>",
     )
 
 
+def _lists(values: np.ndarray, of: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(values, kind))
+
+
+def _runs(values: np.ndarray) -> pa.ListArray:
+    """Values in runs of `RUN`."""
+    return _lists(values, np.r_[np.arange(0, len(values), RUN), len(values)], pa.int64())
+
+
+def _rows(schema: pa.Schema, block: int, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+    """Rows of a block with some of the columns; the others are null."""
+    count = len(next(iter(columns.values())))
+    columns["block"] = np.full(count, block)
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 _Ids = tuple[np.ndarray, np.ndarray]
 
 
@@ -237,8 +261,8 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """pair, count (links over the corpus) and best (whether it is the highest of its second id) of all id pairs of the blocks."""
-    totals = found.select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair").agg(F.sum("x.times").alias("count"))
-    totals = materialize(totals, "pair-counts")
+    pairs = found.where("run is not null").select(F.explode(F.arrays_zip("pair", "times")).alias("x"))
+    totals = materialize(pairs.groupBy("x.pair").agg(F.sum("x.times").alias("count")), "pair-counts")
     second = F.shiftright("pair", 32).alias("second")
     highest = totals.groupBy(second).agg(F.max("count").alias("highest"))
     return totals.select("pair", "count", second).join(highest, "second").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
@@ -251,22 +275,33 @@ def align(documents: DataFrame, doc: str = "doc_id", text: str = "text", bytes_m
     rows = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     found = materialize(blocks(rows, bytes_model, piece_model), "aligned")
     counts = materialize(pair_counts(found), "ranked-pairs")
-    told = found.select("block", F.explode("pair").alias("pair")).join(counts, "pair")
-    told = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pair", "count", "best"))).alias("told"))
-    told = told.select("block", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
-    sides = found.select("block", "doc", *_FACTS, "digest", "pairs", "code", "many").join(told, "block", "left")
+    told = found.where("run is not null").select("block", "run", F.posexplode("pair").alias("at", "pair")).join(counts, "pair")
+    told = told.groupBy("block", "run").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("told"))
+    told = told.select("block", "run", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
+    sides = found.where("run is null").select("block", "doc", *_FACTS, "digest", "code", "many")
+    both = told.unionByName(sides, allowMissingColumns=True).select("block", "run", "count", "best", "doc", *_FACTS, "digest", "code", "many")
+    # the counts of a block come before its texts
+    both = both.repartition("block").sortWithinPartitions("block", F.col("run").asc_nulls_last())
     names = (doc, *_FACTS, "n_best", "count_sum", "groups_sha256")
-    types = [to_arrow_type(kind), *[pa.int64()] * 6, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns]
-            docs, *facts, digest, pairs, code, many, count, best = [c.flatten() for c in columns[1:]]
-            bounds = np.r_[0, np.cumsum(pairs.to_numpy())]
-            at, many = code.to_numpy(), many.to_numpy().astype(np.int64)
-            count, best = count.to_numpy().astype(np.int64), best.to_numpy(zero_copy_only=False).astype(np.int64)
-            sums = [np.diff(np.r_[0, np.cumsum(many * x[at])][bounds]) for x in (best, count)] if len(at) else [np.zeros(len(docs), np.int64)] * 2
-            yield pa.RecordBatch.from_arrays([docs, *facts, *map(pa.array, sums), digest], names=[*names])
+        now, count, best = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in slices(batches):
+            block, told = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(told) != 0)])
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
+                piece = batch.slice(start, stop - start)
+                if block[start] != now:
+                    now, count, best = block[start], count[:0], best[:0]
+                if told[start]:
+                    count = np.r_[count, piece.column(2).flatten().to_numpy()]
+                    best = np.r_[best, piece.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)]
+                    continue
+                docs, *facts, digest, code, many = piece.columns[4:]
+                bounds = np.r_[0, np.cumsum(pc.list_value_length(code).to_numpy())]
+                at, many = code.flatten().to_numpy(), many.flatten().to_numpy().astype(np.int64)
+                sums = [np.diff(np.r_[0, np.cumsum(many * x[at])][bounds]) for x in (best, count)] if len(at) else [np.zeros(len(docs), np.int64)] * 2
+                yield pa.RecordBatch.from_arrays([docs, *facts, *map(pa.array, sums), digest], names=[*names])
 
     schema = ", ".join([f"`{doc}` {kind.simpleString()}", *(f"{c} long" for c in names[1:-1]), f"{names[-1]} string"])
-    return sides.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)

@@ -110,3 +110,18 @@ def test_byte_ids_with_any_white_space(libraries):
         want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         ids, of = ByteBpe(special=special).batch(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:])] == want
+
+
+def test_rows_hold_one_text_or_a_run_of_pairs(spark, libraries):
+    """No row grows with its block; counts of a block that come in several runs reach its texts."""
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7))) for _ in range(40)) for _ in range(60)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").coalesce(1)
+    found = alignment.blocks(rows).collect()
+    sides = [r for r in found if r["run"] is None]
+    assert sorted(r["doc"] for r in sides) == [*range(62)] and len({r["block"] for r in found}) == 1
+    pairs = [r for r in found if r["run"] is not None]
+    assert len(pairs) > 1 and [r["run"] for r in pairs] == [*range(len(pairs))]
+    assert {len(r["pair"]) for r in pairs[:-1]} == {alignment.RUN} and len(pairs[-1]["pair"]) <= alignment.RUN
+    out = alignment.align(rows, "doc").collect()
+    assert [tuple(r)[1:] for r in sorted(out)] == plain(texts, *libraries)
