@@ -97,3 +97,11 @@ def test_text_work_is_dealt_out_by_rows(spark):
     same(pieces, rows)
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 0, 1, 1)).isEmpty()
+
+
+def test_a_cut_is_needed_beyond_the_first_chunk_only(spark):
+    def needed(*orders):
+        return scans.needed_cut(spark.createDataFrame([(x,) for x in orders], "pos long"), "pos", 4)
+
+    assert [needed(0, 3), needed(0, 4), needed(-1, 2), needed(None), needed()] == [None, 4, 4, None, None]
+    assert scans.needed_cut(spark.range(9), "id", None) is None
