@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from metframe.catalog import all_queries
 from metframe.operators import star
 from metframe.plans import extraction
 from metframe.sinks import entry_log, versions
@@ -173,3 +174,32 @@ def test_a_stream_of_bulletins_ends_in_the_rows_of_the_batch(spark, tmp_path):
     last = table.commits()
     table.upsert(again, str(folder), 0)
     assert table.commits() == last
+
+
+def test_the_newest_copy_of_a_bulletin_counts_and_lone_ones_are_not_shuffled(spark):
+    columns = "source_file string, paragraphs array<string>, modified timestamp, path string"
+    times = [datetime.datetime(2025, 6, day) for day in (1, 2)]
+    copies = [("a", ["old"], times[0], "x"), ("a", ["new"], times[1], "x"), (None, ["p"], times[1], "x"), (None, ["q"], times[1], "y"), ("b", ["only"], times[0], "x")]
+    newest = ingest._newest(spark.createDataFrame(copies, columns))
+    assert newest.columns == ["source_file", "paragraphs"]
+    assert sorted(map(str, map(tuple, newest.collect()))) == ["('a', ['new'])", "('b', ['only'])", "(None, ['q'])"]
+    lone = ingest._newest(spark.createDataFrame(copies[1:3] + copies[4:], columns))
+    assert lone.count() == 3 and "Exchange" not in lone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drops_of_the_stream_are_written_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7, DAY(2025, 1 + i % 12, 1), "2-HIGH") for i in range(300)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    files = []
+
+    class Ended(Exception):
+        pass
+
+    def first_drop(spark, folder, *rest):
+        files.extend(spark.read.parquet(folder).inputFiles())
+        raise Ended
+
+    monkeypatch.setattr(ingest, "ingest_documents", first_drop)
+    with pytest.raises(Ended):
+        all_queries()["stream_ingest"].run(spark, str(tmp_path))
+    assert len(files) > 1
