@@ -100,8 +100,9 @@ def test_text_work_is_dealt_out_by_rows(spark):
 
 
 def test_a_cut_is_needed_beyond_the_first_chunk_only(spark):
-    def needed(*orders):
-        return scans.needed_cut(spark.createDataFrame([(x,) for x in orders], "pos long"), "pos", 4)
+    def needed(*rows):
+        return scans.needed_cut(spark.createDataFrame([*rows], "g string, pos long"), ["g"], "pos", 4)
 
-    assert [needed(0, 3), needed(0, 4), needed(-1, 2), needed(None), needed()] == [None, 4, 4, None, None]
-    assert scans.needed_cut(spark.range(9), "id", None) is None
+    assert [needed(("a", 0), ("a", 3), ("b", 0), (None, 0)), needed(("a", 0), ("a", 4)), needed(("a", -1)), needed()] == [None, 4, 4, None]
+    assert [needed(("a", 0), ("a", 0)), needed((None, 1), (None, 1))] == [4, 4]
+    assert scans.needed_cut(spark.range(9), [], "id", None) is None
